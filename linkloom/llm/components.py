@@ -47,7 +47,7 @@ def link_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], a
         .select("key", "id", "first")
     )
     star = held.where("id != first").groupBy("id", "first").agg(F.count("*").alias("n")).where(F.col("n") >= agree)
-    star = star.groupBy("id").agg(F.max(F.struct("n", (-F.col("first") - 1).alias("minus"))).alias("best")).select(F.col("id").alias("a"), (-F.col("best.minus") - 1).alias("b"))
+    star = star.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("first").alias("down"))).alias("best")).select(F.col("id").alias("a"), F.bitwise_not("best.down").alias("b"))
     links = stage(verify(stage(star)).select("a", "b"))
     roots = stage(connected_components(links))
     rows = held.select("key", "id").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mixing, packing, quality, urlfilter
+from . import chat, iblt, jaccard, linededup, mixing, nbsvm, packing, quality, sitestyle, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,10 +81,43 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return sitestyle.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score; a third of the doc_id is held out from learning."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    known = labels.where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    return nbsvm.classify(docs, known).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and that of a version whose last third comes from the next document."""
+    rows = iblt.fingerprint_versions(iblt.edited_by_next(_table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier line, nearly or exactly."""
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", "n_removed", "emptied")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into bins of 2048 words."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing)}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL}
