@@ -13,52 +13,83 @@ from .common import stage
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in ``links`` (a, b): root is the smallest id of its component.
 
-    Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones, are hung on its smallest neighbour,
-    until nothing changes. A node of high degree is met by partial aggregation and a join that Spark may split.
+    Every edge runs from its larger end ``a`` to its smaller end ``b``. A round first moves each edge's smaller end to that node's own
+    smallest neighbour, then hangs all smaller neighbours of a node, and itself, on the smallest of them. It ends when nothing moved:
+    then every node has one edge, to its root. Roots, which may have very many edges, are never grouped, only joined.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    seen = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen or not now[0]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
-        seen = now
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        edges = stage(hung.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+    by_larger = Window.partitionBy("a")
+    moved = True
+    while moved:
+        least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        drawn = edges.join(least, edges["b"] == least["node"], "left").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        drawn = drawn.withColumn("m", F.min("b").over(by_larger)).withColumn("k", F.row_number().over(by_larger.orderBy("b")))
+        hung = F.array(
+            F.when(F.col("k") == 1, F.struct("a", F.col("m").alias("b"), "moved")),
+            F.when(F.col("b") != F.col("m"), F.struct(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))),
+        )
+        edges = stage(drawn.select(F.explode(F.filter(hung, lambda x: x.isNotNull())).alias("e"), "moved").select("e.a", "e.b", (F.col("moved") | F.col("e.moved")).alias("moved")))
+        moved = bool(edges.agg(F.max("moved")).first()[0])
+        edges = edges.select("a", "b")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
-def link_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
+#: Members of a tile: the product of two tiles has at most its square of entries, in one task.
+TILE = 128
+
+
+def link_components(keys: DataFrame, about: list[str], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
     """(id, root) of every id that has a link, where all links join ids that share at least ``agree`` keys.
 
-    ``keys`` has (key, id), perhaps with repeats; ``verify`` takes distinct pairs (a, b) and returns those that are links. First every id is
-    held against the one smallest id of a key that it shares most keys with: pairs grow with the ids, not with the square of a group.
-    After their components are known, only pairs are left that share keys and lie in different components; of those, every one
-    is verified, with one side taken from the smaller components of a key. No pair that could change the components is left out.
+    ``keys`` has (key, id, *about), perhaps with repeats. First every id is held against the one smallest id of a key that it shares most
+    keys with: ``verify`` takes these pairs (a, b, and each column of ``about`` with _a and _b) and returns those that are links. Their number
+    grows with the ids, not with the square of a group. Then ids that share keys, directly or in a chain, are clusters; a cluster that is one
+    component by now is done. Of the others, members are dealt into tiles in the order of their components, and every two tiles that
+    hold more than one component between them are given to ``cross`` (see :func:`tile_pairs`), which returns links (a, b) among them. No pair that could change
+    the components is left out.
     """
     by_key = Window.partitionBy("key")
-    held = stage(
-        keys.withColumn("first", F.min("id").over(by_key))
-        .withColumn("last", F.max("id").over(by_key))
-        .where("first != last")
-        .select("key", "id", "first")
-    )
-    star = held.where("id != first").groupBy("id", "first").agg(F.count("*").alias("n")).where(F.col("n") >= agree)
-    star = star.groupBy("id").agg(F.max(F.struct("n", F.bitwise_not("first").alias("down"))).alias("best")).select(F.col("id").alias("a"), F.bitwise_not("best.down").alias("b"))
-    links = stage(verify(stage(star)).select("a", "b"))
-    roots = stage(connected_components(links))
-    rows = held.select("key", "id").distinct().join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    size = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = size.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    rows = stage(rows.join(split, "key").select("key", "main", "id", "root"))
-    side = rows.where("root != main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    other = rows.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "main")
-    pairs = side.join(other, "key").where("ra != rb and (rb = main or a < b)")
-    pairs = pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
-    more = stage(verify(stage(pairs)).select("a", "b"))
+    me = F.struct("id", *about)
+    held = stage(keys.withColumn("first", F.min(me).over(by_key)).withColumn("last", F.max("id").over(by_key)).where("first.id != last").select(me.alias("me"), "first"))
+    star = held.where("me.id != first.id").groupBy("me.id", F.col("first.id").alias("b")).agg(F.count("*").alias("n"), F.min("me").alias("me"), F.min("first").alias("first"))
+    star = stage(star)
+    best = F.max_by(F.struct("me", "first"), F.struct("n", F.bitwise_not("b"))).alias("best")
+    pairs = star.where(F.col("n") >= agree).groupBy("id").agg(best).select(F.col("best.me").alias("x"), F.col("best.first").alias("y"))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in about for s, t in (("x", "a"), ("y", "b"))])
+    links = stage(verify(stage(pairs)).select("a", "b"))
+    roots = connected_components(links).withColumnRenamed("id", "_id")
+    clusters = connected_components(star.select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "cluster")
+    members = stage(clusters.join(roots, F.col("id") == F.col("_id"), "left").select("id", "cluster", F.coalesce("root", "id").alias("root")))
+    several = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cluster")
+    members = members.join(several, "cluster", "left_semi")
+    facts = star.select(F.explode(F.array("me", "first")).alias("x")).groupBy("x.id").agg(F.min("x").alias("x"))
+    members = stage(members.join(facts, "id").select("id", "cluster", "root", *[f"x.{c}" for c in about]))
+    roots = roots.withColumnRenamed("_id", "id")
+    if members.isEmpty():
+        return roots
+    more = stage(cross(members).select("a", "b"))
     if more.isEmpty():
         return roots
     return connected_components(links.unionByName(more))
+
+
+def tile_pairs(members: DataFrame) -> DataFrame:
+    """``members`` (id, cluster, root, ...) once for each pair of tiles that their tile is in: with cluster, i, j and side (0 for tile i, 1 for tile j).
+
+    Members of a cluster are numbered by root; ``TILE`` of them are a tile. Tile pairs of one root have nothing to add and are left out: tiles of the
+    cluster's largest component meet only tiles that hold others. Clusters are split by a hash before the numbering, so that no task orders a whole one.
+    """
+    sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    part = members.withColumn("part", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("id"), F.lit(16))), F.lit(64)))
+    place = F.floor((F.row_number().over(Window.partitionBy("cluster", "part").orderBy("root", "id")) - 1) / TILE)
+    part = stage(part.withColumn("tile", F.col("part") * F.lit(1 << 32) + place))
+    tiles = part.groupBy("cluster", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(main, "cluster")
+    tiles = stage(tiles.select("cluster", "tile", "lo", "hi", (~((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))).alias("other")))
+    x = tiles.where("other").select("cluster", *[F.col(c).alias(f"{c}_x") for c in ("tile", "lo", "hi")])
+    y = tiles.select("cluster", *[F.col(c).alias(f"{c}_y") for c in ("tile", "lo", "hi", "other")])
+    two = x.join(y, "cluster").where("(not other_y or tile_x <= tile_y) and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)")
+    two = two.select("cluster", F.least("tile_x", "tile_y").alias("i"), F.greatest("tile_x", "tile_y").alias("j"))
+    sides = two.select("cluster", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
+    return part.drop("part").join(sides, ["cluster", "tile"]).drop("tile")

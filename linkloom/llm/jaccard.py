@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import may_contain, stage
-from .components import link_components
+from .components import link_components, tile_pairs
 from .textvec import Tokenizer, mix, shingles
 
 
@@ -100,8 +100,8 @@ def incidence(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, keys array<long>")
 
 
-def _overlap(docs: DataFrame, base: DataFrame, size: int, share: tuple[int, int]):
-    """A function that keeps those of given pairs of set ids whose sets reach the threshold."""
+def _products(docs: DataFrame, size: int, share: tuple[int, int]):
+    """Two functions: one keeps those of given pairs of sets that reach the threshold, one finds such pairs between tiles of sets."""
     num, den = share
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,21 +120,81 @@ def _overlap(docs: DataFrame, base: DataFrame, size: int, share: tuple[int, int]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        sized = base.where("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
-        for c in "ab":
-            pairs = pairs.join(sized.select(F.col("set_id").alias(c), F.col("n").alias(f"n{c}")), c)
-        pairs = stage(pairs.where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}"))
-        needed = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        needed = stage(sized.join(needed, "set_id", "left_semi").select("set_id", "doc_id"))
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """(set_id, items) of ``needed`` (set_id, doc_id), from one narrow pass over the texts that may be meant."""
+        needed = stage(needed)
         sets = may_contain(docs.select("doc_id", "text"), needed, "doc_id").mapInArrow(rows_of, f"doc_id {kind}, set_id long, items array<long>")
-        sets = sets.join(needed, ["set_id", "doc_id"]).dropDuplicates(["set_id"]).select("set_id", "items")
+        return stage(sets.join(needed, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "items"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+        needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("set_id"), F.col(f"doc_id_{c}").alias("doc_id")) for c in "ab"])).alias("x"))
+        sets = sets_of(needed.groupBy("x.set_id").agg(F.min("x.doc_id").alias("doc_id")))
         for c in "ab":
             pairs = pairs.join(sets.select(F.col("set_id").alias(c), F.col("items").alias(f"s{c}")), c)
         pairs = pairs.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return pairs.where(f"both * {den} >= (na + nb - both) * {num}").select("a", "b")
-
-    return verify
+        return pairs.where(f"both * {den} >= (n_a + n_b - both) * {num}").select("a", "b")
+
+    def cross(members: DataFrame) -> DataFrame:
+        sets = sets_of(members.select(F.col("id").alias("set_id"), "doc_id"))
+        rows = tile_pairs(members.select("id", "cluster", "root")).join(sets.withColumnRenamed("set_id", "id"), "id")
+
+        def product(tile: pa.Table) -> pa.Table:
+            side = tile.column("side").to_numpy()
+            ids, root = tile.column("id").to_numpy(), tile.column("root").to_numpy()
+            items = tile.column("items").combine_chunks()
+            size = np.diff(items.offsets.to_numpy())
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1) if side.any() else left
+            both = overlaps(items.flatten().to_numpy(), size, left, right)
+            linked = (both * den >= (size[left][:, None] + size[right][None, :] - both) * num) & (root[left][:, None] != root[right][None, :])
+            a, b = forest(left[np.nonzero(linked)[0]], right[np.nonzero(linked)[1]], len(ids))
+            return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+        return rows.groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+
+    return verify, cross
+
+
+COLUMNS = 4096
+
+
+def overlaps(items: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Overlap counts of the sets ``left`` with the sets ``right`` (of ``size``, one after another in ``items``), summed over blocks of columns."""
+    values, column, count = np.unique(items, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # items of one set only add nothing
+    row = np.repeat(np.arange(len(size)), size)
+    keep = count[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        block = np.zeros((len(size), COLUMNS), np.float32)
+        block[row[lo:hi], column[lo:hi] - at] = 1
+        out += (block[left] @ block[right].T).astype(np.int64)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
+    """Of the edges a-b among n nodes, so many as connect what all of them connect."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = ([], [])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        tx, ty = top(x), top(y)
+        if tx != ty:
+            up[tx] = ty
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] = (8, 10)) -> DataFrame:
@@ -143,11 +203,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     Two documents link when the sets of their ``size``-word shingles (A-Z lower-cased; of fewer words, the whole sequence) have
     den * intersection >= num * union for ``share`` = (num, den). component_id is the smallest doc_id that links reach. A null or empty
     text has an empty set and links with nothing: its component is its own doc_id. Rows of equal doc_id are rows of their own, and all
-    count for that id's component. A null doc_id is never the smallest unless all of a component are null. Other columns are not read.
+    count for that id's component. A row without doc_id has its set counted but links with nothing but equal sets, and a null component only if its equals have no doc_id either. Other columns are not read.
     """
     base = stage(incidence(docs, size, share))
-    keys = base.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))
-    roots = link_components(keys, _overlap(docs, base, size, share), agree=2)
+    keys = base.where("doc_id is not null and size(keys) > 0").select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"), "doc_id")
+    roots = link_components(keys, ["n", "doc_id"], *_products(docs, size, share), agree=2)
     rows = base.select("doc_id", "n_shingles", "set_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
