@@ -55,8 +55,8 @@ def ingest_uris(events: DataFrame, uri: DataFrame, responses: DataFrame, config:
         F.when(stored, F.col("key")).alias("uri"),
         F.when(stored, F.col("base")).alias("base_uri"),
         "uri_type",
-        F.when(stored, skipped).alias("is_skipped"),
-        F.when(stored, skipped).alias("is_completed"),
+        skipped.alias("is_skipped"),
+        skipped.alias("is_completed"),
     )
 
 

@@ -10,7 +10,7 @@ STAGES = ("incoming", "transformed", "published", "error")
 
 def funnel(messages: DataFrame) -> DataFrame:
     """One row per payload_type with the number of messages in each stage."""
-    wide = messages.groupBy("payload_type").pivot("stage", list(STAGES)).agg(F.count("*"))
+    wide = messages.groupBy("payload_type").pivot("stage", list(STAGES)).agg(F.count(F.lit(1)))
     return wide.select("payload_type", *[F.coalesce(s, F.lit(0)).cast("long").alias(s) for s in STAGES])
 
 
@@ -20,7 +20,7 @@ def stage_counts(messages: DataFrame) -> DataFrame:
 
 def crawl_outcomes(events: DataFrame, outcomes: tuple[str, ...] = ("started", "completed", "failed")) -> DataFrame:
     """One row per host with the number of crawls of each outcome."""
-    wide = events.groupBy("host").pivot("outcome", list(outcomes)).agg(F.count("*"))
+    wide = events.groupBy("host").pivot("outcome", list(outcomes)).agg(F.count(F.lit(1)))
     return wide.select("host", *[F.coalesce(o, F.lit(0)).cast("long").alias(o) for o in outcomes])
 
 

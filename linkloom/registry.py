@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import queries
+
+QUERIES = {name: q.run for name, q in queries.ALL.items()}
+ORACLE_SQL = {name: q.sql for name, q in queries.ALL.items() if q.sql}
