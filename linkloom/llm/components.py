@@ -35,7 +35,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 #: Members of a tile: the product of two tiles has at most its square of entries, in one task.
-TILE = 128
+TILE = 256
 
 
 def link_components(keys: DataFrame, about: list[str], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
@@ -77,14 +77,14 @@ def tile_pairs(members: DataFrame) -> DataFrame:
     """``members`` (id, cluster, root, ...) once for each pair of tiles that their tile is in: with cluster, i, j and side (0 for tile i, 1 for tile j).
 
     Members of a cluster are numbered by root; ``TILE`` of them are a tile. Tile pairs of one root have nothing to add and are left out: tiles of the
-    cluster's largest component meet only tiles that hold others. Clusters are split by a hash before the numbering, so that no task orders a whole one.
+    cluster's largest component meet only tiles that hold others. Clusters of more than eight tiles are split by a hash before the numbering, so that no task orders a whole one.
     """
     sizes = members.groupBy("cluster", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    part = members.withColumn("part", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("id"), F.lit(16))), F.lit(64)))
+    main = stage(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("n") / (8 * TILE)).alias("parts")))
+    part = members.join(main.select("cluster", "parts"), "cluster").withColumn("part", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("id"), F.lit(16))), F.col("parts"))).drop("parts")
     place = F.floor((F.row_number().over(Window.partitionBy("cluster", "part").orderBy("root", "id")) - 1) / TILE)
     part = stage(part.withColumn("tile", F.col("part") * F.lit(1 << 32) + place))
-    tiles = part.groupBy("cluster", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(main, "cluster")
+    tiles = part.groupBy("cluster", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).join(main.drop("parts"), "cluster")
     tiles = stage(tiles.select("cluster", "tile", "lo", "hi", (~((F.col("lo") == F.col("main")) & (F.col("hi") == F.col("main")))).alias("other")))
     x = tiles.where("other").select("cluster", *[F.col(c).alias(f"{c}_x") for c in ("tile", "lo", "hi")])
     y = tiles.select("cluster", *[F.col(c).alias(f"{c}_y") for c in ("tile", "lo", "hi", "other")])
