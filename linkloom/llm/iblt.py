@@ -19,7 +19,7 @@ from .common import text_or_empty
 #: A paragraph is a line, cut after the first end of a sentence that comes 100 characters or more after its beginning.
 PARAGRAPH = r"[^\n]{1,100}[^\n.!?]*[.!?]*"
 SIDE = 16  # cells in a third of a group
-ROUNDS = 16
+ROUNDS = 12
 LOAD = 12  # digests that a group is meant for when a sketch is made larger
 RETRIES = 3
 
@@ -53,24 +53,28 @@ def digests(text: Column) -> Column:
     return let(paragraphs(text), lambda ps: let(F.struct(ps.alias("every"), F.array_distinct(ps).alias("distinct")), both))
 
 
-def sketch(keys: Column, groups: Column, salt: Column) -> Column:
-    """array (groups x 48) of struct<n int, k long>, groups one after another."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, salt).alias("p")))
+def _cells_of(key: Column, salt: Column) -> Column:
+    """A digest's place: g, which picks its group, and at, its three cells there, one in each third."""
+    p = F.xxhash64(key, salt)
+    nibble = lambda n: F.shiftright(p, 4 * n).bitwiseAND(F.lit(SIDE - 1).cast("long")).cast("int") + n * SIDE
+    return F.struct(key.alias("k"), F.shiftrightunsigned(p, 16).alias("g"), F.array(nibble(0), nibble(1), nibble(2)).alias("at"))
 
-    def cells(items):
-        def group(g):
-            mine = F.filter(items, lambda x: F.pmod(F.shiftrightunsigned(x["p"], 16), groups.cast("long")) == g.cast("long"))
-            return let(mine, lambda xs: F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE - 1)), lambda c: let(F.filter(xs, lambda x: _in(x["p"], c)), _fold)))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), group))
+def _filled(xs: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE - 1)), lambda c: let(F.filter(xs, lambda x: F.array_contains(x["at"], c)), _fold))
 
-    return let(placed, cells)
 
+def sketch(keys: Column, groups: Column | None, salt: Column) -> Column:
+    """array (groups x 48) of struct<n int, k long>, groups one after another; without ``groups`` one."""
+    placed = F.transform(keys, lambda k: _cells_of(k, salt))
+    if groups is None:
+        return let(placed, _filled)
 
-def _in(place: Column, cell: Column) -> Column:
-    """Whether a digest with hash ``place`` has a share in a group's cell 0..47: third cell / 16 looks at four bits of its own."""
-    third = F.shiftright(cell, 4)
-    return F.call_function("shiftrightunsigned", place, third * 4).bitwiseAND(F.lit(SIDE - 1).cast("long")) == cell.bitwiseAND(F.lit(SIDE - 1)).cast("long")
+    def cells(items):
+        mine = lambda g: F.filter(items, lambda x: F.pmod(x["g"], groups.cast("long")) == g.cast("long"))
+        return F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda g: let(mine(g), _filled)))
+
+    return let(placed, cells)
 
 
 def _fold(xs: Column) -> Column:
@@ -81,7 +85,7 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k")))
 
 
-def peel(difference: Column, groups: Column, salt: Column) -> Column:
+def peel(difference: Column, groups: Column | None, salt: Column) -> Column:
     """struct<ok, found array<struct<k, n>>> of a difference of sketches: each differing digest, n = 1 if the first text has it, -1 if the second."""
 
     def one_group(cells):
@@ -92,11 +96,11 @@ def peel(difference: Column, groups: Column, salt: Column) -> Column:
             pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _valid(c["k"])), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
             def remove(ps):
-                placed = F.transform(ps, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), F.xxhash64(p["k"], salt).alias("p")))
+                placed = F.transform(ps, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), _cells_of(p["k"], salt)["at"].alias("at")))
 
                 def without(qs):
                     def clean(c, i):
-                        gone = F.filter(qs, lambda q: _in(q["p"], i))
+                        gone = F.filter(qs, lambda q: F.array_contains(q["at"], i))
                         return let(gone, lambda gs: F.struct(F.aggregate(gs, c["n"], lambda a, q: a - q["n"]).alias("n"), F.aggregate(gs, c["k"], lambda a, q: a.bitwiseXOR(q["k"])).alias("k")))
 
                     return F.struct(F.transform(state["cells"], clean).alias("cells"), F.concat(state["found"], ps).alias("found"))
@@ -108,6 +112,8 @@ def peel(difference: Column, groups: Column, salt: Column) -> Column:
         end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, turn)
         return let(end, lambda s: F.struct((~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))).alias("ok"), s["found"].alias("found")))
 
+    if groups is None:
+        return one_group(difference)
     each = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: one_group(F.slice(difference, g * (3 * SIDE) + 1, 3 * SIDE)))
     return let(each, lambda xs: F.struct(F.forall(xs, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(xs, lambda x: x["found"])).alias("found")))
 
@@ -115,7 +121,7 @@ def peel(difference: Column, groups: Column, salt: Column) -> Column:
 def with_difference(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
     """``rows`` with ``name``, struct<ok, found>: the digests that only one of the digest arrays ``a`` and ``b`` has, peeled from their
     sketches of one group, where that fails from larger ones: a group for every ``LOAD`` digests, then twice and four times as many."""
-    rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b)), F.lit(1), F.lit(0)))
+    rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b)), None, F.lit(0)))
     for retry in range(1, RETRIES + 1):
         groups = F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) * F.lit(2 ** (retry - 1)) / F.lit(LOAD)).cast("int"))
         salt = F.lit(retry)
@@ -136,16 +142,16 @@ def as_text(cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row by descending doc_id, after the last that of the first; nulls are empty.
+    """doc_id, text, d, next_text, next_d: text and digests, and those of the next row by descending doc_id, after the last of the first; nulls are empty.
 
     Rows are dealt into ranges of doc_id, and the first row of the next range is copied to the end of each: no task sees more than a range. Rows of
     equal doc_id follow each other by text; a null doc_id comes last. A single row is its own next.
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    docs = docs.select("doc_id", text_or_empty().alias("text")).withColumn("d", digests(F.col("text")))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = [i / parts for i in range(1, parts)] or [0.5]
-    ends = docs.agg(F.percentile_approx("doc_id", points, 10000).alias("cuts"), F.max("doc_id").alias("top"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    ends = docs.select("doc_id").agg(F.percentile_approx("doc_id", points, 10000).alias("cuts"), F.max("doc_id").alias("top"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
     cuts = sorted(set(ends["cuts"] or []) - {ends["top"]})
     # Range r holds the ids over cuts[r-1], up to cuts[r]; null ids are in range -1.
     cut = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
@@ -161,17 +167,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         guests = guests.unionByName(rows.where("doc_id is null").withColumn("_range", F.lit(0)).withColumn("_guest", F.lit(True)))
     all_ = rows.withColumn("_range", F.col("_home")).withColumn("_guest", F.lit(False)).unionByName(guests)
     order = Window.partitionBy("_range").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "text")
-    return all_.withColumn("next_text", F.lead("text").over(order)).where("not _guest").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    next_ = F.lead(F.struct("text", "d")).over(order)
+    return all_.withColumn("_next", next_).where("not _guest").select("doc_id", "text", "d", F.coalesce("_next.text", "text").alias("next_text"), F.coalesce("_next.d", "d").alias("next_d"))
 
 
 def fingerprint_versions(pairs: DataFrame) -> DataFrame:
-    """doc_id, text, edited, fingerprint, edited_fingerprint, edit_digests, near_edited, near_next for rows of doc_id, text, edited, next_text.
+    """doc_id, text, edited, fingerprint, edited_fingerprint, edit_digests, near_edited, near_next for rows of doc_id, text, d (its digests), edited, next_d.
 
     edit_digests are the peeled digests that differ between the versions (n = 1: only in text). An empty text has an empty sketch.
     """
-    zero, one = F.lit(0), F.lit(1)
-    rows = pairs.select("*", digests(F.col("text")).alias("d"), digests(F.col("edited")).alias("de"), digests(F.col("next_text")).alias("dn"))
-    rows = rows.select("*", sketch(F.col("d"), one, zero).alias("s"), sketch(F.col("de"), one, zero).alias("se"), sketch(F.col("dn"), one, zero).alias("sn"))
+    rows = pairs.select("doc_id", "text", "edited", "d", digests(F.col("edited")).alias("de"), F.col("next_d").alias("dn"))
+    rows = rows.select("*", *[sketch(F.col(d), None, F.lit(0)).alias(s) for d, s in (("d", "s"), ("de", "se"), ("dn", "sn"))])
     rows = with_difference(with_difference(rows, "xe", "d", "de", "s", "se"), "xn", "d", "dn", "s", "sn")
     return rows.select(
         "doc_id",
@@ -186,7 +192,7 @@ def fingerprint_versions(pairs: DataFrame) -> DataFrame:
 
 
 def edited_by_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text, edited: the last third of the code points gives way to the first as many (or all) of the next document."""
+    """:func:`with_next` and edited: the last third of the code points gives way to the first as many (or all) of the next document."""
     rows = with_next(docs)
     third = F.floor(F.length("text") / 3).cast("int")
     return rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.substring("next_text", F.lit(1), third)))

@@ -99,8 +99,9 @@ def fly(p: list[float], size: list[float], order: list[int], counted: bool, rng:
 def settle(p: list[float], size: list[float], rng: random.Random) -> None:
     """Decide a whole last block (``p`` in place), large documents first.
 
-    The larger ones fly under both constraints; what they leave is drawn, and the words this adds or takes are spread over the smaller
-    ones (a quarter of the words), which then fly under the constraint on words alone, down to one small document, drawn last.
+    The larger ones fly under both constraints; what they leave is drawn (the other way where only that can be made up for), and the words this
+    adds or takes are spread over the smaller ones (a quarter of the words), which then fly under the constraint on words alone, down to one small
+    document, drawn last.
     """
     order = sorted(range(len(p)), key=lambda i: -size[i])
     below, cut = 0.25 * sum(size), len(order)
@@ -109,8 +110,16 @@ def settle(p: list[float], size: list[float], rng: random.Random) -> None:
         below -= size[order[cut]]
     large, small = order[:cut], order[cut:]
     excess = 0.0
+    up, down = sum(size[i] * (1 - p[i]) for i in small), sum(size[i] * p[i] for i in small)
+
+    def beyond(drawn: float, i: int) -> float:
+        total = excess + (drawn - p[i]) * size[i]
+        return max(0.0, total - down, -total - up)
+
     for i in fly(p, size, large, True, rng):
         drawn = 1.0 if rng.random() < p[i] else 0.0
+        if beyond(1 - drawn, i) < beyond(drawn, i):
+            drawn = 1 - drawn
         excess += (drawn - p[i]) * size[i]
         p[i] = drawn
     for _ in range(8):
@@ -124,7 +133,13 @@ def settle(p: list[float], size: list[float], rng: random.Random) -> None:
             excess -= (p[i] - moved) * size[i]
             p[i] = moved
     for i in fly(p, size, small, False, rng):
-        p[i] = 1.0 if rng.random() < p[i] else 0.0
+        drawn = 1.0 if rng.random() < p[i] else 0.0
+        excess += (drawn - p[i]) * size[i]
+        p[i] = drawn
+    for i in small:  # what a single large document left over: the documents that make it smaller change sides, large ones first
+        turned = excess + (1 - 2 * p[i]) * size[i]
+        if abs(turned) < abs(excess):
+            p[i], excess = 1 - p[i], turned
 
 
 def _flight(last: bool):
