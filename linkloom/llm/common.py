@@ -46,19 +46,27 @@ def membership(ids: DataFrame, *key: str) -> DataFrame:
     )
 
 
+def _flagged(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+    """``df`` with _maybe: whether the bitmap of ``ids`` has the bit of the row's ``key``."""
+    bit = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
+    probe = df.withColumn("_b", bit).withColumn("_word", F.shiftright("_b", 6))
+    flag = F.coalesce(F.expr("(_bits & shiftleft(1L, cast(_b & 63 as int))) != 0"), F.lit(False))
+    return probe.join(F.broadcast(membership(ids, *key)), "_word", "left").withColumn("_maybe", flag).select(*[F.col(f"`{c}`") for c in df.columns], "_maybe")
+
+
 def may_contain(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be among ``ids`` (same column names); false positives pass, members always do.
 
     The bitmap is broadcast: its size is fixed at 2**17 rows, so it doesn't grow with the data. When the ids are so many that
     most bits are set, nearly all rows pass and the exact join that follows does all the work.
     """
-    bit = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
-    probe = df.withColumn("_b", bit).withColumn("_word", F.shiftright("_b", 6))
-    return (
-        probe.join(F.broadcast(membership(ids, *key)), "_word")
-        .where("(_bits & shiftleft(1L, cast(_b & 63 as int))) != 0")
-        .select(*[F.col(f"`{c}`") for c in df.columns])
-    )
+    return _flagged(df, ids, *key).where("_maybe").drop("_maybe")
+
+
+def split_by(df: DataFrame, ids: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose ``key`` may be among ``ids``, and rows whose key surely isn't."""
+    flagged = _flagged(df, ids, *key)
+    return flagged.where("_maybe").drop("_maybe"), flagged.where("not _maybe").drop("_maybe")
 
 
 def text_or_empty(column: str = "text"):

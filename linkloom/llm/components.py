@@ -38,33 +38,31 @@ def connected_components(links: DataFrame) -> DataFrame:
 TILE = 256
 
 
-def link_components(keys: DataFrame, about: list[str], verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
+def link_components(keys: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], agree: int) -> DataFrame:
     """(id, root) of every id that has a link, where all links join ids that share at least ``agree`` keys.
 
-    ``keys`` has (key, id, *about), perhaps with repeats. First every id is held against the one smallest id of a key that it shares most
-    keys with: ``verify`` takes these pairs (a, b, and each column of ``about`` with _a and _b) and returns those that are links. Their number
-    grows with the ids, not with the square of a group. Then ids that share keys, directly or in a chain, are clusters; a cluster that is one
-    component by now is done. Of the others, members are dealt into tiles in the order of their components, and every two tiles that
-    hold more than one component between them are given to ``cross`` (see :func:`tile_pairs`), which returns links (a, b) among them. No pair that could change
-    the components is left out.
+    ``keys`` has (key, id), perhaps with repeats, ``facts`` a row for each id with what verifying needs. First every id is held against the one
+    smallest id of a key that it shares most keys with: ``verify`` takes these pairs (a, b, and each fact with _a and _b) and returns those that are
+    links. Their number grows with the ids, not with the square of a group. Then ids that share keys, directly or in a chain, are clusters; a
+    cluster that is one component by now is done. Of the others, members are dealt into tiles in the order of their components, and every two tiles
+    that hold more than one component between them are given to ``cross`` (members with facts, see :func:`tile_pairs`), which returns links (a, b)
+    among them. No pair that could change the components is left out.
     """
     by_key = Window.partitionBy("key")
-    me = F.struct("id", *about)
-    held = stage(keys.withColumn("first", F.min(me).over(by_key)).withColumn("last", F.max("id").over(by_key)).where("first.id != last").select(me.alias("me"), "first"))
-    star = held.where("me.id != first.id").groupBy("me.id", F.col("first.id").alias("b")).agg(F.count("*").alias("n"), F.min("me").alias("me"), F.min("first").alias("first"))
-    star = stage(star)
-    best = F.max_by(F.struct("me", "first"), F.struct("n", F.bitwise_not("b"))).alias("best")
-    pairs = star.where(F.col("n") >= agree).groupBy("id").agg(best).select(F.col("best.me").alias("x"), F.col("best.first").alias("y"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in about for s, t in (("x", "a"), ("y", "b"))])
+    held = keys.withColumn("first", F.min("id").over(by_key)).where("id != first").groupBy("id", "first").agg(F.count("*").alias("n"))
+    star = stage(held)
+    best = F.max_by("first", F.struct("n", F.bitwise_not("first"))).alias("b")
+    pairs = star.where(F.col("n") >= agree).groupBy(F.col("id").alias("a")).agg(best)
+    about = [c for c in facts.columns if c != "id"]
+    for c in "ab":
+        pairs = pairs.join(facts.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in about]), c)
     links = stage(verify(stage(pairs)).select("a", "b"))
-    roots = connected_components(links).withColumnRenamed("id", "_id")
-    clusters = connected_components(star.select(F.col("id").alias("a"), "b")).withColumnRenamed("root", "cluster")
-    members = stage(clusters.join(roots, F.col("id") == F.col("_id"), "left").select("id", "cluster", F.coalesce("root", "id").alias("root")))
+    roots = connected_components(links)
+    clusters = connected_components(star.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    members = clusters.select("id", F.col("root").alias("cluster")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = stage(members)
     several = members.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("cluster")
-    members = members.join(several, "cluster", "left_semi")
-    facts = star.select(F.explode(F.array("me", "first")).alias("x")).groupBy("x.id").agg(F.min("x").alias("x"))
-    members = stage(members.join(facts, "id").select("id", "cluster", "root", *[f"x.{c}" for c in about]))
-    roots = roots.withColumnRenamed("_id", "id")
+    members = stage(members.join(several, "cluster", "left_semi").join(facts, "id"))
     if members.isEmpty():
         return roots
     more = stage(cross(members).select("a", "b"))

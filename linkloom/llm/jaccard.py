@@ -206,8 +206,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     count for that id's component. A row without doc_id has its set counted but links with nothing but equal sets, and a null component only if its equals have no doc_id either. Other columns are not read.
     """
     base = stage(incidence(docs, size, share))
-    keys = base.where("doc_id is not null and size(keys) > 0").select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"), "doc_id")
-    roots = link_components(keys, ["n", "doc_id"], *_products(docs, size, share), agree=2)
+    keys = base.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))
+    facts = stage(base.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")))
+    roots = link_components(keys, facts, *_products(docs, size, share), agree=2)
     rows = base.select("doc_id", "n_shingles", "set_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
