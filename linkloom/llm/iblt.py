@@ -20,8 +20,8 @@ from .common import text_or_empty
 PARAGRAPH = r"[^\n]{1,100}[^\n.!?]*[.!?]*"
 SIDE = 16  # cells in a third of a group
 ROUNDS = 12
-LOAD = 12  # digests that a group is meant for when a sketch is made larger
-RETRIES = 3
+LOAD = 10  # digests that a group is meant for when a sketch is made larger
+RETRIES = 2  # there are bits for three placements of a digest
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,39 +53,38 @@ def digests(text: Column) -> Column:
     return let(paragraphs(text), lambda ps: let(F.struct(ps.alias("every"), F.array_distinct(ps).alias("distinct")), both))
 
 
-def _cells_of(key: Column, salt: Column) -> Column:
-    """A digest's place: g, which picks its group, and at, its three cells there, one in each third."""
-    p = F.xxhash64(key, salt)
-    nibble = lambda n: F.shiftright(p, 4 * n).bitwiseAND(F.lit(SIDE - 1).cast("long")).cast("int") + n * SIDE
-    return F.struct(key.alias("k"), F.shiftrightunsigned(p, 16).alias("g"), F.array(nibble(0), nibble(1), nibble(2)).alias("at"))
+def _hits(key: Column, cell: Column, third: int, retry: int) -> Column:
+    """Whether a digest's cell in a third is ``cell``: four bits of the digest, others on a retry."""
+    return F.shiftright(key, 16 + 12 * retry + 4 * third).bitwiseAND(F.lit(SIDE - 1).cast("long")) == cell
 
 
-def _filled(xs: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(3 * SIDE - 1)), lambda c: let(F.filter(xs, lambda x: F.array_contains(x["at"], c)), _fold))
+def _cells() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
 
 
-def sketch(keys: Column, groups: Column | None, salt: Column) -> Column:
-    """array (groups x 48) of struct<n int, k long>, groups one after another; without ``groups`` one."""
-    placed = F.transform(keys, lambda k: _cells_of(k, salt))
-    if groups is None:
-        return let(placed, _filled)
+def _filled(keys: Column, retry: int) -> Column:
+    """The 48 cells of one group."""
+    fold = lambda xs: F.struct(F.size(xs).alias("n"), F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("k"))
 
-    def cells(items):
-        mine = lambda g: F.filter(items, lambda x: F.pmod(x["g"], groups.cast("long")) == g.cast("long"))
-        return F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda g: let(mine(g), _filled)))
+    def third(t: int) -> Column:
+        return F.transform(_cells(), lambda c: let(F.filter(keys, lambda x: _hits(x, c, t, retry)), fold))
 
-    return let(placed, cells)
+    return F.concat(third(0), third(1), third(2))
 
 
-def _fold(xs: Column) -> Column:
-    return F.struct(F.size(xs).alias("n"), F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["k"])).alias("k"))
+def sketch(keys: Column, groups: Column | None = None, retry: int = 0) -> Column:
+    """array (groups x 48) of struct<n int, k long>, groups one after another; without ``groups`` one."""
+    if groups is None:
+        return _filled(keys, retry)
+    mine = lambda g: F.filter(keys, lambda x: F.pmod(F.shiftrightunsigned(x, 52), groups) == g)
+    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: let(mine(g), lambda xs: _filled(xs, retry))))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k")))
 
 
-def peel(difference: Column, groups: Column | None, salt: Column) -> Column:
+def peel(difference: Column, groups: Column | None = None, retry: int = 0) -> Column:
     """struct<ok, found array<struct<k, n>>> of a difference of sketches: each differing digest, n = 1 if the first text has it, -1 if the second."""
 
     def one_group(cells):
@@ -95,38 +94,37 @@ def peel(difference: Column, groups: Column | None, salt: Column) -> Column:
         def turn(state, _):
             pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & _valid(c["k"])), lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
 
-            def remove(ps):
-                placed = F.transform(ps, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), _cells_of(p["k"], salt)["at"].alias("at")))
-
-                def without(qs):
+            def removed(ps):
+                def third(t: int) -> Column:
                     def clean(c, i):
-                        gone = F.filter(qs, lambda q: F.array_contains(q["at"], i))
-                        return let(gone, lambda gs: F.struct(F.aggregate(gs, c["n"], lambda a, q: a - q["n"]).alias("n"), F.aggregate(gs, c["k"], lambda a, q: a.bitwiseXOR(q["k"])).alias("k")))
+                        less = lambda gs: F.struct(F.aggregate(gs, c["n"], lambda a, q: a - q["n"]).alias("n"), F.aggregate(gs, c["k"], lambda a, q: a.bitwiseXOR(q["k"])).alias("k"))
+                        return let(F.filter(ps, lambda q: _hits(q["k"], i.cast("long"), t, retry)), lambda gs: F.when(F.size(gs) == 0, c).otherwise(less(gs)))
 
-                    return F.struct(F.transform(state["cells"], clean).alias("cells"), F.concat(state["found"], ps).alias("found"))
+                    return F.transform(F.slice(state["cells"], t * SIDE + 1, SIDE), clean)
 
-                return F.when(F.size(ps) == 0, state).otherwise(let(placed, without))
+                left = F.concat(third(0), third(1), third(2))
+                return F.when(F.size(ps) == 0, state).otherwise(F.struct(left.alias("cells"), F.concat(state["found"], ps).alias("found")))
 
-            return let(pure, remove)
+            return let(pure, removed)
 
         end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, turn)
         return let(end, lambda s: F.struct((~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))).alias("ok"), s["found"].alias("found")))
 
     if groups is None:
         return one_group(difference)
-    each = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: one_group(F.slice(difference, g * (3 * SIDE) + 1, 3 * SIDE)))
+    start = lambda g: g.cast("int") * (3 * SIDE) + 1
+    each = F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: one_group(F.slice(difference, start(g), 3 * SIDE)))
     return let(each, lambda xs: F.struct(F.forall(xs, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(xs, lambda x: x["found"])).alias("found")))
 
 
 def with_difference(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
     """``rows`` with ``name``, struct<ok, found>: the digests that only one of the digest arrays ``a`` and ``b`` has, peeled from their
-    sketches of one group, where that fails from larger ones: a group for every ``LOAD`` digests, then twice and four times as many."""
-    rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b)), None, F.lit(0)))
+    sketches of one group, where that fails from larger ones: a group for every ``LOAD`` digests, then twice as many."""
+    rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b))))
     for retry in range(1, RETRIES + 1):
-        groups = F.greatest(F.lit(2), F.ceil((F.size(a) + F.size(b)) * F.lit(2 ** (retry - 1)) / F.lit(LOAD)).cast("int"))
-        salt = F.lit(retry)
-        rows = rows.withColumn("_groups", groups).withColumn("_cells", F.when(~F.col(name)["ok"], subtract(sketch(F.col(a), F.col("_groups"), salt), sketch(F.col(b), F.col("_groups"), salt))))
-        rows = rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(peel(F.col("_cells"), F.col("_groups"), salt))).drop("_groups", "_cells")
+        groups = F.greatest(F.lit(2).cast("long"), F.ceil((F.size(a) + F.size(b)) * F.lit(2 ** (retry - 1)) / F.lit(LOAD)))
+        rows = rows.withColumn("_groups", groups).withColumn("_cells", F.when(~F.col(name)["ok"], subtract(sketch(F.col(a), F.col("_groups"), retry), sketch(F.col(b), F.col("_groups"), retry))))
+        rows = rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(peel(F.col("_cells"), F.col("_groups"), retry))).drop("_groups", "_cells")
     return rows
 
 
@@ -177,7 +175,7 @@ def fingerprint_versions(pairs: DataFrame) -> DataFrame:
     edit_digests are the peeled digests that differ between the versions (n = 1: only in text). An empty text has an empty sketch.
     """
     rows = pairs.select("doc_id", "text", "edited", "d", digests(F.col("edited")).alias("de"), F.col("next_d").alias("dn"))
-    rows = rows.select("*", *[sketch(F.col(d), None, F.lit(0)).alias(s) for d, s in (("d", "s"), ("de", "se"), ("dn", "sn"))])
+    rows = rows.select("*", *[sketch(F.col(d)).alias(s) for d, s in (("d", "s"), ("de", "se"), ("dn", "sn"))])
     rows = with_difference(with_difference(rows, "xe", "d", "de", "s", "se"), "xn", "d", "dn", "s", "sn")
     return rows.select(
         "doc_id",
