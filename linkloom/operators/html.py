@@ -127,6 +127,7 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
                     for i, (parent, depth, tag, attrs, own, last, post, outer) in enumerate(_Shredder().shred(page or "")):
                         for name, value in zip(out, (page_id, i, parent if parent >= 0 else None, i, last, post, depth, tag, attrs, own, outer), strict=True):
                             out[name].append(value)
-                yield pd.DataFrame(out).astype({"parent_id": "Int32"})
+                if out["page_id"]:
+                    yield pd.DataFrame(out).astype({"parent_id": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, NODE)

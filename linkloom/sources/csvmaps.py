@@ -18,10 +18,12 @@ def read_csv_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     The header is a file's first line, split at every comma; other lines are split at commas outside of double quotes, quotes stay, all is
     trimmed. A line with another number of values, or a header with a name twice, is bad. data gets ``Id`` (a digest of file and line) where no key is id
-    in any case; an id that isn't a GUID keeps its value and the row's id is the digest. Blank lines are left out.
+    in any case; an id that isn't a GUID keeps its value and the row's id is the digest. Blank lines are left out. Files are read in splits, line by
+    line: line_no grows along a file but isn't dense. Headers, one a file, are joined back.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("line_no", "line"), F.element_at(F.split("value", "\r\n|\r|\n"), 1).alias("header"))
-    rows = lines.where("line_no > 0 and trim(line) != ''").withColumn("_h", _trimmed(F.split("header", ","))).withColumn("_v", _trimmed(F.split("line", OUTSIDE_QUOTES)))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("line_no"), F.rtrim("value").alias("line"))
+    header = lines.where("_at = 0").groupBy("file").agg(F.min(F.struct("line_no", "line")).alias("_first"))
+    rows = lines.join(header, "file").where("line_no != _first.line_no and trim(line) != ''").withColumn("_h", _trimmed(F.split("_first.line", ","))).withColumn("_v", _trimmed(F.split("line", OUTSIDE_QUOTES)))
     twice = F.size(F.array_distinct("_h")) != F.size("_h")
     error = F.when(twice, "header has a name twice").when(F.size("_h") != F.size("_v"), "number of values differs from the header")
     rows = rows.withColumn("error", error)

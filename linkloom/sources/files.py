@@ -29,7 +29,7 @@ def file_messages(spark: SparkSession, folder: str, schema: str, glob: str = "*.
 
 def read_file_messages(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
     """The same rows from the files that are there now."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    raw = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     return _file_rows(raw.select("value", F.col("_metadata.file_path").alias("_file")), schema)
 
 
