@@ -60,7 +60,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 2, cluster
     nor a large group of copies meets in one task; every shard may leave its last bins part empty.
     """
     key = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(text_or_empty())
-    sized = stage(docs.select("doc_id", "source", key.alias("_cluster"), count_words(text_or_empty()).alias("_size")))
+    sized = stage(docs.select("doc_id", "source", key.alias("_cluster"), count_words(text_or_empty()).alias("_size"), F.monotonically_increasing_id().alias("_row")))
     shards = max(1, -(-sized.count() // shard))
     start = F.explode(F.when(F.col("_size") > 0, F.sequence(F.lit(0).cast("long"), F.col("_size") - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
     pieces = (
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 2, cluster
     )
     columns = ["doc_id", "source", "piece", "start_word", "n_words"]
     alone = pieces.where(F.col("n_words").isin(0, capacity))
-    alone_id = F.when(F.col("n_words") == 0, F.lit("-1")).otherwise(F.concat_ws("-", F.lit("f"), F.col("doc_id"), "piece", F.hex("_cluster")))
+    alone_id = F.when(F.col("n_words") == 0, F.lit("-1")).otherwise(F.concat(F.lit("f"), F.col("_row"), F.lit("-"), F.col("piece")))
     alone = alone.select(alone_id.alias("bin_id"), F.lit(0).alias("position"), *columns)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
