@@ -75,9 +75,13 @@ def _filled(keys: Column, retry: int) -> Column:
 def sketch(keys: Column, groups: Column | None = None, retry: int = 0) -> Column:
     """array (groups x 48) of struct<n int, k long>, groups one after another; without ``groups`` one."""
     if groups is None:
-        return _filled(keys, retry)
-    mine = lambda g: F.filter(keys, lambda x: F.pmod(F.shiftrightunsigned(x, 52), groups) == g)
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: let(mine(g), lambda xs: _filled(xs, retry))))
+        return let(keys, lambda ks: _filled(ks, retry))
+
+    def every(ks):  # bound once: Spark may put whole expressions where a column's name stands, also inside of loops
+        mine = lambda g: F.filter(ks, lambda x: F.pmod(F.shiftrightunsigned(x, 52), groups) == g)
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: let(mine(g), lambda xs: _filled(xs, retry))))
+
+    return let(keys, every)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -113,7 +117,7 @@ def peel(difference: Column, groups: Column | None = None, retry: int = 0) -> Co
     if groups is None:
         return one_group(difference)
     start = lambda g: g.cast("int") * (3 * SIDE) + 1
-    each = F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: one_group(F.slice(difference, start(g), 3 * SIDE)))
+    each = let(difference, lambda d: F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: one_group(F.slice(d, start(g), 3 * SIDE))))
     return let(each, lambda xs: F.struct(F.forall(xs, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(xs, lambda x: x["found"])).alias("found")))
 
 
