@@ -11,6 +11,7 @@ Documents with equal sets are one row of the matrix. Components need no more lin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,13 @@ from .textvec import Tokenizer, mix, shingles
 
 
 def size_classes(share: tuple[int, int], largest: int) -> list[int]:
-    """Upper bounds of the size classes up to ``largest``: each about (1 / threshold) squared times the one before."""
+    """Upper bounds of the size classes up to ``largest``: each about 1 / threshold times the one before, squared for high thresholds."""
     num, den = share
+    if 6 * num < 5 * den:  # blocks are small here: narrow classes keep them from getting smaller still
+        bounds = [den // (den - num)]
+        while bounds[-1] < largest:
+            bounds.append(bounds[-1] * den // num + 1)
+        return bounds
     bounds = [den // (den - num) if den > num else largest]
     while bounds[-1] < largest:
         bounds.append(bounds[-1] * den * den // (num * num) + 1)
@@ -36,8 +42,9 @@ def block_keys(items: np.ndarray, share: tuple[int, int], bounds: list[int]) ->
     """The keys of one document, given its distinct shingle hashes in ascending order.
 
     A class holds the pairs whose smaller set has at most ``u`` elements. Sets of a pair with intersection / union >= num / den differ in at most
-    d = floor(u * den / num) - u elements, so of d + 2 blocks two agree. A document has keys for the class of its size and for the smaller
-    classes where it may be the larger set. Empty blocks are keys only where a document has two of them: with one, the other agreeing block isn't empty.
+    d = floor(u * den / num) - u elements, so of d + g blocks g agree. g is 2 and half as many again as the empty blocks that the smallest set
+    of the class will have. A document has keys for the class of its size and for the smaller classes where it may be the larger set. Empty
+    blocks are keys only where a document has more than g - 2 of them: with less, two of the agreeing blocks aren't empty.
     """
     num, den = share
     n, out = len(items), []
@@ -48,14 +55,16 @@ def block_keys(items: np.ndarray, share: tuple[int, int], bounds: list[int]) ->
         d = bounds[c] * den // num - bounds[c]
         if not d:
             continue
-        blocks = d + 2
+        least = bounds[c - 1] + 1 if c else den // (den - num)
+        spare = 2 + math.ceil(1.5 * (d + 2) * math.exp(-least / (d + 2)))
+        blocks = d + spare
         block = ((items >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         start = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         filled = block[start]
         tag = mix(filled + np.uint64((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         counts = np.diff(np.append(start, n)).astype(np.uint64)
         out.append(mix(np.add.reduceat(mix(items ^ np.uint64(0x5851F42D4C957F2D)), start) + tag + counts))
-        if blocks - len(filled) > 1:
+        if blocks - len(filled) > spare - 2:
             empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), filled)
             out.append(mix(mix(empty + np.uint64((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) ^ np.uint64(0x0123456789ABCDEF)))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
