@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, all but the first of each group; a document that loses its last words this way goes too."""
-    out = linededup.dedup_lines(docs.select(*COLUMNS))
+    out = linededup.dedup_lines(docs.select(*COLUMNS), bits=None, min_words=1, fuzzy_words=1)
     return out.where("not emptied").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

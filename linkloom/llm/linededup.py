@@ -4,6 +4,11 @@ A line's words are lower-cased (A-Z) and joined by one space; equal normal lines
 (over its pairs of neighbouring words, which common words sway less than single ones) are cut into six blocks; lines that differ in at most three bits agree in three whole blocks, so each of the twenty triples of
 blocks is a key. Classes that share a key link when they differ in at most ``bits`` bits and their edit similarity
 in words, 1 - distance / longer length, is at least ``similarity``. Of every connected group the first line (by doc_id, then place) stays.
+
+Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils three of a line's
+three-word runs at most, so that two lines in reach share a number of runs, and hence one of the first few in any order that holds for all
+lines; these are the keys, runs known to be common last. Lines of four and five words share what is left when a word is taken out.
+Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them apart are not compared.
 """
 
 from __future__ import annotations
@@ -13,17 +18,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import may_contain, split_by, stage, text_or_empty
-from .components import link_components, tile_pairs
-from .textvec import Tokenizer, Words, mix
+from .components import connected_components, link_components, tile_pairs
+from .textvec import Tokenizer, Words, mix, shingles
 
 MIN_WORDS = 5
 FUZZY_WORDS = 8
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
+RUN = 3  # words of a run
+SMALL = 32  # a key of more lines is compared tile by tile
+COMMON = 1 << 16  # runs that are known as common, at most
+SAMPLE = 16  # one of so many documents is looked at for them
+
 
 def simhash(words: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The majority of each bit over the words of each line; ``start`` has the first word of each line (no line is empty)."""
@@ -92,8 +102,196 @@ def _words_as_characters(line):
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(doc_id, line_no) of the lines that repeat an earlier one, in the sense above; one narrow pass over the text and one for candidates."""
+def _numbered(rows: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within every stretch of equal values."""
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    at = np.flatnonzero(first)
+    return np.arange(len(rows)) - np.repeat(at, np.diff(np.append(at, len(rows))))
+
+
+def _whole(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The line_id of every line."""
+    place = np.arange(len(w.hash)) - np.repeat(start, size)
+    whole = np.add.reduceat(mix(w.hash + mix(place.astype(np.uint64) + np.uint64(0x7F4A7C15))), start)
+    return mix(whole + size.astype(np.uint64))
+
+
+def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """doc_id, line_no, line_id, n (words), p0 and p1 (128 parities of words by hash) of every line of at least ``min_words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokenizer(fold=True)
+        for batch in batches:
+            for w in tokens.chunks(batch.column(1)):
+                doc, number, start, size = _lines_of(w)
+                if not len(doc):
+                    continue
+                bit, low = np.uint64(1) << (w.hash & np.uint64(63)), (w.hash & np.uint64(64)) == 0
+                parity = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) for half in (low, ~low)]
+                keep = size >= min_words
+                numbers = [x.view(np.int64)[keep] for x in (_whole(w, start, size), *parity)]
+                columns = [number[keep].astype(np.int32), numbers[0], size[keep].astype(np.int32), *numbers[1:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + doc[keep])), *[pa.array(c) for c in columns]], names=["doc_id", "line_no", "line_id", "n", "p0", "p1"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, line_id long, n int, p0 long, p1 long")
+
+
+def _runs(w: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of every run of ``RUN`` words within a line."""
+    last = np.repeat(start + size, size)[: max(0, len(w.hash) - RUN + 1)]
+    inside = np.flatnonzero(np.arange(len(last)) + RUN <= last)
+    line = np.repeat(np.arange(len(start)), size)[inside]
+    return line, shingles(w.hash, RUN)[inside] if len(inside) else np.empty(0, np.uint64)
+
+
+def common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent runs of a sample of documents, ascending, and how common each is (1 to 63). They only set the order of runs: links don't depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokenizer(fold=True)
+        for batch in batches:
+            found = [_runs(w, *_lines_of(w)[2:])[1] for w in tokens.chunks(batch.column(0))]
+            value, count = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value[count > 1].view(np.int64)), pa.array(count[count > 1])], names=["run", "n"])
+
+    seen = docs.where(f"pmod(xxhash64(doc_id, 3), {SAMPLE}) = 0").select("text").mapInArrow(run, "run long, n long")
+    top = seen.groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(COMMON).toArrow()
+    value = top.column("run").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(value)
+    level = np.minimum(63, 4 * np.log2(np.maximum(top.column("n").to_numpy().astype(float), 1)))
+    return value[order], level[order].astype(np.uint64)
+
+
+def most_edits(n: int, similarity: float) -> int:
+    return int(n * (1 - similarity) + 1e-9)
+
+
+def prefix_sizes(longest: int, similarity: float) -> np.ndarray:
+    """How many of its runs, in the common order, a line of so many words needs as keys to share one with every line in reach of six words or more."""
+    shared = np.array([n - RUN + 1 - RUN * most_edits(n, similarity) for n in range(int(longest / similarity) + 2)])
+    out = np.zeros(longest + 1, np.int64)
+    for n in range(5, longest + 1):
+        out[n] = n - RUN + 1 - max(1, min(shared[max(n, 6) : int(n / similarity + 1e-9) + 1], default=1)) + 1
+    return np.maximum(out, 0)
+
+
+def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
+    """(key, id): lines in reach of each other share a key at least. Repeats where a line is repeated."""
+    common, level = common_runs(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, prefix = Tokenizer(fold=True), prefix_sizes(64, similarity)
+        for batch in batches:
+            for w in tokens.chunks(batch.column(0)):
+                _, _, start, size = _lines_of(w)
+                if not len(start):
+                    continue
+                whole = _whole(w, start, size)
+                once = np.zeros(len(start), bool)
+                once[np.unique(whole, return_index=True)[1]] = True
+                once &= size >= fuzzy_words
+                if size.max() >= len(prefix):
+                    prefix = prefix_sizes(2 * int(size.max()), similarity)
+                line, runs = _runs(w, start, size)
+                line, runs = line[once[line]], runs[once[line]]
+                order = runs >> np.uint64(6)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
+                    order |= np.where(common[at] == runs, level[at], np.uint64(0)) << np.uint64(58)
+                by = np.lexsort((order, line))
+                line, runs = line[by], runs[by]
+                again = _numbered(mix(runs + line.astype(np.uint64)))  # a run's second occurrence is another key than its first
+                keep = _numbered(line) < prefix[size[line]]
+                keys, ids = [mix(runs + mix(again.astype(np.uint64)))[keep]], [whole[line[keep]]]
+                for n, out in ((4, (4,)), (5, range(5))):
+                    at = np.flatnonzero((size == n) & once)
+                    for gone in out:
+                        total = np.full(len(at), 4, np.uint64)
+                        for i in range(n):
+                            if i != gone:
+                                total = mix(total * np.uint64(0xA0761D6478BD642F) + w.hash[start[at] + i])
+                        keys.append(total)
+                        ids.append(whole[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, ids)], names=["key", "id"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b, doc_id_a, line_no_a, doc_id_b, line_no_b) whose lines are near enough: a, b."""
+    needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("line_id"), F.col(f"doc_id_{c}").alias("doc_id"), F.col(f"line_no_{c}").alias("line_no")) for c in "ab"])).alias("x")).select("x.*")
+    needed = stage(needed.distinct())
+    said = may_contain(docs.select("doc_id", "text"), needed, "doc_id").select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    said = may_contain(said, needed, "doc_id", "line_no").join(needed, ["doc_id", "line_no"])
+    said = stage(said.select("line_id", _words_as_characters(F.col("line")).alias("line")).distinct())
+    for c in "ab":
+        pairs = pairs.join(said.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")), c)
+    longest = F.greatest(F.length("line_a"), F.length("line_b"))
+    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    near = (F.least(F.length("line_a"), F.length("line_b")) >= longest * similarity - 1e-9) & (F.levenshtein("line_a", "line_b") <= most)
+    return pairs.where(near).select("a", "b")
+
+
+def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
+    """(id, root) of the classes (line_id, first, n_words, p0, p1) that are linked by edit similarity alone.
+
+    Every class is first compared with the smallest one of the key that it shares most keys with; what isn't connected then is compared with
+    all that share a key: in a join where a key has few classes, tile by tile where it has many.
+    """
+    facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), "p0", "p1")
+    places = classes.select(F.col("line_id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    by_key = Window.partitionBy("key")
+    keys = line_keys(docs, similarity, fuzzy_words)
+    keys = keys.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key", "id").agg(F.lit(1).alias("one"))
+    keys = stage(keys.select("key", "id", F.min("id").over(by_key).alias("first"), F.count("*").over(by_key).alias("size")).where("size > 1"))
+
+    def about(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(table.select(*[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in table.columns]), c)
+        return pairs
+
+    longer = F.greatest("n_a", "n_b")
+    edits = F.floor(longer * (1 - similarity) + 1e-9)
+    likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr("bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b)") <= 2 * edits)
+    star = keys.where("id != first").groupBy("id", "first").agg(F.count("*").alias("n"))
+    best = star.groupBy(F.col("id").alias("a")).agg(F.max_by("first", F.struct("n", F.bitwise_not("first"))).alias("b"))
+    best = about(best, facts).where(likely).select("a", "b")
+    links = stage(_verify(docs, stage(about(best, places)), similarity))
+    roots = stage(connected_components(links))
+    members = keys.select("key", "id", "size").join(facts, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    few = stage(members.where(f"size <= {SMALL}").drop("size"))
+    sides = [few.select("key", *[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in ("id", "n", "p0", "p1", "root")]) for c in "ab"]
+    pairs = sides[0].join(sides[1], "key").where(likely & F.expr("a < b and root_a != root_b")).select("a", "b")
+
+    def near(tile: pa.Table) -> pa.Table:
+        side, root, n = (tile.column(c).to_numpy() for c in ("side", "root", "n"))
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        most = np.floor(np.maximum(n[left][:, None], n[right][None, :]) * (1 - similarity) + 1e-9)
+        turned = sum(np.bitwise_count(p[left][:, None] ^ p[right][None, :]).astype(np.int32) for p in (tile.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("p0", "p1")))
+        x, y = np.nonzero((np.abs(n[left][:, None] - n[right][None, :]) <= most) & (turned <= 2 * most) & (root[left][:, None] != root[right][None, :]))
+        if left is right:
+            x, y = x[x < y], y[x < y]
+        ids = tile.column("id").to_numpy()
+        return pa.table({"a": np.minimum(ids[left[x]], ids[right[y]]), "b": np.maximum(ids[left[x]], ids[right[y]])})
+
+    many = members.where(f"size > {SMALL}").drop("size").withColumnRenamed("key", "cluster")
+    pairs = pairs.unionByName(tile_pairs(stage(many)).groupBy("cluster", "i", "j").applyInArrow(near, "a long, b long"))
+    more = stage(_verify(docs, stage(about(stage(pairs.distinct()), places)), similarity))
+    return roots if more.isEmpty() else connected_components(links.unionByName(more))
+
+
+def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+    """(doc_id, line_no) of the lines that repeat an earlier one, in the sense above; ``bits`` None leaves it to the edit similarity alone."""
+    if bits is None:
+        if similarity < 0.8:
+            raise ValueError("lines share runs for sure only from a similarity of 0.8 on")
+        lines = stage(line_shapes(docs, min_words))
+        first = F.min(F.struct("doc_id", "line_no")).alias("first")
+        classes = stage(lines.groupBy("line_id").agg(first, F.count("*").alias("n"), F.first("n").alias("n_words"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
+        return _later(lines, classes, near_lines(docs, classes, similarity, max(min_words, fuzzy_words)))
     if bits > 3:
         raise ValueError("three of six blocks agree only up to 3 bits")
     lines = stage(line_classes(docs, min_words, fuzzy_words))
@@ -106,17 +304,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int = 3, min_
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"bit_count(bits_a ^ bits_b) <= {bits}")
-        needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("line_id"), F.col(f"doc_id_{c}").alias("doc_id"), F.col(f"line_no_{c}").alias("line_no")) for c in "ab"])).alias("x")).select("x.*")
-        needed = stage(needed.distinct())
-        said = may_contain(docs.select("doc_id", "text"), needed, "doc_id").select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-        said = may_contain(said, needed, "doc_id", "line_no").join(needed, ["doc_id", "line_no"])
-        said = stage(said.select("line_id", _words_as_characters(F.col("line")).alias("line")).distinct())
-        for c in "ab":
-            pairs = pairs.join(said.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")), c)
-        longest = F.greatest(F.length("line_a"), F.length("line_b"))
-        most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-        near = (F.least(F.length("line_a"), F.length("line_b")) >= longest * similarity - 1e-9) & (F.levenshtein("line_a", "line_b") <= most)
-        return pairs.where(near).select("a", "b")
+        return _verify(docs, pairs, similarity)
 
     def cross(members: DataFrame) -> DataFrame:
         rows = tile_pairs(members)
@@ -140,6 +328,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int = 3, min_
         return verify(stage(rows.groupBy("cluster", "i", "j").applyInArrow(near, sides)))
 
     roots = link_components(keys, facts, verify, cross, agree=1)
+    return _later(lines, classes, roots)
+
+
+def _later(lines: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, line_no) of all lines but the first of each root."""
     grouped = classes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     many = grouped.where("n > 1 or root != line_id").select("root").distinct()
     kept = grouped.join(many, "root", "left_semi").groupBy("root").agg(F.min("first").alias("kept"))
@@ -148,7 +341,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int = 3, min_
     return again.select("doc_id", "line_no")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.8, bits: int = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
     """``docs`` with the repeated lines cut out of text, and n_lines, n_removed, emptied added.
 
     Lines are split at ``\\n``; lines of fewer than ``min_words`` words stay always, lines of fewer than ``fuzzy_words`` go only for an equal one.
