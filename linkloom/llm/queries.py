@@ -110,7 +110,7 @@ def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier line, nearly or exactly."""
-    out = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
+    out = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None, min_words=1, fuzzy_words=1)
     return out.select("doc_id", "text", "n_lines", "n_removed", "emptied")
 
 
