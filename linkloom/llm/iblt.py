@@ -4,7 +4,8 @@ A text is a multiset of paragraphs: its lines, long ones cut at ends of sentence
 64-bit digest whose low 16 bits check the others. A sketch has groups of 3 x 16 cells; a digest goes to one group and there to one
 cell in each third, where digests are counted and xor-ed. Two sketches subtract cell by cell, so that what both texts hold cancels;
 peeling takes the cells that hold a single digest, removes it from its other cells and goes on until the differing
-digests are all found. Where that fails, both texts are sketched again with more groups.
+digests are all found. Where that fails, both texts are sketched again with more groups, and where that fails too the digests
+themselves are compared.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def sketch(keys: Column, groups: Column | None = None, retry: int = 0) -> Column
         return let(keys, lambda ks: _filled(ks, retry))
 
     def every(ks):  # bound once: Spark may put whole expressions where a column's name stands, also inside of loops
-        mine = lambda g: F.filter(ks, lambda x: F.pmod(F.shiftrightunsigned(x, 52), groups) == g)
+        mine = lambda g: F.filter(ks, lambda x: F.pmod(F.xxhash64(x, F.lit(retry)), groups) == g)
         return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: let(mine(g), lambda xs: _filled(xs, retry))))
 
     return let(keys, every)
@@ -123,13 +124,15 @@ def peel(difference: Column, groups: Column | None = None, retry: int = 0) -> Co
 
 def with_difference(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, sketch_b: str) -> DataFrame:
     """``rows`` with ``name``, struct<ok, found>: the digests that only one of the digest arrays ``a`` and ``b`` has, peeled from their
-    sketches of one group, where that fails from larger ones: a group for every ``LOAD`` digests, then twice as many."""
+    sketches of one group, where that fails from larger ones: a group for every ``LOAD`` digests, then twice as many. What still fails is the difference of the arrays, so ok is always true."""
     rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b))))
     for retry in range(1, RETRIES + 1):
         groups = F.greatest(F.lit(2).cast("long"), F.ceil((F.size(a) + F.size(b)) * F.lit(2 ** (retry - 1)) / F.lit(LOAD)))
         rows = rows.withColumn("_groups", groups).withColumn("_cells", F.when(~F.col(name)["ok"], subtract(sketch(F.col(a), F.col("_groups"), retry), sketch(F.col(b), F.col("_groups"), retry))))
         rows = rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(peel(F.col("_cells"), F.col("_groups"), retry))).drop("_groups", "_cells")
-    return rows
+    only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
+    exact = F.struct(F.lit(True).alias("ok"), F.concat(only(a, b, 1), only(b, a, -1)).alias("found"))
+    return rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(exact))
 
 
 def likeness(a: Column, b: Column, found: Column) -> Column:
