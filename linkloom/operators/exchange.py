@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COMPONENT, ROUTE
@@ -18,9 +18,13 @@ ENVELOPE = ["id", "payload_type", "payload", "routing_key", "correlation_id", "p
 
 
 def envelope(messages: DataFrame) -> DataFrame:
-    """Messages with an id (a digest of the row where it is null) and a correlation id that defaults to it."""
+    """Messages with an id and a correlation id that defaults to it. Where the id is null it is a digest of the row; of equal rows, the second and later ones have their number after it."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("payload_type", "payload", "routing_key", "correlation_id")]
-    out = messages.withColumn("id", F.coalesce("id", F.sha2(F.concat_ws("\x1f", *parts), 256)))
+    missing = messages.where("id is null").withColumn("_digest", F.sha2(F.concat_ws("\x1f", *parts), 256))
+    other = F.to_json(F.struct(*[F.col(f"`{c}`") for c in messages.columns]))
+    missing = missing.withColumn("_place", F.row_number().over(Window.partitionBy("_digest").orderBy(other)))
+    missing = missing.withColumn("id", F.when(F.col("_place") == 1, F.col("_digest")).otherwise(F.concat_ws("-", "_digest", F.lit("row"), F.col("_place").cast("string"))))
+    out = messages.where("id is not null").unionByName(missing.select(*[F.col(f"`{c}`") for c in messages.columns]))
     return out.withColumn("correlation_id", F.coalesce("correlation_id", "id"))
 
 
