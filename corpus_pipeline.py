@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm import jaccard, linededup, mixing, packing, quality
@@ -29,9 +29,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs.select(*COLUMNS)).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"))
-    taken = docs.select(*COLUMNS).join(stage(copies), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    """Every row as often as the mix takes it: one draw for one row, whatever ids are repeated or null."""
+    row = F.xxhash64(*COLUMNS)
+    place = F.row_number().over(Window.partitionBy(row).orderBy(*COLUMNS))
+    keyed = stage(docs.select(*COLUMNS, F.concat_ws("-", row.cast("string"), place.cast("string")).alias("_row")))
+    copies = mixing.mix(keyed.select(F.col("_row").alias("doc_id"), "source", "text")).where("copies > 0")
+    taken = keyed.join(stage(copies.select(F.col("doc_id").alias("_row"), F.col("copies").alias("_copies"))), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*COLUMNS)
 
 
