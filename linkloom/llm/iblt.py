@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is a multiset of paragraphs: its lines, long ones cut at ends of sentences. Every distinct paragraph (with how often it occurs) has a
+A text is a multiset of paragraphs: pieces of four to nine words of a line, cut after words that end alike. Every distinct paragraph (with how often it occurs) has a
 64-bit digest whose low 16 bits check the others. A sketch has groups of 3 x 16 cells; a digest goes to one group and there to one
 cell in each third, where digests are counted and xor-ed. Two sketches subtract cell by cell, so that what both texts hold cancels;
 peeling takes the cells that hold a single digest, removes it from its other cells and goes on until the differing
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-#: A paragraph is a line, cut after the first end of a sentence that comes 100 characters or more after its beginning.
-PARAGRAPH = r"[^\n]{1,100}[^\n.!?]*[.!?]*"
+#: A paragraph is a piece of a line: three to eight words and one that ends in s, n or a mark, or else nine words or what is left of the line. Cuts
+#: follow from the words nearby, so that they fall into place again after an edit.
+PARAGRAPH = r"[^\S\n]*+(?:(?:\S++[^\S\n]*+){3,8}?\S*[sn.!?](?!\S)[^\S\n]*+|(?:\S++[^\S\n]*+){1,9})"
 SIDE = 16  # cells in a third of a group
 ROUNDS = 12
 LOAD = 10  # digests that a group is meant for when a sketch is made larger
 RETRIES = 2  # there are bits for three placements of a digest
+MOST = 256  # digests of both texts for a retry, whose work grows with their square; more are compared themselves, with the same result
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,12 +48,12 @@ def paragraphs(text: Column) -> Column:
 def digests(text: Column) -> Column:
     """The digests of a text's paragraphs, array<long>; none for an empty text."""
 
-    def both(pair):
-        every, distinct = pair["every"], pair["distinct"]
-        once = F.size(every) == F.size(distinct)
-        return F.when(once, F.transform(distinct, lambda p: _digest(p, F.lit(1)))).otherwise(F.transform(distinct, lambda p: _digest(p, F.size(F.filter(every, lambda q: q == p)))))
+    def counted(ps):  # in order, so that equal ones are neighbours
+        first = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: (i == 1) | (F.element_at(ps, i) != F.element_at(ps, F.greatest(i - 1, F.lit(1)))))
+        each = let(first, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(ps) + 1)), lambda i, j: _digest(F.element_at(ps, i), j - i)))
+        return F.when(F.size(ps) == 0, F.array().cast("array<bigint>")).otherwise(each)
 
-    return let(paragraphs(text), lambda ps: let(F.struct(ps.alias("every"), F.array_distinct(ps).alias("distinct")), both))
+    return let(F.array_sort(paragraphs(text)), counted)
 
 
 def _hits(key: Column, cell: Column, third: int, retry: int) -> Column:
@@ -128,8 +130,8 @@ def with_difference(rows: DataFrame, name: str, a: str, b: str, sketch_a: str, s
     rows = rows.withColumn(name, peel(subtract(F.col(sketch_a), F.col(sketch_b))))
     for retry in range(1, RETRIES + 1):
         groups = F.greatest(F.lit(2).cast("long"), F.ceil((F.size(a) + F.size(b)) * F.lit(2 ** (retry - 1)) / F.lit(LOAD)))
-        rows = rows.withColumn("_groups", groups).withColumn("_cells", F.when(~F.col(name)["ok"], subtract(sketch(F.col(a), F.col("_groups"), retry), sketch(F.col(b), F.col("_groups"), retry))))
-        rows = rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(peel(F.col("_cells"), F.col("_groups"), retry))).drop("_groups", "_cells")
+        rows = rows.withColumn("_groups", groups).withColumn("_cells", F.when(~F.col(name)["ok"] & (F.size(a) + F.size(b) <= MOST), subtract(sketch(F.col(a), F.col("_groups"), retry), sketch(F.col(b), F.col("_groups"), retry))))
+        rows = rows.withColumn(name, F.when(F.col(name)["ok"] | F.col("_cells").isNull(), F.col(name)).otherwise(peel(F.col("_cells"), F.col("_groups"), retry))).drop("_groups", "_cells")
     only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
     exact = F.struct(F.lit(True).alias("ok"), F.concat(only(a, b, 1), only(b, a, -1)).alias("found"))
     return rows.withColumn(name, F.when(F.col(name)["ok"], F.col(name)).otherwise(exact))
