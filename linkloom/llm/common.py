@@ -32,7 +32,19 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a new folder of the shared directory and read it back: lineage ends there and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/linkloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the folders of tables from :func:`stage` that nothing reads any more; other tables are left alone."""
+    for df in staged:
+        path = getattr(df, "staged_in", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def membership(ids: DataFrame, *key: str) -> DataFrame:

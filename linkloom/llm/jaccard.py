@@ -1,9 +1,9 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix with its transpose.
 
-Columns are dealt into blocks by a hash, into so many blocks that two documents whose overlap reaches the bound of their sizes must
-agree in two whole blocks at least. The first products are over blocks as wholes: rows that agree in a block share its key, agreeing
-blocks are counted for each pair, and pairs below two, or whose sizes rule the bound out, are discarded. For the remaining pairs the
-overlap is counted over all columns and held against the bound of their sizes.
+Columns are in a common order, rare n-grams first. The first products run over the first columns of each row only, as many as two rows whose overlap
+reaches the bound of their sizes need to agree in some of them: rows that share such a column meet, their overlaps are counted for each pair, and
+pairs with too few, or whose sizes or parities rule the bound out, are discarded. For the rest the overlap is counted over all
+columns, block by block, and held against the bound of their sizes.
 
 Documents with equal sets are one row of the matrix. Components need no more links than connect them, see
 :func:`~linkloom.llm.components.link_components`.
@@ -11,7 +11,6 @@ Documents with equal sets are one row of the matrix. Components need no more lin
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,93 +19,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import may_contain, stage
-from .components import link_components, tile_pairs
+from .components import link_components, star_tiles, tile_pairs
+from .ordering import RareFirst, rare_first
 from .textvec import Tokenizer, mix, shingles
 
 
-def size_classes(share: tuple[int, int], largest: int) -> list[int]:
-    """Upper bounds of the size classes up to ``largest``: each about 1 / threshold times the one before, squared for high thresholds."""
+def agreeing(share: tuple[int, int]) -> int:
+    """How many of their first columns two linked rows share: c common elements of different sets make at most c / (c + 1) of the union."""
     num, den = share
-    if 6 * num < 5 * den:  # blocks are small here: narrow classes keep them from getting smaller still
-        bounds = [den // (den - num)]
-        while bounds[-1] < largest:
-            bounds.append(bounds[-1] * den // num + 1)
-        return bounds
-    bounds = [den // (den - num) if den > num else largest]
-    while bounds[-1] < largest:
-        bounds.append(bounds[-1] * den * den // (num * num) + 1)
-    return bounds
-
-
-def block_keys(items: np.ndarray, share: tuple[int, int], bounds: list[int]) -> np.ndarray:
-    """The keys of one document, given its distinct shingle hashes in ascending order.
-
-    A class holds the pairs whose smaller set has at most ``u`` elements. Sets of a pair with intersection / union >= num / den differ in at most
-    d = floor(u * den / num) - u elements, so of d + g blocks g agree. g is 2 and half as many again as the empty blocks that the smallest set
-    of the class will have. A document has keys for the class of its size and for the smaller classes where it may be the larger set. Empty
-    blocks are keys only where a document has more than g - 2 of them: with less, two of the agreeing blocks aren't empty.
+    if 2 * num <= den:
+        raise ValueError("the threshold must be over one half")
+    return min(4, max(2, num // (den - num) if den > num else 4))
+
+
+def first_columns(n: int, share: tuple[int, int]) -> int:
+    """How many columns of a row with ``n`` the first products run over.
+
+    A linked row has num / den of the larger set at least in common with this one. So many columns beyond that bound, and :func:`agreeing` more, hold
+    that many common ones of both rows, in any order that holds for all.
     """
     num, den = share
-    n, out = len(items), []
-    own = int(np.searchsorted(bounds, n))
-    for c in range(own, -1, -1):
-        if n * num > bounds[c] * den:
-            break
-        d = bounds[c] * den // num - bounds[c]
-        if not d:
-            continue
-        least = bounds[c - 1] + 1 if c else den // (den - num)
-        spare = 2 + math.ceil(1.5 * (d + 2) * math.exp(-least / (d + 2)))
-        blocks = d + spare
-        block = ((items >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        start = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
-        filled = block[start]
-        tag = mix(filled + np.uint64((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        counts = np.diff(np.append(start, n)).astype(np.uint64)
-        out.append(mix(np.add.reduceat(mix(items ^ np.uint64(0x5851F42D4C957F2D)), start) + tag + counts))
-        if blocks - len(filled) > spare - 2:
-            empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), filled)
-            out.append(mix(mix(empty + np.uint64((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) ^ np.uint64(0x0123456789ABCDEF)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def set_id(items: np.ndarray) -> np.uint64:
-    """One number for a set of hashes."""
-    a, b = np.add.reduce(mix(items)), np.bitwise_xor.reduce(mix(items * np.uint64(0xD1342543DE82EF95) + np.uint64(1)))
-    return mix(np.array([a], np.uint64) ^ (np.array([b], np.uint64) * np.uint64(0x2545F4914F6CDD1D) + np.uint64(len(items))))[0]
-
-
-def _sets(tokens: Tokenizer, texts: pa.Array, size: int) -> Iterator[np.ndarray]:
-    for w in tokens.chunks(texts):
-        for i in range(w.hi - w.lo):
-            yield np.unique(shingles(w.hash[w.ptr[i] : w.ptr[i + 1]], size))
+    return n - -(-n * num // den) + agreeing(share)
 
 
-def incidence(docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, set_id, keys: one narrow pass over whole texts. set_id is null for a document without words; a set's keys
-    are given once a task, with the first document that has it."""
+def set_ids(items: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One number for each set of hashes; sets stand one after another in ``items``, none is empty."""
+    total, odd = np.add.reduceat(mix(items), start), np.bitwise_xor.reduceat(mix(items * np.uint64(0xD1342543DE82EF95) + np.uint64(1)), start)
+    return mix(total ^ (odd * np.uint64(0x2545F4914F6CDD1D) + size.astype(np.uint64)))
+
+
+def _sets(tokens: Tokenizer, texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int | None]]]:
+    """Chunk by chunk of texts: elements of all sets, ascending within each; the sets' sizes; their ids, None for an empty set."""
+    for w in tokens.chunks(texts):
+        runs, sets = shingles(w.hash, size), []
+        for lo, hi in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist(), strict=True):
+            mine = np.sort(runs[lo : hi - size + 1]) if hi - lo >= size else shingles(w.hash[lo:hi], size)
+            if len(mine) > 1:
+                first = np.empty(len(mine), bool)
+                first[0] = True
+                np.not_equal(mine[1:], mine[:-1], out=first[1:])
+                mine = mine[first]
+            sets.append(mine)
+        n = np.array([len(x) for x in sets], np.int64)
+        items, some = np.concatenate(sets), np.flatnonzero(n)
+        ids: list[int | None] = [None] * len(n)
+        if len(some):
+            start = np.cumsum(n) - n
+            for i, x in zip(some.tolist(), set_ids(items, start[some], n[some]).view(np.int64).tolist(), strict=True):
+                ids[i] = x
+        yield items, n, ids
+
+
+def shingle_order(docs: DataFrame, size: int) -> RareFirst:
+    """The common order of columns. Texts are counted as they follow each other: a few n-grams across their borders don't matter here."""
+
+    def grams(texts: pa.Array) -> Iterator[np.ndarray]:
+        for w in Tokenizer(fold=True).chunks(texts):
+            yield shingles(w.hash, size)
+
+    return rare_first(docs, grams)
+
+
+def incidence(docs: DataFrame, size: int, share: tuple[int, int], order: RareFirst) -> DataFrame:
+    """doc_id, n_shingles, set_id, parity, keys, common: one narrow pass over whole texts. set_id is null for a document without words; a
+    set's keys are given once a task, with the first document that has it. parity has 256 bits, each of the number of elements that hash to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen, bounds = Tokenizer(fold=True), set(), size_classes(share, 1 << 14)
+        tokens, seen = Tokenizer(fold=True), set()
+        none = np.empty(0, np.int64)
         for batch in batches:
-            n, ids, keys = [], [], []
-            for items in _sets(tokens, batch.column(1), size):
-                n.append(len(items))
-                if not len(items):
-                    ids.append(None)
-                    keys.append(np.empty(0, np.int64))
-                    continue
-                if len(items) > bounds[-1]:
-                    bounds = size_classes(share, len(items))
-                ids.append(int(set_id(items).view(np.int64)))
-                keys.append(np.empty(0, np.int64) if ids[-1] in seen else block_keys(items, share, bounds).view(np.int64))
-                seen.add(ids[-1])
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_shingles", "set_id", "keys"])
+            at = 0
+            for items, n, ids in _sets(tokens, batch.column(1), size):
+                rank, keep, lo = order.rank(items), [], 0
+                for k, x in zip(n.tolist(), ids, strict=True):
+                    new = x is not None and x not in seen
+                    keep.append(lo + np.argsort(rank[lo : lo + k])[: first_columns(k, share)] if new else none)
+                    seen.add(x)
+                    lo += k
+                ends, keep = pa.array(np.cumsum([0, *map(len, keep)]).astype(np.int32)), np.concatenate(keep)
+                odd = np.bincount(np.repeat(np.arange(len(n)) * 256, n) + (items & np.uint64(255)).astype(np.int64), minlength=256 * len(n)) & 1
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (items[keep].view(np.int64), rank[keep] >> np.uint64(58) > 0)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids, pa.int64()), parity, *lists], names=["doc_id", "n_shingles", "set_id", "parity", "keys", "common"])
+                at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, parity array<long>, keys array<long>, common array<boolean>")
 
 
 def _products(docs: DataFrame, size: int, share: tuple[int, int]):
@@ -116,42 +114,27 @@ def _products(docs: DataFrame, size: int, share: tuple[int, int]):
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokenizer(fold=True)
         for batch in batches:
-            doc, at = batch.column(0), 0
-            sets, ids = [], []
-            for items in _sets(tokens, batch.column(1), size):
-                sets.append(items.view(np.int64))
-                ids.append(int(set_id(items).view(np.int64)) if len(items) else None)
-                at += 1
-                if sum(map(len, sets[-64:])) > 1 << 18 or at == len(doc) or not at % 64:
-                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([doc.slice(at - len(sets), len(sets)), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "set_id", "items"])
-                    sets, ids = [], []
+            at = 0
+            for items, n, ids in _sets(tokens, batch.column(1), size):
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(items.view(np.int64)))], names=["doc_id", "id", "items"])
+                at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def sets_of(needed: DataFrame) -> DataFrame:
-        """(set_id, items) of ``needed`` (set_id, doc_id), from one narrow pass over the texts that may be meant."""
-        needed = stage(needed)
-        sets = may_contain(docs.select("doc_id", "text"), needed, "doc_id").mapInArrow(rows_of, f"doc_id {kind}, set_id long, items array<long>")
-        return stage(sets.join(needed, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"]).select("set_id", "items"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
-        needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("set_id"), F.col(f"doc_id_{c}").alias("doc_id")) for c in "ab"])).alias("x"))
-        sets = sets_of(needed.groupBy("x.set_id").agg(F.min("x.doc_id").alias("doc_id")))
-        for c in "ab":
-            pairs = pairs.join(sets.select(F.col("set_id").alias(c), F.col("items").alias(f"s{c}")), c)
-        pairs = pairs.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return pairs.where(f"both * {den} >= (n_a + n_b - both) * {num}").select("a", "b")
-
-    def cross(members: DataFrame) -> DataFrame:
-        sets = sets_of(members.select(F.col("id").alias("set_id"), "doc_id"))
-        rows = tile_pairs(members.select("id", "cluster", "root")).join(sets.withColumnRenamed("set_id", "id"), "id")
+    def products(rows: DataFrame) -> DataFrame:
+        """The links within every (cluster, i, j) of ``rows`` (with side, id, root, doc_id): a set's elements come from one narrow pass over the texts
+        that may be meant, and are shuffled once for each tile pair of theirs."""
+        rows = stage(rows.select("cluster", "i", "j", "side", "id", "root", "doc_id"))
+        sets = may_contain(docs.select("doc_id", "text"), rows.select("doc_id").distinct(), "doc_id").mapInArrow(rows_of, f"doc_id {kind}, id long, items array<long>")
 
         def product(tile: pa.Table) -> pa.Table:
-            side = tile.column("side").to_numpy()
-            ids, root = tile.column("id").to_numpy(), tile.column("root").to_numpy()
-            items = tile.column("items").combine_chunks()
+            side, ids = tile.column("side").to_numpy(), tile.column("id").to_numpy()
+            _, once = np.unique(np.stack([side.astype(np.int64), ids]), axis=1, return_index=True)  # repeated rows of one doc_id
+            if len(once) < len(ids):
+                tile = tile.take(pa.array(once))
+                side, ids = side[once], ids[once]
+            root, items = tile.column("root").to_numpy(), tile.column("items").combine_chunks()
             size = np.diff(items.offsets.to_numpy())
             left = np.flatnonzero(side == 0)
             right = np.flatnonzero(side == 1) if side.any() else left
@@ -160,7 +143,14 @@ def _products(docs: DataFrame, size: int, share: tuple[int, int]):
             a, b = forest(left[np.nonzero(linked)[0]], right[np.nonzero(linked)[1]], len(ids))
             return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-        return rows.groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+        return sets.join(rows, ["doc_id", "id"]).groupBy("cluster", "i", "j").applyInArrow(product, "a long, b long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        docs_of = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.col(f"doc_id_{c}").alias("doc_id")) for c in "ab"])).alias("x")).select("x.*").distinct()
+        return products(star_tiles(pairs).join(docs_of, "id"))
+
+    def cross(members: DataFrame) -> DataFrame:
+        return products(tile_pairs(members.select("id", "cluster", "root", "doc_id")))
 
     return verify, cross
 
@@ -214,10 +204,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     text has an empty set and links with nothing: its component is its own doc_id. Rows of equal doc_id are rows of their own, and all
     count for that id's component. A row without doc_id has its set counted but links with nothing but equal sets, and a null component only if its equals have no doc_id either. Other columns are not read.
     """
-    base = stage(incidence(docs, size, share))
-    keys = base.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))
-    facts = stage(base.where("doc_id is not null").groupBy(F.col("set_id").alias("id")).agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")))
-    roots = link_components(keys, facts, *_products(docs, size, share), agree=2)
+    base = stage(incidence(docs, size, share, shingle_order(docs, size)))
+    keys = base.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "common")).alias("k"), F.col("set_id").alias("id")).select(F.col("k.keys").alias("key"), "id", F.col("k.common").alias("common"))
+    about = [F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), *[F.first(F.col("parity")[i]).alias(f"p{i}") for i in range(4)]]
+    facts = stage(base.where("doc_id is not null and set_id is not null").groupBy(F.col("set_id").alias("id")).agg(*about))
+    num, den = share
+    # Sets in reach differ in at most (den - num) / (den + num) of both sizes; every element that only one has turns one bit.
+    likely = F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({' + '.join(f'bit_count(p{i}_a ^ p{i}_b)' for i in range(4))}) * {den + num} <= (n_a + n_b) * {den - num}")
+    roots = link_components(keys, facts, *_products(docs, size, share), likely, agreeing(share))
     rows = base.select("doc_id", "n_shingles", "set_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -327,7 +327,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
         sides = ", ".join(f"{c} long, bits_{c} long, doc_id_{c} {kind}, line_no_{c} int" for c in "ab")
         return verify(stage(rows.groupBy("cluster", "i", "j").applyInArrow(near, sides)))
 
-    roots = link_components(keys, facts, verify, cross, agree=1)
+    roots = link_components(keys.withColumn("common", F.lit(False)), facts, verify, cross, F.expr(f"bit_count(bits_a ^ bits_b) <= {bits}"), agree=1)
     return _later(lines, classes, roots)
 
 
