@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,19 +41,48 @@ SMALL = 32  # the ids of a key are paired in a join up to so many, tile by tile
 SALTS = 1024  # parts of a common key
 
 
+def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of batches in the order of (key, part), cut where these change: a run has whole groups, and with the last one waits for the next batch."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        columns = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+        held = {n: np.concatenate([held[n], c]) for n, c in columns.items()} if held else columns
+        change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["part"][1:] != held["part"][:-1]))
+        if len(change):
+            at = change[-1] + 1
+            yield {n: c[:at] for n, c in held.items()}
+            held = {n: c[at:] for n, c in held.items()}
+    if held and len(held["key"]):
+        yield held
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct rows of (key, part, id, common), sorted, with the first and last id of their group and its size; uncommon keys of one id are left out."""
+    for run in _key_runs(batches):
+        key, part, ids = run["key"], run["part"], run["id"]
+        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+        keep = new | np.append(True, ids[1:] != ids[:-1])
+        key, ids, common, start = key[keep], ids[keep], run["common"][keep].astype(bool), np.flatnonzero(new[keep])
+        size = np.diff(np.append(start, len(key)))
+        first, last, n = (np.repeat(x, size) for x in (ids[start], ids[start + size - 1], size))
+        some = common | (n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, ids, common, first, last, n.astype(np.int64))], names=["key", "id", "common", "first", "last", "size"])
+
+
 def key_groups(keys: DataFrame) -> DataFrame:
-    """(key, id, first, size) of ``keys`` (key, id, common) for keys of several ids: first is the smallest of them, size their number.
+    """(key, id, first, size), staged, of ``keys`` (key, id, common) for keys of several ids: first is the smallest of them, size their number.
 
-    One shuffle by key; ids of keys marked as common, of which there is a fixed number at most, are dealt into parts first, and the parts' figures
-    added up.
+    One shuffle by key, sorted and then read group by group; ids of keys marked as common, of which there is a fixed number at most, are dealt into
+    parts first, and the parts' figures added up.
     """
-    part = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
-    here = Window.partitionBy("key", "part")
-    rows = keys.withColumn("part", part).select("key", "id", "common", F.min("id").over(here).alias("first"), F.max("id").over(here).alias("last"), F.count("*").over(here).alias("size"))
-    rows = stage(rows.where("common or first != last").distinct())
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    rows = keys.select("key", part.alias("part"), "id", "common").repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    rows = stage(rows.mapInArrow(_figures, "key long, id long, common boolean, first long, last long, size long"))
     whole = rows.where("common").groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("size")).where("first != last").drop("last")
     common = rows.where("common").select("key", "id").join(F.broadcast(whole), "key")
-    return rows.where("not common").select("key", "id", "first", "size").unionByName(common)
+    out = stage(rows.where("not common").select("key", "id", "first", "size").unionByName(common))
+    discard(rows)
+    return out
 
 
 def best_pairs(groups: DataFrame, agree: int) -> DataFrame:
@@ -73,7 +104,7 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def small_pairs(groups: DataFrame, facts: DataFrame, roots: DataFrame, likely: Column, agree: int) -> DataFrame:
     """(a, b), a < b, of different roots and ``likely`` by their facts, that share ``agree`` keys of few ids at least."""
-    few = with_roots(groups.where(f"size <= {SMALL}").select("key", "id").join(facts, "id"), roots)
+    few = stage(with_roots(groups.where(f"size <= {SMALL}").select("key", "id").join(facts, "id"), roots))
     sides = [few.select("key", *[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in few.columns if x != "key"]) for c in "ab"]
     pairs = sides[0].join(sides[1], "key").where(likely & F.expr("a < b and root_a != root_b")).select("a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
@@ -96,7 +127,7 @@ def link_components(keys: DataFrame, facts: DataFrame, verify: Callable[[DataFra
     two tiles that hold more than one component between them are given to ``cross`` (members with facts, see :func:`tile_pairs`), which returns links
     (a, b) among them. A pair that shares a key of many ids meets there, any other one shares ``agree`` keys of few: none is left out.
     """
-    groups = stage(key_groups(keys))
+    groups = key_groups(keys)
     pairs = stage(with_facts(best_pairs(groups.where(f"size > {SMALL}"), agree), facts).where(likely))
     links = stage(verify(pairs).select("a", "b"))
     roots = stage(connected_components(links))

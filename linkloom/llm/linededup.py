@@ -5,10 +5,10 @@ A line's words are lower-cased (A-Z) and joined by one space; equal normal lines
 blocks is a key. Classes that share a key link when they differ in at most ``bits`` bits and their edit similarity
 in words, 1 - distance / longer length, is at least ``similarity``. Of every connected group the first line (by doc_id, then place) stays.
 
-Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils three of a line's
-three-word runs at most, so that two lines in reach share a number of runs, and hence one of the first few in any order that holds for all
-lines; these are the keys, runs known to be common last. Lines of four and five words share what is left when a word is taken out.
-Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them apart are not compared.
+Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils one word of a line, and
+two pairs of neighbouring words at most, so that two lines in reach share some of the first few of these in any order that holds for all
+lines; these are the keys, rare ones first. Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them
+apart are not compared.
 """
 
 from __future__ import annotations
@@ -18,22 +18,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_contain, split_by, stage, text_or_empty
-from .components import connected_components, link_components, tile_pairs
-from .textvec import Tokenizer, Words, mix, shingles
+from .common import discard, may_contain, split_by, stage, text_or_empty
+from .components import best_pairs, connected_components, crowded_rows, key_groups, link_components, small_pairs, tile_pairs, with_facts
+from .ordering import RareFirst, rare_first
+from .textvec import Tokenizer, Words, mix
 
 MIN_WORDS = 5
 FUZZY_WORDS = 8
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
-RUN = 3  # words of a run
-SMALL = 32  # a key of more lines is compared tile by tile
-COMMON = 1 << 16  # runs that are known as common, at most
-SAMPLE = 16  # one of so many documents is looked at for them
-
 
 def simhash(words: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The majority of each bit over the words of each line; ``start`` has the first word of each line (no line is empty)."""
@@ -102,14 +98,6 @@ def _words_as_characters(line):
     return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
 
-def _numbered(rows: np.ndarray) -> np.ndarray:
-    """0, 1, 2, ... within every stretch of equal values."""
-    first = np.ones(len(rows), bool)
-    first[1:] = rows[1:] != rows[:-1]
-    at = np.flatnonzero(first)
-    return np.arange(len(rows)) - np.repeat(at, np.diff(np.append(at, len(rows))))
-
-
 def _whole(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The line_id of every line."""
     place = np.arange(len(w.hash)) - np.repeat(start, size)
@@ -138,85 +126,88 @@ def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, line_id long, n int, p0 long, p1 long")
 
 
-def _runs(w: Words, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and hash of every run of ``RUN`` words within a line."""
-    last = np.repeat(start + size, size)[: max(0, len(w.hash) - RUN + 1)]
-    inside = np.flatnonzero(np.arange(len(last)) + RUN <= last)
-    line = np.repeat(np.arange(len(start)), size)[inside]
-    return line, shingles(w.hash, RUN)[inside] if len(inside) else np.empty(0, np.uint64)
+def _pairs_of(w: Words, start: np.ndarray) -> np.ndarray:
+    """For every word the hash of it and the next word of its line, or the line's end."""
+    after = np.append(w.hash[1:], np.uint64(0))
+    after[np.append(start[1:], len(w.hash)) - 1] = np.uint64(0x2127599BF4325C37)
+    return mix(w.hash * np.uint64(0xE7037ED1A0B428DB) + after)
 
 
-def common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent runs of a sample of documents, ascending, and how common each is (1 to 63). They only set the order of runs: links don't depend on them."""
+def token_order(docs: DataFrame) -> RareFirst:
+    """The common words and word pairs of all documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(fold=True)
-        for batch in batches:
-            found = [_runs(w, *_lines_of(w)[2:])[1] for w in tokens.chunks(batch.column(0))]
-            value, count = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value[count > 1].view(np.int64)), pa.array(count[count > 1])], names=["run", "n"])
+    def grams(texts: pa.Array) -> Iterator[np.ndarray]:
+        for w in Tokenizer(fold=True).chunks(texts):
+            start = _lines_of(w)[2]
+            if len(start):
+                yield w.hash
+                yield _pairs_of(w, start)
 
-    seen = docs.where(f"pmod(xxhash64(doc_id, 3), {SAMPLE}) = 0").select("text").mapInArrow(run, "run long, n long")
-    top = seen.groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(COMMON).toArrow()
-    value = top.column("run").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(value)
-    level = np.minimum(63, 4 * np.log2(np.maximum(top.column("n").to_numpy().astype(float), 1)))
-    return value[order], level[order].astype(np.uint64)
+    return rare_first(docs, grams)
 
 
 def most_edits(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def prefix_sizes(longest: int, similarity: float) -> np.ndarray:
-    """How many of its runs, in the common order, a line of so many words needs as keys to share one with every line in reach of six words or more."""
-    shared = np.array([n - RUN + 1 - RUN * most_edits(n, similarity) for n in range(int(longest / similarity) + 2)])
-    out = np.zeros(longest + 1, np.int64)
-    for n in range(5, longest + 1):
-        out[n] = n - RUN + 1 - max(1, min(shared[max(n, 6) : int(n / similarity + 1e-9) + 1], default=1)) + 1
-    return np.maximum(out, 0)
+def spoilt(longest: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many words, and how many words and pairs together, the edits to any line in reach can spoil in a line of so many words.
+
+    A change or a removal spoils one word and the two pairs that it is in, of which the one of its own place counts as the word's; an insertion spoils one pair. A line
+    that is m - n words longer is m - n insertions away at least. Lines without any but equal ones in reach have -1.
+    """
+    words, tokens = np.full(longest + 1, -1), np.full(longest + 1, -1)
+    near = int(1 / (1 - similarity)) + 2  # a line longer by more than this has no more edits left than a nearer one
+    for n in range(1, longest + 1):
+        top = int(n / similarity + 1e-9)
+        reach = [(most_edits(m, similarity), m - n) for m in range(n, min(top, n + near) + 1)]
+        if most_edits(top, similarity):
+            words[n], tokens[n] = max(d - more for d, more in reach), max(2 * d - more for d, more in reach)
+    return words, tokens
 
 
 def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
-    """(key, id): lines in reach of each other share a key at least. Repeats where a line is repeated."""
-    common, level = common_runs(docs)
+    """(key, id, common): lines in reach of each other share a key at least. Repeats where a line is repeated.
+
+    A line's tokens are its uncommon words and, for every common word, the pair of it and the next. Keys are the first tokens in an order that holds for all lines,
+    uncommon words first, then rare pairs: so many that no edits within reach spoil all of them.
+    """
+    order = token_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, prefix = Tokenizer(fold=True), prefix_sizes(64, similarity)
+        tokens, (words, both) = Tokenizer(fold=True), spoilt(256, similarity)
         for batch in batches:
             for w in tokens.chunks(batch.column(0)):
                 _, _, start, size = _lines_of(w)
                 if not len(start):
                     continue
+                if size.max() >= len(words):
+                    words, both = spoilt(2 * int(size.max()), similarity)
                 whole = _whole(w, start, size)
                 once = np.zeros(len(start), bool)
                 once[np.unique(whole, return_index=True)[1]] = True
-                once &= size >= fuzzy_words
-                if size.max() >= len(prefix):
-                    prefix = prefix_sizes(2 * int(size.max()), similarity)
-                line, runs = _runs(w, start, size)
-                line, runs = line[once[line]], runs[once[line]]
-                order = runs >> np.uint64(6)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
-                    order |= np.where(common[at] == runs, level[at], np.uint64(0)) << np.uint64(58)
-                by = np.lexsort((order, line))
-                line, runs = line[by], runs[by]
-                again = _numbered(mix(runs + line.astype(np.uint64)))  # a run's second occurrence is another key than its first
-                keep = _numbered(line) < prefix[size[line]]
-                keys, ids = [mix(runs + mix(again.astype(np.uint64)))[keep]], [whole[line[keep]]]
-                for n, out in ((4, (4,)), (5, range(5))):
-                    at = np.flatnonzero((size == n) & once)
-                    for gone in out:
-                        total = np.full(len(at), 4, np.uint64)
-                        for i in range(n):
-                            if i != gone:
-                                total = mix(total * np.uint64(0xA0761D6478BD642F) + w.hash[start[at] + i])
-                        keys.append(total)
-                        ids.append(whole[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, ids)], names=["key", "id"])
-
-    return docs.select("text").mapInArrow(run, "key long, id long")
+                once &= (size >= fuzzy_words) & (both[size] >= 0)
+                line = np.repeat(np.arange(len(start)), size)
+                mine = np.flatnonzero(once[line])
+                line = line[mine]
+                pair = order.levels(w.hash[mine]) > 0
+                token = np.where(pair, _pairs_of(w, start)[mine], w.hash[mine])
+                rank = token >> np.uint64(6)
+                rank[pair] = order.levels(token[pair]) + np.uint64(1) << np.uint64(58) | rank[pair]
+                by = np.lexsort((rank, line))
+                line, token, pair = line[by], token[by], pair[by]
+                first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
+                before = np.cumsum(~pair) - ~pair
+                n_line = np.diff(np.append(first, len(line)))
+                place, before = np.arange(len(line)) - np.repeat(first, n_line), before - np.repeat(before[first], n_line)
+                n = size[line]
+                keep = (before <= words[n]) & (place <= both[n])
+                token, pair = token[keep], pair[keep]
+                common = np.zeros(len(token), bool)
+                common[pair] = order.levels(token[pair]) > 0
+                yield pa.RecordBatch.from_arrays([pa.array(mix(token + pair.astype(np.uint64)).view(np.int64)), pa.array(whole[line[keep]].view(np.int64)), pa.array(common)], names=["key", "id", "common"])
+
+    return docs.select("text").mapInArrow(run, "key long, id long, common boolean")
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -228,10 +219,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     said = stage(said.select("line_id", _words_as_characters(F.col("line")).alias("line")).distinct())
     for c in "ab":
         pairs = pairs.join(said.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")), c)
-    longest = F.greatest(F.length("line_a"), F.length("line_b"))
-    most = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
-    near = (F.least(F.length("line_a"), F.length("line_b")) >= longest * similarity - 1e-9) & (F.levenshtein("line_a", "line_b") <= most)
-    return pairs.where(near).select("a", "b")
+    pairs = pairs.withColumn("longest", F.greatest(F.length("line_a"), F.length("line_b"))).withColumn("most", F.floor(F.col("longest") * (1 - similarity) + 1e-9).cast("int"))
+    # Words of one line that the other doesn't have at all need an edit each: most pairs are told apart by that.
+    pairs = pairs.where((F.least(F.length("line_a"), F.length("line_b")) >= F.col("longest") * similarity - 1e-9) & F.expr("length(translate(line_a, line_b, '')) <= most"))
+    return pairs.where(F.expr("levenshtein(line_a, line_b, most) >= 0")).select("a", "b")
 
 
 def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
@@ -242,28 +233,15 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
     """
     facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), "p0", "p1")
     places = classes.select(F.col("line_id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    by_key = Window.partitionBy("key")
-    keys = line_keys(docs, similarity, fuzzy_words)
-    keys = keys.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").groupBy("key", "id").agg(F.lit(1).alias("one"))
-    keys = stage(keys.select("key", "id", F.min("id").over(by_key).alias("first"), F.count("*").over(by_key).alias("size")).where("size > 1"))
-
-    def about(pairs: DataFrame, table: DataFrame) -> DataFrame:
-        for c in "ab":
-            pairs = pairs.join(table.select(*[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in table.columns]), c)
-        return pairs
-
+    groups = key_groups(line_keys(docs, similarity, fuzzy_words))
     longer = F.greatest("n_a", "n_b")
     edits = F.floor(longer * (1 - similarity) + 1e-9)
     likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr("bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b)") <= 2 * edits)
-    star = keys.where("id != first").groupBy("id", "first").agg(F.count("*").alias("n"))
-    best = star.groupBy(F.col("id").alias("a")).agg(F.max_by("first", F.struct("n", F.bitwise_not("first"))).alias("b"))
-    best = about(best, facts).where(likely).select("a", "b")
-    links = stage(_verify(docs, stage(about(best, places)), similarity))
+    best = with_facts(best_pairs(groups, 1), facts).where(likely).select("a", "b")
+    links = stage(_verify(docs, stage(with_facts(best, places)), similarity))
     roots = stage(connected_components(links))
-    members = keys.select("key", "id", "size").join(facts, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    few = stage(members.where(f"size <= {SMALL}").drop("size"))
-    sides = [few.select("key", *[F.col(x).alias(c if x == "id" else f"{x}_{c}") for x in ("id", "n", "p0", "p1", "root")]) for c in "ab"]
-    pairs = sides[0].join(sides[1], "key").where(likely & F.expr("a < b and root_a != root_b")).select("a", "b")
+    pairs = small_pairs(groups, facts, roots, likely, 1)
+    many = crowded_rows(groups, roots).select(F.col("key").alias("cluster"), "id", "root").join(facts, "id")
 
     def near(tile: pa.Table) -> pa.Table:
         side, root, n = (tile.column(c).to_numpy() for c in ("side", "root", "n"))
@@ -277,9 +255,9 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
         ids = tile.column("id").to_numpy()
         return pa.table({"a": np.minimum(ids[left[x]], ids[right[y]]), "b": np.maximum(ids[left[x]], ids[right[y]])})
 
-    many = members.where(f"size > {SMALL}").drop("size").withColumnRenamed("key", "cluster")
     pairs = pairs.unionByName(tile_pairs(stage(many)).groupBy("cluster", "i", "j").applyInArrow(near, "a long, b long"))
-    more = stage(_verify(docs, stage(about(stage(pairs.distinct()), places)), similarity))
+    more = stage(_verify(docs, stage(with_facts(stage(pairs.distinct()), places)), similarity))
+    discard(groups)
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
