@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,36 @@ def split_by(df: DataFrame, ids: DataFrame, *key: str) -> tuple[DataFrame, DataF
     return flagged.where("_maybe").drop("_maybe"), flagged.where("not _maybe").drop("_maybe")
 
 
+SIEVE_BITS = 26  # 8 MB, whatever the number of ids
+
+
+class Sieve:
+    """A bitmap with two bits for every id, for use in tasks on Arrow batches: ids that were put in always pass, others seldom, until there are tens of millions of ids."""
+
+    def __init__(self, ids: DataFrame, seed: int, key: str = "doc_id"):
+        self.seed, self.key = seed, key
+        bits = ids.select(F.explode(F.array(*self._places())).alias("b")).select(F.shiftright("b", 6).alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("mask"))
+        words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bitmap = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+        bitmap[words.column("word").to_numpy().astype(np.int64)] = words.column("mask").to_numpy().astype(np.int64)
+        self.sent = ids.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def _places(self):
+        return [F.pmod(F.xxhash64(F.lit(self.seed + k), F.col(self.key)), F.lit(1 << SIEVE_BITS)) for k in (0, 1)]
+
+    def places(self):
+        """The column that :func:`passing` needs: null for a null id."""
+        return F.when(F.col(self.key).isNotNull(), F.array(*self._places()))
+
+
+def passing(bitmap: np.ndarray, places: pa.Array) -> np.ndarray:
+    """Which rows' ids may be in the bitmap."""
+    out = places.is_valid().to_numpy(zero_copy_only=False)
+    b = places.drop_null().flatten().to_numpy().astype(np.uint64).reshape(-1, 2)
+    out[out] = (bitmap[b >> np.uint64(6)] >> (b & np.uint64(63)) & np.uint64(1)).all(axis=1)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_contain, stage
+from .common import Sieve, passing, stage
 from .textvec import Tokenizer, Words, mix
 
 BUCKETS = 1 << 17
@@ -43,28 +43,51 @@ def features(w: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([of_word, of_word[1:][same], of_quad]), (np.concatenate([w.hash, pair, quad]) & low).astype(np.int64)
 
 
-def _counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n) over all texts: every task adds up its own before anything is shuffled."""
+def _counts(docs: DataFrame, buckets: int, sieve: Sieve) -> DataFrame:
+    """(bucket, n, good) over all texts, good over those whose doc_id passes the sieve: every task adds up its own before anything is shuffled."""
+    sent = sieve.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, total = Tokenizer(), np.zeros(buckets, np.int64)
+        tokens, total, good = Tokenizer(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
+            inside = passing(sent.value, batch.column(1))
             for w in tokens.chunks(batch.column(0)):
-                total += np.bincount(features(w, buckets)[1], minlength=buckets)
+                of, bucket = features(w, buckets)
+                total += np.bincount(bucket, minlength=buckets)
+                good += np.bincount(bucket[inside[w.lo : w.hi][of]], minlength=buckets)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(good[at])], names=["bucket", "n", "good"])
+
+    return docs.select("text", sieve.places().alias("places")).mapInArrow(run, "bucket long, n long, good long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+
 
-    return docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def _passing_rows(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    sent = sieve.sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passing(sent.value, batch.column(batch.num_columns - 1)))).drop_columns(["places"])
+
+    return docs.withColumn("places", sieve.places()).mapInArrow(run, docs.schema)
 
 
 def likelihood_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
-    """The log ratio of every bucket: a vector of fixed length, whatever the corpus. ``trusted`` has the doc_id of the trusted documents."""
+    """The log ratio of every bucket: a vector of fixed length, whatever the corpus. ``trusted`` has the doc_id of the trusted documents.
+
+    Texts stay where they are: one pass counts all of them and those that pass a sieve of the trusted ids. The ids that pass wrongly come from a join of
+    ids alone; only their texts are shuffled, counted, and taken off again.
+    """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    raw = _counts(docs, buckets)
-    good = _counts(may_contain(docs.select("doc_id", "text"), ids, "doc_id").join(ids, "doc_id", "left_semi"), buckets)
-    table = raw.join(good.withColumnRenamed("n", "good"), "bucket", "left").select("bucket", "n", F.coalesce("good", F.lit(0)).alias("good")).toPandas()
+    sieve = Sieve(ids, 11)
+    table = _counts(docs, buckets, sieve).toPandas()
     n, g = np.zeros(buckets), np.zeros(buckets)
     n[table["bucket"].to_numpy(np.int64)], g[table["bucket"].to_numpy(np.int64)] = table["n"], table["good"]
+    wrong = stage(_passing_rows(docs.select("doc_id"), sieve).join(ids, "doc_id", "left_anti").distinct())
+    if not wrong.isEmpty():
+        again = Sieve(wrong, 21)
+        rows = _passing_rows(docs.select("doc_id", "text"), again).join(wrong, "doc_id", "left_semi")
+        off = _counts(rows, buckets, again).toPandas()
+        g[off["bucket"].to_numpy(np.int64)] -= off["n"]
     if not g.sum():
         return np.zeros(buckets)
     return np.log((g * (n.sum() / g.sum()) + prior) / (n + prior))
