@@ -40,13 +40,15 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Delete the folders of tables from :func:`stage` that nothing reads any more; other tables are left alone."""
+    """Delete the folders of tables from :func:`stage` that nothing reads any more; other tables are left alone. Spark deletes the shuffles
+    behind them when the driver's JVM has collected their plans."""
     for df in staged:
         path = getattr(df, "staged_in", None)
         if path:
             context = df.sparkSession.sparkContext
             where = context._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            context._jvm.System.gc()
 
 
 def membership(ids: DataFrame, *key: str) -> DataFrame:

@@ -41,44 +41,42 @@ SMALL = 32  # the ids of a key are paired in a join up to so many, tile by tile
 SALTS = 1024  # parts of a common key
 
 
-def _key_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The columns of batches in the order of (key, part), cut where these change: a run has whole groups, and with the last one waits for the next batch."""
-    held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        columns = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
-        held = {n: np.concatenate([held[n], c]) for n, c in columns.items()} if held else columns
-        change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["part"][1:] != held["part"][:-1]))
-        if len(change):
-            at = change[-1] + 1
-            yield {n: c[:at] for n, c in held.items()}
-            held = {n: c[at:] for n, c in held.items()}
-    if held and len(held["key"]):
-        yield held
-
-
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows of (key, part, id, common), sorted, with the first and last id of their group and its size; uncommon keys of one id are left out."""
-    for run in _key_runs(batches):
-        key, part, ids = run["key"], run["part"], run["id"]
-        new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+    """Rows of (key, id, common) in order, once each, with the first id of their key and the key's number of ids; uncommon keys of one id are left out, and
+    common keys pass without these figures. The last key of a batch waits for the next batch if it isn't a common one."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+
+    def figures(key: np.ndarray, ids: np.ndarray, common: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, key[1:] != key[:-1])
         keep = new | np.append(True, ids[1:] != ids[:-1])
-        key, ids, common, start = key[keep], ids[keep], run["common"][keep].astype(bool), np.flatnonzero(new[keep])
+        key, ids, common, start = key[keep], ids[keep], common[keep], np.flatnonzero(new[keep])
         size = np.diff(np.append(start, len(key)))
-        first, last, n = (np.repeat(x, size) for x in (ids[start], ids[start + size - 1], size))
+        first, n = np.repeat(ids[start], size), np.repeat(size, size)
         some = common | (n > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, ids, common, first, last, n.astype(np.int64))], names=["key", "id", "common", "first", "last", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, ids, common, first, n.astype(np.int64))], names=["key", "id", "common", "first", "size"])
+
+    for batch in batches:
+        held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        if not len(held[0]):
+            continue
+        at = len(held[0]) if held[2][-1] else int(np.searchsorted(held[0], held[0][-1]))
+        if at:
+            yield figures(*[h[:at] for h in held])
+            held = [h[at:] for h in held]
+    if len(held[0]):
+        yield figures(*held)
 
 
 def key_groups(keys: DataFrame) -> DataFrame:
     """(key, id, first, size), staged, of ``keys`` (key, id, common) for keys of several ids: first is the smallest of them, size their number.
 
-    One shuffle by key, sorted and then read group by group; ids of keys marked as common, of which there is a fixed number at most, are dealt into
-    parts first, and the parts' figures added up.
+    One shuffle by key, sorted and then read key by key. The ids of keys marked as common, of which there is a fixed number at most, are dealt into
+    ``SALTS`` parts instead, and these keys' figures come from a grouping that combines in the map tasks.
     """
-    part = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    rows = keys.select("key", part.alias("part"), "id", "common").repartition("key", "part").sortWithinPartitions("key", "part", "id")
-    rows = stage(rows.mapInArrow(_figures, "key long, id long, common boolean, first long, last long, size long"))
-    whole = rows.where("common").groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("size")).where("first != last").drop("last")
+    part = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
+    rows = keys.select("key", "id", "common").repartition("key", part).sortWithinPartitions("key", "id")
+    rows = stage(rows.mapInArrow(_figures, "key long, id long, common boolean, first long, size long"))
+    whole = rows.where("common").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first != last").drop("last")
     common = rows.where("common").select("key", "id").join(F.broadcast(whole), "key")
     out = stage(rows.where("not common").select("key", "id", "first", "size").unionByName(common))
     discard(rows)

@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     roots = link_components(keys, facts, *_products(docs, size, share), likely, agreeing(share))
     rows = base.select("doc_id", "n_shingles", "set_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stage(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -5,10 +5,9 @@ A line's words are lower-cased (A-Z) and joined by one space; equal normal lines
 blocks is a key. Classes that share a key link when they differ in at most ``bits`` bits and their edit similarity
 in words, 1 - distance / longer length, is at least ``similarity``. Of every connected group the first line (by doc_id, then place) stays.
 
-Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils one word of a line, and
-two pairs of neighbouring words at most, so that two lines in reach share some of the first few of these in any order that holds for all
-lines; these are the keys, rare ones first. Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them
-apart are not compared.
+Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils three of a line's
+three-word runs at most, so that two lines in reach share some of the first few in any order that holds for all lines; these are the keys,
+rare ones first. Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them apart are not compared.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ from .textvec import Tokenizer, Words, mix
 MIN_WORDS = 5
 FUZZY_WORDS = 8
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+RUN = 3  # words of a run
+END = np.uint64(0x2127599BF4325C37)
 
 
 def simhash(words: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -126,22 +127,26 @@ def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, line_id long, n int, p0 long, p1 long")
 
 
-def _pairs_of(w: Words, start: np.ndarray) -> np.ndarray:
-    """For every word the hash of it and the next word of its line, or the line's end."""
-    after = np.append(w.hash[1:], np.uint64(0))
-    after[np.append(start[1:], len(w.hash)) - 1] = np.uint64(0x2127599BF4325C37)
-    return mix(w.hash * np.uint64(0xE7037ED1A0B428DB) + after)
+def _runs(w: Words, start: np.ndarray) -> np.ndarray:
+    """For every word the hash of it and the next two of its line; the line's end counts as a word."""
+    last = np.append(start[1:], len(w.hash)) - 1
+    total = mix(w.hash * np.uint64(0xE7037ED1A0B428DB))
+    following = w.hash
+    for _ in range(RUN - 1):
+        following = np.append(following[1:], np.uint64(0))
+        following[last] = END
+        total = mix(total * np.uint64(0xA0761D6478BD642F) + following)
+    return total
 
 
-def token_order(docs: DataFrame) -> RareFirst:
-    """The common words and word pairs of all documents."""
+def run_order(docs: DataFrame) -> RareFirst:
+    """The common runs of all documents."""
 
     def grams(texts: pa.Array) -> Iterator[np.ndarray]:
         for w in Tokenizer(fold=True).chunks(texts):
             start = _lines_of(w)[2]
             if len(start):
-                yield w.hash
-                yield _pairs_of(w, start)
+                yield _runs(w, start)
 
     return rare_first(docs, grams)
 
@@ -150,62 +155,51 @@ def most_edits(n: int, similarity: float) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def spoilt(longest: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """How many words, and how many words and pairs together, the edits to any line in reach can spoil in a line of so many words.
+def spoilt(longest: int, similarity: float) -> np.ndarray:
+    """How many runs of a line of so many words the edits to any line in reach can spoil.
 
-    A change or a removal spoils one word and the two pairs that it is in, of which the one of its own place counts as the word's; an insertion spoils one pair. A line
-    that is m - n words longer is m - n insertions away at least. Lines without any but equal ones in reach have -1.
+    A change or a removal spoils the ``RUN`` runs that a word is in, an insertion one less. A line that is m - n words longer is m - n insertions away at
+    least. Lines without any but equal ones in reach have -1.
     """
-    words, tokens = np.full(longest + 1, -1), np.full(longest + 1, -1)
-    near = int(1 / (1 - similarity)) + 2  # a line longer by more than this has no more edits left than a nearer one
+    out = np.full(longest + 1, -1)
+    near = int(1 / (1 - similarity)) + 2  # a line longer by more than this leaves no more edits than a nearer one
     for n in range(1, longest + 1):
         top = int(n / similarity + 1e-9)
-        reach = [(most_edits(m, similarity), m - n) for m in range(n, min(top, n + near) + 1)]
         if most_edits(top, similarity):
-            words[n], tokens[n] = max(d - more for d, more in reach), max(2 * d - more for d, more in reach)
-    return words, tokens
+            out[n] = max(RUN * most_edits(m, similarity) - (m - n) for m in range(n, min(top, n + near) + 1))
+    return out
 
 
 def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
     """(key, id, common): lines in reach of each other share a key at least. Repeats where a line is repeated.
 
-    A line's tokens are its uncommon words and, for every common word, the pair of it and the next. Keys are the first tokens in an order that holds for all lines,
-    uncommon words first, then rare pairs: so many that no edits within reach spoil all of them.
+    Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil.
     """
-    order = token_order(docs)
+    order = run_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (words, both) = Tokenizer(fold=True), spoilt(256, similarity)
+        tokens, most = Tokenizer(fold=True), spoilt(256, similarity)
         for batch in batches:
             for w in tokens.chunks(batch.column(0)):
                 _, _, start, size = _lines_of(w)
                 if not len(start):
                     continue
-                if size.max() >= len(words):
-                    words, both = spoilt(2 * int(size.max()), similarity)
+                if size.max() >= len(most):
+                    most = spoilt(2 * int(size.max()), similarity)
                 whole = _whole(w, start, size)
                 once = np.zeros(len(start), bool)
                 once[np.unique(whole, return_index=True)[1]] = True
-                once &= (size >= fuzzy_words) & (both[size] >= 0)
+                once &= size >= fuzzy_words
                 line = np.repeat(np.arange(len(start)), size)
                 mine = np.flatnonzero(once[line])
-                line = line[mine]
-                pair = order.levels(w.hash[mine]) > 0
-                token = np.where(pair, _pairs_of(w, start)[mine], w.hash[mine])
-                rank = token >> np.uint64(6)
-                rank[pair] = order.levels(token[pair]) + np.uint64(1) << np.uint64(58) | rank[pair]
+                line, runs = line[mine], _runs(w, start)[mine]
+                rank = order.rank(runs)
                 by = np.lexsort((rank, line))
-                line, token, pair = line[by], token[by], pair[by]
+                line, runs, rank = line[by], runs[by], rank[by]
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
-                before = np.cumsum(~pair) - ~pair
-                n_line = np.diff(np.append(first, len(line)))
-                place, before = np.arange(len(line)) - np.repeat(first, n_line), before - np.repeat(before[first], n_line)
-                n = size[line]
-                keep = (before <= words[n]) & (place <= both[n])
-                token, pair = token[keep], pair[keep]
-                common = np.zeros(len(token), bool)
-                common[pair] = order.levels(token[pair]) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(mix(token + pair.astype(np.uint64)).view(np.int64)), pa.array(whole[line[keep]].view(np.int64)), pa.array(common)], names=["key", "id", "common"])
+                place = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
+                keep = place <= most[size[line]]
+                yield pa.RecordBatch.from_arrays([pa.array(runs[keep].view(np.int64)), pa.array(whole[line[keep]].view(np.int64)), pa.array(rank[keep] >> np.uint64(58) > 0)], names=["key", "id", "common"])
 
     return docs.select("text").mapInArrow(run, "key long, id long, common boolean")
 
