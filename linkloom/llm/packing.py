@@ -19,18 +19,14 @@ CAPACITY = 2048
 SHARD = 8192
 
 
-def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int, cluster_bits: int = 256, source_bits: int = 64) -> list[int]:
-    """The bin of each piece (size, source key, cluster key), taken from large to small.
-
-    Bitmaps are of hashed keys: two keys that share a bit count as one, so a bin may be refused that has no conflict, but no conflict is
-    ever let in.
-    """
+def best_fit(pieces: list[tuple[int, int, int]], capacity: int, per_source: int) -> list[int]:
+    """The bin of each piece (size, source, cluster), taken from large to small; sources and clusters are small numbers, the places of their bits."""
     bins: list[list] = []  # clusters bitmap, [source bitmap of the 1st, 2nd, ... piece]
     spare: list[tuple[int, int]] = []  # (room left, bin), ascending
     out = [0] * len(pieces)
     for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], i)):
         size, source, cluster = pieces[i]
-        source, cluster = 1 << (source % source_bits), 1 << (cluster % cluster_bits)
+        source, cluster = 1 << source, 1 << cluster
         k = bisect_left(spare, (size, -1))
         while k < len(spare) and (bins[spare[k][1]][0] & cluster or bins[spare[k][1]][1][-1] & source):
             k += 1
@@ -56,30 +52,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = 2, cluster
     holds no two pieces of one cluster and at most ``per_source`` of one source (nulls count as one source). Documents without words
     (empty or null text) need no room: they are one piece of 0 words in bin -1. Repeated rows are packed each by itself.
 
-    Pieces are dealt by a hash of doc_id into shards of about ``shard`` documents, each packed by itself, so that neither a hot source
-    nor a large group of copies meets in one task; every shard may leave its last bins part empty.
+    Pieces are dealt by a hash of doc_id, source, size and cluster into shards of about ``shard`` documents, each packed by itself, so that neither a hot
+    source or doc_id nor a large group of copies meets in one task; every shard may leave its last bins part empty. Sources and clusters are
+    numbered within a shard, so that bitmaps hold them exactly. Bins are named by shard and number, whatever the order of the input.
     """
     key = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(text_or_empty())
-    sized = stage(docs.select("doc_id", "source", key.alias("_cluster"), count_words(text_or_empty()).alias("_size"), F.monotonically_increasing_id().alias("_row")))
+    sized = stage(docs.select("doc_id", "source", key.alias("_cluster"), count_words(text_or_empty()).alias("_size")))
     shards = max(1, -(-sized.count() // shard))
     start = F.explode(F.when(F.col("_size") > 0, F.sequence(F.lit(0).cast("long"), F.col("_size") - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
     pieces = (
-        sized.withColumn("_shard", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(shards)))
+        sized.withColumn("_shard", F.pmod(F.xxhash64(F.lit(5), "doc_id", "source", "_cluster", "_size"), F.lit(shards)))
         .withColumn("start_word", start)
         .withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("start_word")))
         .withColumn("piece", (F.col("start_word") / capacity).cast("int"))
     )
     columns = ["doc_id", "source", "piece", "start_word", "n_words"]
-    alone = pieces.where(F.col("n_words").isin(0, capacity))
-    alone_id = F.when(F.col("n_words") == 0, F.lit("-1")).otherwise(F.concat(F.lit("f"), F.col("_row"), F.lit("-"), F.col("piece")))
-    alone = alone.select(alone_id.alias("bin_id"), F.lit(0).alias("position"), *columns)
+    none = pieces.where("n_words = 0").select(F.lit("-1").alias("bin_id"), F.lit(0).alias("position"), *columns)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "_cluster"], kind="stable").reset_index(drop=True)
-        rows["_bin"] = best_fit(list(zip(rows["n_words"], rows["_source"], rows["_cluster"], strict=True)), capacity, per_source)
+        rows = rows.sort_values(["doc_id", "piece", "_cluster", "source"], kind="stable").reset_index(drop=True)
+        source, cluster = pd.factorize(rows["source"], use_na_sentinel=False)[0], pd.factorize(rows["_cluster"])[0]
+        rows["_bin"] = best_fit(list(zip(rows["n_words"].tolist(), source.tolist(), cluster.tolist(), strict=True)), capacity, per_source)
         rows["position"] = rows.groupby("_bin").cumcount().astype("int32")
         rows["bin_id"] = [f"s{key[0]}-{b}" for b in rows["_bin"]]
         return rows[["bin_id", "position", *columns]]
 
-    part = pieces.where(f"n_words > 0 and n_words < {capacity}").select("_shard", F.xxhash64("source").alias("_source"), "_cluster", *columns)
-    return part.groupBy("_shard").applyInPandas(run, alone.schema).unionByName(alone)
+    part = pieces.where("n_words > 0").select("_shard", "_cluster", *columns)
+    return part.groupBy("_shard").applyInPandas(run, none.schema).unionByName(none)
