@@ -44,11 +44,11 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).repartition("conv_id")
-    order = ["seq", "msg", "kind", "role", "text"]
-    later = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    back = [F.col(c).desc() for c in ("seq", "msg", "kind", "role", "text")]  # from the last event on, so that what comes later is a running value
+    later = Window.partitionBy("conv_id").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("_void", F.min(F.when(F.col("kind") == "regenerate", F.col("msg"))).over(later))
     live = e.withColumn("_live", F.coalesce(F.col("_void") > F.col("msg"), F.lit(True)))
-    resets = Window.partitionBy("conv_id", "msg").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    resets = Window.partitionBy("conv_id", "msg").orderBy(*back).rowsBetween(Window.unboundedPreceding, -1)
     live = live.withColumn("_reset", F.max(F.when(F.col("_live") & F.col("kind").isin("message", "edit", "regenerate"), 1)).over(resets))
     live = live.withColumn("_live", F.col("_live") & F.col("_reset").isNull())
     parts = F.collect_list(F.when(F.col("_live"), F.struct("seq", "kind", "role", "text")))
