@@ -322,13 +322,20 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3,
     first line's row can't be told: rows of equal doc_id keep a line together. Other columns pass through; those named like the new ones are replaced.
     """
     added = ["n_lines", "n_removed", "emptied"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    names = [c for c in docs.columns if c not in added]
+    other = [c for c in names if c not in ("doc_id", "text")]
+    docs = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in other]).alias("rest")] if other else []))
     gone = stage(repeated_lines(docs, similarity, bits, min_words, fuzzy_words).distinct())
-    maybe, other = split_by(docs, gone.select("doc_id"), "doc_id")
+    maybe, whole = split_by(docs, gone.select("doc_id"), "doc_id")
     gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
     touched = maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
-    out = touched.unionByName(other.withColumn("_gone", F.lit(None).cast("array<int>"))).withColumn("_lines", F.split("text", "\n"))
+    out = touched.unionByName(whole.withColumn("_gone", F.lit(None).cast("array<int>"))).withColumn("_lines", F.split("text", "\n"))
     left = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     out = out.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
     removed = F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long")
-    return out.withColumn("n_lines", F.greatest(F.lit(0), F.coalesce(F.size("_lines"), F.lit(0))).cast("long")).withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed)).withColumn("emptied", F.col("_gone").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_lines", "_gone")
+    return out.select(
+        *[F.col("rest").getField(c).alias(c) if c in other else F.col(c) for c in names],
+        F.greatest(F.lit(0), F.coalesce(F.size("_lines"), F.lit(0))).cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(removed).alias("n_removed"),
+        (F.col("_gone").isNotNull() & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).alias("emptied"),
+    )
