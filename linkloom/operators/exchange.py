@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import COMPONENT, ROUTE
 
-#: Route tables above this many entries are joined by shuffle instead of being broadcast.
-MAX_BROADCAST_ROUTES = 10_000
+#: Routes by url text, each of which is checked for every row, may be so many; key and type routes any number.
+MAX_URL_ROUTES = 10_000
 
 ENVELOPE = ["id", "payload_type", "payload", "routing_key", "correlation_id", "properties"]
 
@@ -50,21 +50,20 @@ def uri_of(payload: Column) -> Column:
 def route(messages: DataFrame, routes: DataFrame, components: DataFrame | None = None, exchange: str | None = None) -> DataFrame:
     """``messages`` once for each target that a route names for them, with target. Routing keys match literally, urls whatever the case.
 
-    Targets that ``components`` switches off get nothing; unknown ones are on. Equal keys and types are equi-joins, broadcast by Spark
-    where the table is small; url texts are few and checked for each row.
+    Every row is taken for itself, whatever ids repeat: the targets of all its routes are one set. Targets that ``components`` switches off get nothing;
+    unknown ones are on. Keys and types are joins with one row a key, broadcast by Spark where the table is small; url texts are few.
     """
-    m = messages
-    by_key = m.join(routes.where("kind = 'key'").select(F.col("match").alias("routing_key"), "target"), "routing_key").select(*m.columns, "target")
-    by_type = m.join(routes.where("kind = 'type'").select(F.col("match").alias("payload_type"), "target"), "payload_type").select(*m.columns, "target")
-    other = [(r["kind"], r["match"], r["target"]) for r in routes.where("kind in ('url', 'all')").limit(MAX_BROADCAST_ROUTES + 1).collect()]
-    if len(other) > MAX_BROADCAST_ROUTES:
-        raise ValueError(f"more than {MAX_BROADCAST_ROUTES} routes by url text")
-    out = by_key.unionByName(by_type)
-    if other:
-        uri = F.lower(uri_of(F.col("payload")))
-        tests = [F.when(F.lit(True) if kind == "all" else F.contains(uri, F.lit((match or "").lower())), F.lit(target)) for kind, match, target in other]
-        out = out.unionByName(m.withColumn("target", F.explode(F.filter(F.array(*tests), lambda t: t.isNotNull()))))
-    out = out.dropDuplicates(["id", "target"])
+    def named(kind: str, column: str) -> DataFrame:
+        return routes.where(F.col("kind") == kind).groupBy(F.col("match").alias(column)).agg(F.collect_set("target").alias(f"_{kind}"))
+
+    other = [(r["kind"], r["match"], r["target"]) for r in routes.where("kind in ('url', 'all')").limit(MAX_URL_ROUTES + 1).collect()]
+    if len(other) > MAX_URL_ROUTES:
+        raise ValueError(f"more than {MAX_URL_ROUTES} routes by url text")
+    m = messages.join(named("key", "routing_key"), "routing_key", "left").join(named("type", "payload_type"), "payload_type", "left")
+    uri, none = F.lower(uri_of(F.col("payload"))), F.array().cast("array<string>")
+    tests = [F.when(F.lit(True) if kind == "all" else F.contains(uri, F.lit((match or "").lower())), F.lit(target)) for kind, match, target in other]
+    targets = F.flatten(F.array(F.coalesce("_key", none), F.coalesce("_type", none), F.filter(F.array(*tests), lambda t: t.isNotNull()) if tests else none))
+    out = m.withColumn("target", F.explode(F.array_distinct(targets))).select(*messages.columns, "target")
     return active_only(out, components, exchange) if components is not None else out
 
 
@@ -191,7 +190,7 @@ class Exchange:
                 if p.write:
                     p.write(rows.drop("target"))
             except Exception as error:  # noqa: BLE001 - any failure of a sink is that sink's dead letter
-                deadletter(rows.select(*ENVELOPE, F.lit("publish").alias("stage"), "target", F.lit(str(error)[:500]).alias("error")))
+                deadletter(rows.select(*ENVELOPE, F.lit("publish").alias("stage"), "target", F.lit(str(error)).alias("error")))
         deadletter(result.deadletters)
 
 

@@ -115,8 +115,14 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
 
     ``pre`` numbers nodes in page order, texts included, and ``last`` is the last of a node's subtree: a node lies in another's when its pre is
     between. own_text is an element's first text, or a text node's own. Elements of one outer HTML have one outer_hash. Broken markup is
-    taken as it comes; a null page has no nodes.
+    taken as it comes; a null page has no nodes. Reading a page takes far longer than moving it, so that a table of fewer partitions than there are
+    cores is dealt anew first; a larger one stays where it is.
+
+    The table is read by several branches of most plans: write it once, see :func:`~linkloom.sources.staged.staged`.
     """
+    pages, cores = pages.select("page_id", "html"), pages.sparkSession.sparkContext.defaultParallelism
+    if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
+        pages = pages.repartition(cores)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,4 +136,4 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
                 if out["page_id"]:
                     yield pd.DataFrame(out).astype({"parent_id": "Int32"})
 
-    return pages.select("page_id", "html").mapInPandas(run, NODE)
+    return pages.mapInPandas(run, NODE)

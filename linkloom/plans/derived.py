@@ -76,7 +76,7 @@ EVENTS = """ev AS (SELECT page_id * 2 AS event_id, CASE WHEN page_id % 2 = 0 THE
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages: the type is both routing key and payload type; every tenth payload is a list."""
+    """Events as messages: the type is both routing key and payload type; every tenth payload is a list, every sixth has no id."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     payload = F.when(n % 10 == 0, F.concat(F.lit('["a'), n.cast("string"), F.lit('","b"]'))).otherwise(F.concat(F.lit('{"uri":"https://h'), F.col("user_id").cast("string"), F.lit('.example.com/'), "event_type", F.lit('"}')))
@@ -88,9 +88,12 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 4 == 0, F.col("user_id").cast("string")).alias("correlation_id"),
         F.create_map(F.lit("n"), n.cast("string")).alias("properties"),
         "ts",
-    ).where("id is not null")
+    )
 
 
-MESSAGES = """msg AS (SELECT CAST(event_id AS VARCHAR) AS id, 'T.' || event_type AS payload_type,
+MESSAGES = """plain_msg AS (SELECT CASE WHEN event_id % 6 <> 0 THEN CAST(event_id AS VARCHAR) END AS given, 'T.' || event_type AS payload_type,
   CASE WHEN event_id % 10 = 0 THEN '["a' || event_id || '","b"]' ELSE '{"uri":"https://h' || user_id || '.example.com/' || event_type || '"}' END AS payload, event_type AS routing_key,
-  CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS VARCHAR) END AS correlation_id, ts, event_id, user_id FROM events WHERE event_id % 6 <> 0)"""
+  CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS VARCHAR) END AS correlation_id, ts, event_id, user_id FROM events),
+digest_msg AS (SELECT *, sha256(payload_type || chr(31) || payload || chr(31) || routing_key || chr(31) || coalesce(correlation_id, chr(0))) AS digest FROM plain_msg),
+place_msg AS (SELECT *, row_number() OVER (PARTITION BY given IS NULL, digest ORDER BY CAST(event_id AS VARCHAR)) AS place FROM digest_msg),
+msg AS (SELECT *, coalesce(given, digest || CASE WHEN place = 1 THEN '' ELSE '-row-' || place END) AS id FROM place_msg)"""

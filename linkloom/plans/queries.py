@@ -19,7 +19,8 @@ from ..operators import frontier as fr
 from ..operators import links as lk
 from ..operators import metrics, parts, responses, schedule
 from ..operators.html import shred_html
-from ..operators.selectors import Selector, select_nodes
+from ..sources.staged import staged
+from ..operators.selectors import Selector
 from ..sources import documents as dt
 from .derived import CONFIG, EVENTS, HOST, MESSAGES, SKIP, URIS, crawl_events, messages, page_uris, site_config, table
 
@@ -67,44 +68,42 @@ def new_links_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER) AS ord, uri, text, base_uri FROM (SELECT page_id, base_uri, uri, substr(href, 2) AS text, min(ord) AS o FROM found GROUP BY ALL) x")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.extract_links(shred_html(pages), pages)
+    return parts.extract_links(staged(shred_html(pages)), pages)
 
 
 @query(f"WITH {LINKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER) AS ord, uri, text FROM (SELECT page_id, uri, substr(href, 2) AS text, min(ord) AS o FROM found GROUP BY ALL) x")
 def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.extract_files(shred_html(pages), pages).select("page_id", "ord", "uri", "text")
+    return parts.extract_files(staged(shred_html(pages)), pages).select("page_id", "ord", "uri", "text")
 
 
 @query(r"SELECT page_id, 'meta' AS slot, repeat(chr(10), len(regexp_extract_all(html, '<meta '))) AS text FROM pages WHERE regexp_matches(html, '<meta ')")
 def extract_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = shred_html(table(spark, sf_dir, "pages"))
-    one = select_nodes(nodes, [parts.META]).select("page_id", F.lit("meta").alias("slot"), F.coalesce(F.element_at("attrs", F.lit("content")), F.lit("")).alias("line"))
-    return one.groupBy("page_id", "slot").agg(F.array_join(F.transform(F.collect_list("line"), lambda x: F.concat(x, F.lit("\n"))), "").alias("text"))
+    return parts.extract_meta(staged(shred_html(table(spark, sf_dir, "pages"))))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\s*\n\s*', ' ', 'g')) || chr(10) AS title FROM pages WHERE regexp_matches(html, '<title>')""")
 def article_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.extract_text(shred_html(table(spark, sf_dir, "pages")), parts.TITLE).select("page_id", F.col("text").alias("title"))
+    return parts.extract_text(staged(shred_html(table(spark, sf_dir, "pages"))), parts.TITLE).select("page_id", F.col("text").alias("title"))
 
 
 @query("SELECT 'MissingText' AS anomaly_type, count(*) AS n FROM pages WHERE NOT regexp_matches(html, '<table') OR html IS NULL HAVING count(*) > 0")
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.anomaly_counts(parts.anomalies(shred_html(pages), pages, [Selector("t", "//table")]))
+    return parts.anomaly_counts(parts.anomalies(staged(shred_html(pages)), pages, [Selector("t", "//table")]))
 
 
 @query()
 def autodetect_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.autodetect_parts(shred_html(pages), pages)
+    return parts.autodetect_parts(staged(shred_html(pages)), pages)
 
 
 @query()
 def crawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     wanted = pages.select("page_id", (F.col("page_id") % 2 == 0).alias("provide_raw"), (F.col("page_id") % 3 != 0).alias("should_index"))
-    return parts.crawl_responses(pages, shred_html(pages), wanted)
+    return parts.crawl_responses(pages, staged(shred_html(pages)), wanted)
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '...' ELSE text END AS summary FROM documents")
@@ -358,7 +357,7 @@ def route_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES} SELECT id FROM msg WHERE payload_type NOT IN ('T.view', 'T.click') AND NOT (event_id % 10 <> 0 AND contains(payload, 'h1.example'))")
 def unrouted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir).drop("ts")
+    m = ex.envelope(messages(spark, sf_dir).drop("ts"))
     return ex.unrouted(m, ex.route(m, ex.routes_table(spark, [r for r in ROUTES if r.target != "off"]))).select("id")
 
 
@@ -378,15 +377,29 @@ def exchange_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exchange(spark, sf_dir).published.select("id", "payload", "target")
 
 
+def _prefixed(name: str) -> ex.Transformer:
+    return ex.Transformer(name, lambda m: m.withColumn("payload", F.concat(F.lit(f"{name}:"), "payload")).withColumn("payload_type", F.lit(name)))
+
+
+@query(f"""WITH {MESSAGES}, o AS (SELECT id, unnest(['a:' || payload, 'b:' || payload, 'b:a:' || payload]) AS payload, unnest(['p', 'q', 'q']) AS target FROM msg WHERE payload_type = 'T.view'
+UNION ALL SELECT id, 'b:' || payload, 'q' FROM msg WHERE payload_type = 'T.click') SELECT id, payload, target FROM o""")
+def exchange_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transformers, one of which also takes what the other makes, and routes to the publishers: outputs of one message share its id, none is lost."""
+    inbound = ex.routes_table(spark, [ex.Route("type", "T.view", "a"), ex.Route("type", "T.view", "b"), ex.Route("type", "T.click", "b"), ex.Route("type", "a", "b")])
+    outbound = ex.routes_table(spark, [ex.Route("type", "a", "p"), ex.Route("type", "b", "q")])
+    exchange = ex.Exchange("x", [_prefixed("a"), _prefixed("b")], [ex.Publisher("p"), ex.Publisher("q")], inbound=inbound, outbound=outbound, max_hops=2)
+    return exchange.run(messages(spark, sf_dir).drop("ts")).published.select("id", "payload", "target")
+
+
 @query(f"WITH {MESSAGES} SELECT id, 'transform' AS stage, 'mark' AS target, 'refused' AS error FROM msg WHERE payload_type = 'T.error'")
 def exchange_deadletters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exchange(spark, sf_dir).deadletters.select("id", "stage", "target", "error")
 
 
-@query(f"WITH {MESSAGES} SELECT id FROM msg WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = msg.event_id AND e.value > 20)")
+@query(f"WITH {MESSAGES} SELECT id FROM msg WHERE given IS NULL OR NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id = msg.event_id AND e.value > 20)")
 def outstanding_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "events").where("value > 20").select(F.col("event_id").cast("string").alias("id"))
-    return ex.outstanding(messages(spark, sf_dir), done).select("id")
+    return ex.outstanding(ex.envelope(messages(spark, sf_dir).drop("ts")), done).select("id")
 
 
 @query("""WITH d AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'CrawlRequest' WHEN 'click' THEN 'CrawlUri' ELSE 'Other' END AS t, 'https://h' || user_id || '.example.com/' AS u, event_id % 2 = 0 AS based FROM events)
