@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -110,8 +110,9 @@ class _Shredder(HTMLParser):
         return self.rows
 
 
-def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
-    """(page_id, node_id, parent_id, pre, last, post, depth, tag, attrs, own_text, outer_hash) of every node of ``pages`` (page_id, html).
+def shred_html(pages: DataFrame, pages_per_batch: int = 64, tags: Sequence[str] | None = None) -> DataFrame:
+    """(page_id, node_id, parent_id, pre, last, post, depth, tag, attrs, own_text, outer_hash) of every node of ``pages`` (page_id, html), or of those with
+    one of ``tags``.
 
     ``pre`` numbers nodes in page order, texts included, and ``last`` is the last of a node's subtree: a node lies in another's when its pre is
     between. own_text is an element's first text, or a text node's own. Elements of one outer HTML have one outer_hash. Broken markup is
@@ -124,6 +125,8 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
     if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
         pages = pages.repartition(cores)
 
+    wanted = frozenset(tags or ())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), pages_per_batch):
@@ -131,6 +134,8 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64) -> DataFrame:
                 part = pdf.iloc[at : at + pages_per_batch]
                 for page_id, page in zip(part["page_id"], part["html"], strict=True):
                     for i, (parent, depth, tag, attrs, own, last, post, outer) in enumerate(_Shredder().shred(page or "")):
+                        if wanted and tag not in wanted:
+                            continue
                         for name, value in zip(out, (page_id, i, parent if parent >= 0 else None, i, last, post, depth, tag, attrs, own, outer), strict=True):
                             out[name].append(value)
                 if out["page_id"]:

@@ -59,7 +59,7 @@ WHERE lower(uri) NOT IN (SELECT u FROM seen) GROUP BY 1""")
 def new_links_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of pages that stay in their domain and that no page has yet, counted by host."""
     pages = table(spark, sf_dir, "pages")
-    links = lk.within_domain(parts.page_links(shred_html(pages), pages)).select("uri").distinct()
+    links = lk.within_domain(parts.page_links(shred_html(pages, tags=["a"]), pages)).select("uri").distinct()
     seen = pages.select(F.lower("url").alias("key")).distinct()
     new = links.withColumn("key", F.lower("uri")).join(seen, "key", "left_anti")
     return new.groupBy(host("uri").alias("host")).agg(F.count("*").alias("n_links"))
@@ -126,7 +126,7 @@ def continuation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 6
     strategy = F.when(k == 0, "All").when(k == 1, "DomainOnly").when(k == 2, "TrackLinksOnly").when(k == 3, "Onetime").when(k == 4, "Custom").otherwise("None")
     custom = pages.select(host("url").alias("match")).distinct().where("length(match) % 2 = 0").withColumn("strategy", F.lit("TrackLinksOnly"))
-    events, _ = lk.apply_continuation(pages.select("page_id", F.col("url").alias("uri"), strategy.alias("strategy")), lk.continuation_links(parts.page_links(shred_html(pages), pages)), custom)
+    events, _ = lk.apply_continuation(pages.select("page_id", F.col("url").alias("uri"), strategy.alias("strategy")), lk.continuation_links(parts.page_links(shred_html(pages, tags=["a"]), pages)), custom)
     return events
 
 
@@ -180,7 +180,7 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINKS} SELECT uri, min(base_uri) AS base_uri, 3 AS uri_type FROM found WHERE uri NOT IN (SELECT url FROM pages WHERE url IS NOT NULL) GROUP BY uri")
 def store_detected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    rows, _ = fr.store_detected_urls(parts.page_links(shred_html(pages), pages), page_uris(spark, sf_dir))
+    rows, _ = fr.store_detected_urls(parts.page_links(shred_html(pages, tags=["a"]), pages), page_uris(spark, sf_dir))
     return rows.select("uri", "base_uri", "uri_type")
 
 
