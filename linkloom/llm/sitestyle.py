@@ -2,9 +2,10 @@
 
 The element trees of all pages of a host are merged: elements with the same chain of tags and classes are one style node. A node's
 presentation importance is the entropy of its child sequences over the pages that hold it, its content importance the entropy of the texts
-below it, both as parts of the largest possible; a branch that looks and reads alike on page after page has neither. Tags, roles and
-class names that say what a branch is (menu, footer, advert, form, comments ...) set its importance to 0, an article's or a main
-element's to 1. Every page loses its branches of low importance; of what is left the text blocks are joined.
+below it, both as parts of the largest possible; a branch that looks and reads alike on page after page has neither. Every page loses its
+branches of low importance; on hosts of few pages the other hosts decide. Article and main elements stay as they are: where many pages are copies, what they
+say would look like a template. Tags, roles and class names that say what a branch is (advert, form,
+comments ...) take what entropy can't tell from text. Of what is left the text blocks are joined.
 """
 
 from __future__ import annotations
@@ -138,29 +139,32 @@ def _hash(text: str) -> int:
 
 
 def style_nodes(root: Node) -> list[tuple[int, int, int]]:
-    """(path, child sequence, text) hashes of every element of a page that isn't inside noise; sets each node's path."""
-    out = []
+    """(path, child sequences, texts) hashes of every style of a page: elements of one path are added up. Sets each node's path.
 
-    def visit(node: Node, path: str) -> str:
-        texts = []
-        node.path = _hash(path)
+    Hashes go from child to parent, so that a page is gone through once whatever its depth.
+    """
+    found: dict[int, list[int]] = {}
+
+    def visit(node: Node, path: int) -> int:
+        node.path, texts, shape = path, [], []
         for c in node.children:
             if isinstance(c, str):
-                texts.append(c)
+                texts.append(" ".join(c.split()))
             elif c.tag not in VOID and c.tag not in RAW:
-                texts.append(visit(c, f"{path}/{c.style}"))
-        text = " ".join(" ".join(texts).split())
-        shape = []
-        for c in node.children:
+                texts.append(str(visit(c, _hash(f"{path}/{c.style}"))))
             if isinstance(c, Node) and (not shape or shape[-1] != c.style):
                 shape.append(c.style)
-        out.append((node.path, _hash(",".join(shape)), _hash(text)))
+        text = _hash("\x00".join(x for x in texts if x))
+        sums = found.setdefault(path, [0, 0])
+        sums[0] += _hash(",".join(shape))
+        sums[1] += text
         return text
 
     for c in root.children:
         if isinstance(c, Node) and c.tag not in VOID and c.tag not in RAW:
-            visit(c, c.style)
-    return out
+            visit(c, _hash(c.style))
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    return [(path, signed(shape), signed(text)) for path, (shape, text) in found.items()]
 
 
 def allow_depth() -> None:
@@ -192,14 +196,13 @@ def main_text(root: Node, low: frozenset[int]) -> tuple[str, int]:
                 if wanted:
                     now.append(c)
                 continue
-            if c.kind == "noise":
-                if c.tag in BLOCK:
+            block = c.tag in BLOCK
+            low_here = not inside and c.kind != "main" and c.path in low and not has_main(c)
+            if low_here or c.kind == "noise":
+                cut += low_here
+                if block:
                     flush()
                 continue
-            if not inside and c.kind != "main" and c.path in low and not has_main(c):
-                cut += 1
-                continue
-            block = c.tag in BLOCK
             if block:
                 flush()
             elif c.tag in ("br", "td", "th"):
@@ -216,7 +219,8 @@ def main_text(root: Node, low: frozenset[int]) -> tuple[str, int]:
 def site_style_tree(pages: DataFrame) -> DataFrame:
     """host, path, n_pages, presentation, content, importance of every style node of ``pages`` (host, html).
 
-    Both entropies are over log(n_pages): 1 where every page differs, 0 where all are alike; a node of a single page counts as 1.
+    Both entropies are given as the number of equally frequent variants that they stand for, over n_pages: 1 where every page differs, 0 where all are
+    alike, small where many pages share a few menus; a node of a single page counts as 1.
     Tasks count alike nodes before the shuffle, and a hot host is many keys.
     """
 
@@ -231,7 +235,7 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for node in {x[0]: x for x in style_nodes(parse(page or ""))}.values():
+                for node in style_nodes(parse(page or "")):
                     count[(host, *node)] += 1
             if len(count) > 100_000:
                 yield flush()
@@ -244,22 +248,35 @@ def site_style_tree(pages: DataFrame) -> DataFrame:
         sums = seen.groupBy("host", "path", part).agg(F.sum("n").alias("n")).groupBy("host", "path")
         alike[part] = sums.agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("_s"))
         whole = F.col("n_pages")
-        alike[part] = alike[part].select("host", "path", "n_pages", F.when(whole > 1, (F.log(whole) - F.col("_s") / whole) / F.log(whole)).otherwise(1.0).alias(part))
+        alike[part] = alike[part].select("host", "path", "n_pages", F.when(whole > 1, (F.exp(F.log(whole) - F.col("_s") / whole) - 1) / (whole - 1)).otherwise(1.0).alias(part))
     tree = alike["shape"].join(alike["text"].drop("n_pages"), ["host", "path"])
     return tree.select("host", "path", "n_pages", F.col("shape").alias("presentation"), F.col("text").alias("content"), F.greatest("shape", "text").alias("importance"))
 
 
+def low_paths(tree: DataFrame, low: float, min_pages: int, min_hosts: int = 3) -> DataFrame:
+    """(host, path) of the style nodes to cut.
+
+    A host judges a node that ``min_pages`` of its pages hold: low importance is below ``low``. Where a host has fewer, the other hosts decide: the node goes
+    if ``min_hosts`` of them at least judge it, and more than half of those find it low.
+    """
+    judged = tree.withColumn("poor", F.when(F.col("n_pages") >= min_pages, F.col("importance") < low))
+    votes = judged.where("poor is not null").groupBy("path").agg(F.count("*").alias("hosts"), F.sum(F.col("poor").cast("int")).alias("against"))
+    general = votes.where(f"hosts >= {min_hosts} and 2 * against > hosts").select("path")
+    own = judged.where("poor").select("host", "path")
+    return own.unionByName(judged.where("poor is null").select("host", "path").join(general, "path").select("host", "path"))
+
+
 def extract_main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars, n_cut of every row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars, n_cut of every row of ``pages`` (page_id, url, html); n_cut is the number of branches cut for low importance.
 
     A null or empty html gives an empty text. A page whose branches would all go by their entropies (as when a host's pages are all
-    alike) keeps them. A host's nodes are judged where at least ``min_pages`` of its pages hold them; null urls share the empty host.
-    White space is what Python's split takes for it. Repeated rows are pages of their own. Other columns are not read.
+    alike) keeps them. Importance decides first, see :func:`low_paths`; tags, roles and names take what differs from page to page but isn't main text, such
+    as comments. Null urls share the empty host. White space is what Python's split takes for it. Repeated rows are pages of their own. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[^:]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    tree = site_style_tree(rows)
-    poor = tree.where((F.col("importance") < low) & (F.col("n_pages") >= min_pages)).groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("low"))
+    tree = stage(site_style_tree(rows))
+    poor = low_paths(tree, low, min_pages).groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("low"))
     rows = rows.join(stage(poor), F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
