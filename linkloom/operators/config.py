@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_any
 from ..functions.urls import host, without_query
 from ..schemas import CONFIG, CONTINUATION
+from ..sources.documents import upsert
 
 GENERIC = {"document": "AutoDetect", "continuation": CONTINUATION["All"], "should_index": True, "provide_raw": True, "download_content": False}
 
@@ -17,6 +18,11 @@ def load_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CONFIG).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def store_config(spark: SparkSession, path: str, stored: DataFrame, as_of) -> DataFrame:
+    """``stored``, a table of configurations with created and updated, with those of a file inserted or in place of the ones with their id."""
+    return upsert(stored, load_config(spark, path), as_of)
+
+
 def resolve_config(uris: DataFrame, config: DataFrame, uri: str = "uri", collector: bool = False) -> DataFrame:
     """``uris`` with the struct ``config`` of the entry that fits: the uri's host, its address without query or ``*``, and the collector flag.
 

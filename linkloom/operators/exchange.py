@@ -183,14 +183,18 @@ class Exchange:
         return ExchangeResult(self._to(done, self.outbound, [p.name for p in self.publishers]), dead, left)
 
     def publish(self, result: ExchangeResult, deadletter: Callable[[DataFrame], None]) -> None:
-        """Write each publisher's rows; a publisher that fails sends its rows to ``deadletter`` with its error, the others go on."""
-        for p in self.publishers:
-            rows = result.published.where(F.col("target") == p.name)
-            try:
-                if p.write:
-                    p.write(rows.drop("target"))
-            except Exception as error:  # noqa: BLE001 - any failure of a sink is that sink's dead letter
-                deadletter(rows.select(*ENVELOPE, F.lit("publish").alias("stage"), "target", F.lit(str(error)).alias("error")))
+        """Write each publisher's rows, of an exchange that is run once for all; a publisher that fails sends its rows to ``deadletter`` with its error, the others go on."""
+        published = result.published.persist()
+        try:
+            for p in self.publishers:
+                rows = published.where(F.col("target") == p.name)
+                try:
+                    if p.write:
+                        p.write(rows.drop("target"))
+                except Exception as error:  # noqa: BLE001 - any failure of a sink is that sink's dead letter
+                    deadletter(rows.select(*ENVELOPE, F.lit("publish").alias("stage"), "target", F.lit(str(error)).alias("error")))
+        finally:
+            published.unpersist()
         deadletter(result.deadletters)
 
 

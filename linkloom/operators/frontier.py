@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host, is_absolute
 from ..schemas import URI_TYPES
-from .config import create_requests, is_collectable, resolve_config, should_skip, skip_rule
+from .config import create_requests, is_collectable, request_projection, resolve_config, should_skip, skip_rule
 
 FOUND, ONETIME, PERIODIC, COLLECTOR = (URI_TYPES[t] for t in ("Found", "Onetime", "Periodic", "Collector"))
 
@@ -160,6 +160,11 @@ def generate_paged_uris(spark: SparkSession, template: str, first: int = 1, last
     return spark.range(first, last + 1).select(F.col("id").alias("page"), F.format_string(template, F.col("id")).alias("uri"))
 
 
+def paged_requests(spark: SparkSession, template: str, config: DataFrame, first: int = 1, last: int = 1742) -> DataFrame:
+    """The requests of a template's pages with the definition of their site; fields are null where no configuration fits."""
+    return request_projection(resolve_config(generate_paged_uris(spark, template, first, last), config))
+
+
 def triage_collectors(uri: DataFrame, ignore: Sequence[str], once: Sequence[str]) -> DataFrame:
     """``uri`` with action: ``ignore`` (also skipped and completed) where a fragment of the first list is in it, else ``onetime`` by the second, else ``manual``."""
     hit = lambda items: F.exists(F.array(*[F.lit(x) for x in items]), lambda x: F.contains(F.col("uri"), x)) if items else F.lit(False)

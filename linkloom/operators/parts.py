@@ -6,6 +6,7 @@ Every builder takes nodes and selected nodes and gives flat rows keyed by page_i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import one_line
 from ..functions.urls import resolve_uri
 from ..schemas import PART_CODES
+from ..sources.staged import staged
 from .selectors import Selector, inner_text, node_lines, select_nodes
 
 MAX_PARTS = 5000
@@ -80,12 +82,17 @@ def extract_files(nodes: DataFrame, pages: DataFrame, selector: Selector = FILES
     return rows.select("page_id", (F.row_number().over(order) - 1).alias("ord"), "tag", "text", "uri", "base_uri", F.col("uri").isNull().alias("missing"))
 
 
-def download_manifest(files: DataFrame, config: DataFrame) -> DataFrame:
-    """Distinct (page_id, uri, file_name) of the file links of pages whose configuration (page_id, download_content) wants content."""
+def download_manifest(files: DataFrame | Sequence[DataFrame], config: DataFrame) -> DataFrame:
+    """Distinct (page_id, uri, file_name) of the file links of pages whose configuration (page_id, download_content) wants content.
+
+    ``files`` is a table with page_id and uri, or several: of a page's own parts, of its article's content and of its tables' cells.
+    """
     from ..functions.urls import file_name
 
     wanted = config.where("download_content").select("page_id").distinct()
-    return files.where("uri is not null").join(wanted, "page_id", "left_semi").select("page_id", "uri").distinct().withColumn("file_name", file_name("uri"))
+    places = [files] if isinstance(files, DataFrame) else files
+    links = reduce(DataFrame.unionByName, [f.select("page_id", "uri") for f in places])
+    return links.where("uri is not null").join(wanted, "page_id", "left_semi").distinct().withColumn("file_name", file_name("uri"))
 
 
 def _within(inner: DataFrame, outer: DataFrame, prefix: str) -> DataFrame:
@@ -177,27 +184,45 @@ def autodetect_parts(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return parts.withColumn("part_code", codes[F.col("part_type")])
 
 
-def flatten_parts(parts: DataFrame, part_type: str | None = None, name: str | None = None, limit: int = MAX_PARTS) -> DataFrame:
-    """Parts of a type or name, the root included, reached over ``sub`` edges only, in order; of each page the first ``limit`` visited parts.
+def flatten_parts(parts: DataFrame, part_type: str | None = None, name: str | None = None, limit: int | None = MAX_PARTS) -> DataFrame:
+    """Parts of a type or name, the root included, reached over ``sub`` edges only, in order; of each page the first ``limit`` visited parts, or all (None).
 
-    ``parts``: page_id, part_id, parent_id, edge (``sub`` or another), part_type, name, ord. ord is depth-first, so the guard keeps what a walk would have visited.
+    ``parts``: page_id, part_id, parent_id, edge (``sub`` or another), part_type, name, ord. ord is depth-first, so the guard keeps what a walk would have visited;
+    :func:`cut_pages` tells which pages have more.
     """
-    reached = parts.where("parent_id is null").select("page_id", "part_id")
-    frontier = reached
+    rows = _visited(parts)
+    if limit is not None:
+        rows = rows.where(F.col("_k") <= limit)
+    rows = rows.drop("_k")
+    if part_type:
+        rows = rows.where(F.col("part_type") == part_type)
+    return rows.where(F.col("name") == name) if name else rows
+
+
+def cut_pages(parts: DataFrame, limit: int = MAX_PARTS) -> DataFrame:
+    """(page_id, n_parts, n_cut) of the pages of which :func:`flatten_parts` leaves parts out."""
+    n = _visited(parts).groupBy("page_id").agg(F.max("_k").cast("long").alias("n_parts"))
+    return n.where(F.col("n_parts") > limit).withColumn("n_cut", F.col("n_parts") - limit)
+
+
+def _visited(parts: DataFrame) -> DataFrame:
+    """The parts that a walk over ``sub`` edges reaches, with their number _k in the page's order; each level is written once."""
+    reached = frontier = staged(parts.where("parent_id is null").select("page_id", "part_id"))
     while True:
         step = parts.where("edge = 'sub'").join(frontier.withColumnRenamed("part_id", "parent_id"), ["page_id", "parent_id"], "left_semi").select("page_id", "part_id")
-        step = step.join(reached, ["page_id", "part_id"], "left_anti")
+        step = staged(step.join(reached, ["page_id", "part_id"], "left_anti"))
         if step.isEmpty():
             break
         reached, frontier = reached.unionByName(step), step
-    rows = parts.join(reached, ["page_id", "part_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy("ord"))).where(F.col("_k") <= limit).drop("_k")
-    if part_type:
-        rows = rows.where(F.col("part_type") == part_type)
-    return rows.where(F.col("name") == name) if name else rows
+    return parts.join(reached, ["page_id", "part_id"], "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")))
+
 
+def anomalies(nodes: DataFrame, pages: DataFrame, selectors: Sequence[Selector] = (), files: Selector | None = None, meta: Selector | None = None, timestamp: Selector | None = None) -> DataFrame:
+    """(page_id, anomaly_type, part_type, description) for auto-detected parts of pages: missing title, content, links, images' sources, table headers and rows.
 
-def anomalies(nodes: DataFrame, pages: DataFrame, selectors: Sequence[Selector] = ()) -> DataFrame:
-    """(page_id, anomaly_type, part_type, description) for auto-detected parts of pages: missing title, content, links, images' sources, table headers and rows."""
+    A page without text at one of ``selectors`` lacks text, one without a node at ``files`` file links, one without a node at ``meta`` text, and one without
+    a node at an article's ``timestamp`` content.
+    """
 
     def found(df: DataFrame, anomaly: str, part: str, xpath: str) -> DataFrame:
         return df.select("page_id", F.lit(anomaly).alias("anomaly_type"), F.lit(part).alias("part_type"), F.lit(f"{anomaly}, Selector: {xpath}").alias("description"))
@@ -213,6 +238,14 @@ def anomalies(nodes: DataFrame, pages: DataFrame, selectors: Sequence[Selector]
         chosen = select_nodes(nodes, [s])
         filled = inner_text(nodes, chosen).where(F.coalesce(one_line(F.col("inner_text")), F.lit("")) != "").select("page_id").distinct()
         out = out.unionByName(found(all_pages.join(filled, "page_id", "left_anti"), "MissingText", "Text", s.xpath))
+    if files:
+        out = out.unionByName(found(all_pages.join(select_nodes(nodes, [files]).select("page_id").distinct(), "page_id", "left_anti"), "MissingFileLink", "File", files.xpath))
+    if meta:
+        filled = extract_meta(nodes, meta).where("text != ''").select("page_id")
+        out = out.unionByName(found(all_pages.join(filled, "page_id", "left_anti"), "MissingText", "Meta", meta.xpath))
+    if timestamp:
+        dated = select_nodes(nodes, [timestamp]).select("page_id").distinct()
+        out = out.unionByName(found(all_pages.join(dated, "page_id", "left_anti"), "MissingContent", "Article", timestamp.xpath))
     tables = nodes.where("tag = 'table'")
     headed = _within(nodes.where("tag = 'th'"), tables, "table").select("page_id", F.col("table_pre").alias("pre")).distinct()
     out = out.unionByName(found(tables.join(headed, ["page_id", "pre"], "left_anti"), "MissingHeader", "Table", TABLES.xpath))

@@ -515,11 +515,14 @@ def to_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS id, p.part_id, p.parent_id, p.depth, CASE p.depth WHEN 0 THEN 'Article' ELSE 'Text' END AS part_type, CASE p.depth WHEN 0 THEN event_type ELSE 'n' || p.part_id END AS name FROM events,
-(VALUES ('0', NULL, 0), ('0.0', '0', 1), ('0.1', '0', 1)) p(part_id, parent_id, depth)""")
+(VALUES ('0', NULL, 0), ('0.0', '0', 1), ('0.1', '0', 1), ('0.1.0', '0.1', 2), ('0.1.0.0', '0.1.0', 3), ('0.1.0.0.0', '0.1.0.0', 4), ('0.1.0.0.0.0', '0.1.0.0.0', 5)) p(part_id, parent_id, depth)""")
 def decode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part definitions with plain and list values, built from events and flattened."""
+    """Part definitions with plain and list values, nested six deep, built from events and flattened."""
+    inner = '{"DocPartType":1,"Name":"n0.1.0.0.0.0"}'
+    for name in ("n0.1.0.0.0", "n0.1.0.0", "n0.1.0"):
+        inner = f'{{"DocPartType":[1],"Name":["{name}"],"SubParts":[[{inner}]]}}'
     e = table(spark, sf_dir, "events")
-    text = F.concat(F.lit('{"DocPartType":[6],"Name":["'), "event_type", F.lit('"],"SubParts":[[{"docPartType":1,"Name":"n0.0"},{"DocPartType":[1],"Name":["n0.1"]}]]}'))
+    text = F.concat(F.lit('{"DocPartType":[6],"Name":["'), "event_type", F.lit('"],"SubParts":[[{"docPartType":1,"Name":"n0.0"},{"DocPartType":[1],"Name":["n0.1"],"SubParts":[[' + inner + ']]}]]}'))
     return dt.decode_parts(e.select(F.col("event_id").cast("string").alias("id"), text.alias("j")), "j").select("id", "part_id", "parent_id", "depth", "part_type", "name")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filters
 from ..functions.text import match_score, matches
+from .staged import staged
 
 DEFAULT_LIMIT = 100
 
@@ -108,17 +109,20 @@ def option_value(json: Column, name: str) -> Column:
 PART_NAMES = {"1": "Text", "2": "Link", "3": "File", "4": "Table", "5": "Row", "6": "Article", "7": "AutoDetect", "8": "Stream", "9": "Form", "10": "Meta"}
 
 
-def decode_parts(docs: DataFrame, column: str, depth: int = 4) -> DataFrame:
-    """(id, part_id, parent_id, depth, part_type, name, base_uri, text, uri, selector) of nested part definitions in JSON, level by level down to ``depth``.
+def decode_parts(docs: DataFrame, column: str, depth: int | None = None) -> DataFrame:
+    """(id, part_id, parent_id, depth, part_type, name, base_uri, text, uri, selector) of nested part definitions in JSON, level by level.
 
-    Values may be plain or lists of one; the type is DocPartType or docPartType, a number or a name. part_id is the path of positions.
+    Every level is written to the shared folder, and the next one is read from it, until no part is nested any deeper; with ``depth``, only so many levels
+    are decoded. Values may be plain or lists of one; the type is DocPartType or docPartType, a number or a name. part_id is the path of positions.
     """
     kind = lambda c: F.coalesce(option_value(c, "DocPartType"), option_value(c, "docPartType"))
     names = F.create_map(*[F.lit(x) for pair in PART_NAMES.items() for x in pair])
     level = docs.select("id", F.lit("0").alias("part_id"), F.lit(None).cast("string").alias("parent_id"), F.col(column).alias("j")).where("j is not null")
-    out = None
-    for d in range(depth):
-        j = F.col("j")
+    out, d, j = None, 0, F.col("j")
+    while depth is None or d < depth:
+        level = staged(level)
+        if out is not None and level.isEmpty():
+            break
         selector = option_value(j, "Selector")
         rows = level.select(
             "id",
@@ -133,4 +137,5 @@ def decode_parts(docs: DataFrame, column: str, depth: int = 4) -> DataFrame:
         subs = F.coalesce(F.from_json(F.get_json_object(j, "$.SubParts"), "array<string>"), F.array().cast("array<string>"))
         nested = F.transform(subs, lambda s: F.when(F.ltrim(s).startswith("["), F.from_json(s, "array<string>")).otherwise(F.array(s)))
         level = level.select("id", F.col("part_id").alias("parent_id"), F.posexplode(F.flatten(nested)).alias("_pos", "j")).select("id", F.concat_ws(".", "parent_id", F.col("_pos").cast("string")).alias("part_id"), "parent_id", "j")
+        d += 1
     return out
