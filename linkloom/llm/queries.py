@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, iblt, jaccard, linededup, mixing, nbsvm, packing, quality, sitestyle, urlfilter
+from . import chat, iblt, jaccard, linededup, mixing, nbsvm, packing, quality, sitestyle, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,5 +119,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound vectors on the first four whitened components of the exact integer covariance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening)}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL}
