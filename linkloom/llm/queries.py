@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, iblt, jaccard, linededup, mixing, nbsvm, packing, quality, sitestyle, urlfilter, whitening
+from . import chat, iblt, jaccard, linededup, mixing, mixwindows, nbsvm, packing, quality, sitestyle, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,5 +124,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening)}
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in windows of 4096, every source by its share."""
+    from public_tokenizers import path
+
+    packed = mixwindows.pack_windows(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening, op12_mixture_packing)}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL}
