@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, iblt, jaccard, linededup, mixing, mixwindows, nbsvm, packing, quality, sitestyle, urlfilter, whitening
+from . import chat, iblt, jaccard, linededup, mixing, mixwindows, nbsvm, packing, phrases, quality, sitestyle, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,5 +132,10 @@ def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening, op12_mixture_packing)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language's first 2000 collocations of two and three words."""
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening, op12_mixture_packing, op13_phrases)}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL}
