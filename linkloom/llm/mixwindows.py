@@ -27,7 +27,7 @@ PIECE = 1024  # longest run of a document that a queue gives at once
 END_ID = 2
 SLICE = 1 << 23  # characters of text that are encoded at once
 KNOWN_WORDS, KNOWN_CHARS = 400_000, 16_000_000
-BLOCK_ROWS, BLOCKS = 5000, 4096
+BLOCK_ROWS, BLOCKS = 500, 4096
 
 
 class Encoder:
