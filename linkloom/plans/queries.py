@@ -371,7 +371,7 @@ def _exchange(spark: SparkSession, sf_dir: str) -> ex.ExchangeResult:
     return ex.Exchange("x", [ex.Transformer("mark", _transformed)], [ex.Publisher("a"), ex.Publisher("b")], inbound=routes, max_hops=1).run(messages(spark, sf_dir).drop("ts"))
 
 
-@query(f"""WITH {MESSAGES}, t AS (SELECT * FROM msg WHERE payload_type IN ('T.view', 'T.click')), o AS (SELECT id, payload FROM t WHERE event_id % 10 <> 0 UNION ALL SELECT id || '-0', 'a' || event_id FROM t WHERE event_id % 10 = 0 UNION ALL SELECT id || '-1', 'b' FROM t WHERE event_id % 10 = 0)
+@query(f"""WITH {MESSAGES}, t AS (SELECT * FROM msg WHERE payload_type IN ('T.view', 'T.click')), o AS (SELECT id, payload FROM t WHERE event_id % 10 <> 0 UNION ALL SELECT id || '-1.mark-0', 'a' || event_id FROM t WHERE event_id % 10 = 0 UNION ALL SELECT id || '-1.mark-1', 'b' FROM t WHERE event_id % 10 = 0)
 SELECT id, payload, target FROM o, (VALUES ('a'), ('b')) x(target)""")
 def exchange_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exchange(spark, sf_dir).published.select("id", "payload", "target")
@@ -391,7 +391,32 @@ def exchange_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.run(messages(spark, sf_dir).drop("ts")).published.select("id", "payload", "target")
 
 
-@query(f"WITH {MESSAGES} SELECT id, 'transform' AS stage, 'mark' AS target, 'refused' AS error FROM msg WHERE payload_type = 'T.error'")
+def _lists(name: str) -> ex.Transformer:
+    return ex.Transformer(name, lambda m: m.withColumn("payload", F.to_json(F.array(F.concat(F.lit(f"{name}:"), "payload"), F.lit(name)))).withColumn("payload_type", F.lit("item")))
+
+
+@query(f"""WITH {MESSAGES}, l AS (SELECT id, t, payload, 1 AS hop FROM msg, (VALUES ('x'), ('y')) v(t) WHERE payload_type = 'T.view' UNION ALL SELECT id, t, 'a:' || payload, 2 FROM msg, (VALUES ('x'), ('y')) v(t) WHERE payload_type = 'T.click')
+SELECT id || '-' || hop || '.' || t || '-' || k AS id, CASE k WHEN 0 THEN t || ':' || payload ELSE t END AS payload, 'p' AS target FROM l, (VALUES (0), (1)) p(k) UNION ALL SELECT id, 'a:' || payload, 'p' FROM msg WHERE payload_type IN ('T.click', 'T.error')
+UNION ALL SELECT id, 'a:a:' || payload, 'p' FROM msg WHERE payload_type = 'T.error'""")
+def exchange_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of two transformers, in the first hop and in the second: every item has an id of its own and isn't transformed again."""
+    return _list_exchange(spark, sf_dir).published.select("id", "payload", "target")
+
+
+def _list_exchange(spark: SparkSession, sf_dir: str) -> ex.ExchangeResult:
+    again = ex.Transformer("a", lambda m: m.withColumn("payload", F.concat(F.lit("a:"), "payload")).withColumn("payload_type", F.when(F.col("payload_type") == "T.click", F.lit("made")).otherwise(F.col("payload_type"))))
+    inbound = ex.routes_table(spark, [ex.Route("type", t, name) for t in ("T.view", "made") for name in ("x", "y")] + [ex.Route("type", "T.click", "a"), ex.Route("type", "T.error", "a"), ex.Route("type", "item", "x")])
+    return ex.Exchange("l", [_lists("x"), _lists("y"), again], [ex.Publisher("p")], inbound=inbound, max_hops=2).run(messages(spark, sf_dir).drop("ts"))
+
+
+@query(f"WITH {MESSAGES} SELECT id, 'a:a:' || payload AS payload, 'hops' AS stage, 'a' AS target, 'stopped after 2 hops' AS error FROM msg WHERE payload_type = 'T.error'")
+def exchange_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would go through the transformers for ever is a dead letter after two hops."""
+    return _list_exchange(spark, sf_dir).deadletters.select("id", "payload", "stage", "target", "error")
+
+
+@query(f"""WITH {MESSAGES} SELECT id, 'transform' AS stage, 'mark' AS target, 'refused' AS error FROM msg WHERE payload_type = 'T.error'
+UNION ALL SELECT id, 'hops', 'mark', 'stopped after 1 hops' FROM msg WHERE payload_type IN ('T.view', 'T.click') AND event_id % 10 <> 0""")
 def exchange_deadletters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exchange(spark, sf_dir).deadletters.select("id", "stage", "target", "error")
 

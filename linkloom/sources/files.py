@@ -41,3 +41,8 @@ def publish_json(df: DataFrame, folder: str) -> None:
 def publish_deadletter(df: DataFrame, folder: str) -> None:
     """Append failed messages (stage, target and error columns) to the dead-letter table."""
     df.write.mode("append").parquet(folder)
+
+
+def publish_batch(df: DataFrame, folder: str, batch_id: int) -> None:
+    """Write a batch's messages to its own folder: a batch that runs again replaces what it wrote."""
+    df.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")

@@ -12,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import host
-from ..operators.exchange import Exchange
+from ..operators.exchange import Exchange, envelope
 from ..operators.frontier import ingest_uris, row_id
+from ..sources.batches import BatchTable, StateTable
 
 
 def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None) -> StreamingQuery:
@@ -34,17 +35,43 @@ def stream_ingest(events: DataFrame, frontier: Callable[[], DataFrame], response
     return _start(events, batch, checkpoint, interval)
 
 
+def ingest_into(events: DataFrame, table: BatchTable, responses: Callable[[], DataFrame], config: DataFrame, checkpoint: str, interval: str | None = None, within: str | None = None) -> StreamingQuery:
+    """Ingest crawl events into ``table`` (the frontier's rows by batch) so that every event counts once, whatever runs again: a batch sees the rows of earlier batches
+    only, and replaces its own. With ``within``, a uri and type that come again within that event time are left out before anything is joined."""
+    spark = events.sparkSession
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        out = ingest_uris(df, table.before(spark, batch_id), responses(), config)
+        table.put(out.where("uri is not null").withColumn("id", row_id("event_id", "uri")), batch_id)
+
+    return _start(first_seen(events, within) if within else events, batch, checkpoint, interval)
+
+
 def first_seen(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events (uri, uri_type, ts) without those whose lower-case uri and type were seen within the watermark."""
     return events.withWatermark("ts", delay).withColumn("_key", F.lower("uri")).dropDuplicatesWithinWatermark(["_key", "uri_type"]).drop("_key")
 
 
-def stream_exchange(messages: DataFrame, exchange: Exchange, deadletter: Callable[[DataFrame], None], checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Run an exchange on a stream of messages: every batch is routed, transformed and published; failures go to ``deadletter``."""
+def stream_exchange(messages: DataFrame, exchange: Exchange, deadletter: Callable[..., None], checkpoint: str, interval: str | None = None, state: StateTable | None = None, by_batch: bool = False) -> StreamingQuery:
+    """Run an exchange on a stream of messages: every batch is routed, transformed and published; failures go to ``deadletter`` (with the batch's number if ``by_batch``).
+
+    With ``state`` a batch's messages are stored before the work and cleared after it. What a stopped run has left is worked on first, under its own batch number and without
+    being stored again; when Spark brings that batch back it is passed over."""
+    spark = messages.sparkSession
 
-    def batch(df: DataFrame, _: int) -> None:
-        exchange.publish(exchange.run(df), deadletter)
+    def work(df: DataFrame, batch_id: int) -> None:
+        exchange.publish(exchange.run(df, whole=state is not None), deadletter, batch_id if by_batch else None)
+        if state:
+            state.clear(spark, batch_id)
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        if state is None:
+            work(df, batch_id)
+        elif not state.is_done(spark, batch_id):
+            work(state.store(envelope(df), batch_id), batch_id)
 
+    for left in state.outstanding(spark) if state else []:
+        work(state.rows(spark, left), left)
     return _start(messages, batch, checkpoint, interval)
 
 
