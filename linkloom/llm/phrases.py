@@ -29,7 +29,7 @@ LONGEST = 3
 CONTAINED = 50  # per cent of a phrase's count that a longer one's must reach to drop it
 TOP = 2000
 CHUNK = 1 << 20  # bytes of text that become one row of a shard
-BITS = 25  # of a bitmap, 4 MB
+BITS = 24  # of a bitmap, 2 MB
 FLUSH = 1 << 21
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -111,11 +111,11 @@ def numbered(docs: DataFrame, shards: int, chunk: int, salt: int) -> DataFrame:
     return given.mapInArrow(run, kind)
 
 
-def _written(df: DataFrame, by: str) -> DataFrame:
+def _written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` in the shared folder, a folder for each value of ``by``."""
     path = f"{shared_dir(df.sparkSession)}/linkloom-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def _gram_keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -221,22 +221,30 @@ def scan(shard: DataFrame, first_cycle: bool, now: dict, before: dict, longest:
     return shard.select("words").mapInArrow(run, kind).groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, "n")
 
 
-def frequent(scans: list[DataFrame], size: int, threshold: int, shards: int) -> DataFrame:
-    """Phrases of ``size`` words whose counts over ``scans`` add up to the threshold: w1 .., f. A phrase has a count in as many scans as there are shards
-    at most, so one of them is large; only phrases with such a count are added up."""
+
+def least_heavy(threshold: int, shards: int) -> int:
+    """A phrase that reaches the threshold over all shards has this count in one of them at least."""
+    return -(-threshold // shards)
+
+
+def frequent(scans: list[DataFrame], size: int, threshold: int, exact: bool = True) -> DataFrame:
+    """Phrases of ``size`` words whose counts over ``scans`` add up to the threshold: w1 .., f. Only phrases with a heavy count in some scan (see :func:`least_heavy`) can; if not ``exact``
+    only their heavy counts are added, which reads far less and may find a phrase later than it could be."""
     keys = _columns(size)
-    parts = [s.where(F.col("size") == size).select(*keys, "n") for s in scans]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    least = -(-threshold // min(len(parts), shards))
-    if least > 1 and len(parts) > 1:
-        every = may_contain(every, every.where(F.col("n") >= least).select(*keys), *keys)
-    return every.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
+    every = None
+    for part in scans:
+        part = part.where(F.col("size") == size)
+        every = part if every is None else every.union(part)
+    heavy = every.where("heavy").select(*keys, "n")
+    if exact and len(scans) > 1:
+        heavy = may_contain(every.select(*keys, "n"), heavy.select(*keys), *keys)
+    return heavy.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
 
 
 def count_phrases(spark: SparkSession, lines: DataFrame, longest: int, threshold: int, shards: int) -> dict[int, DataFrame]:
-    """By number of words: all phrases with at least ``threshold`` occurrences, w1 .., f."""
+    """By number of words: all phrases with at least ``threshold`` occurrences, w1 .., f.
+
+    Within a cycle heavy counts activate; at its end the exact sums do, so that nothing is missed."""
     scans: list[tuple[range, DataFrame]] = []  # sizes that a scan may have counted, its counts
     history: list[dict[int, np.ndarray]] = [{}]
     sent: list[dict] = [{}]
@@ -245,24 +253,27 @@ def count_phrases(spark: SparkSession, lines: DataFrame, longest: int, threshold
         if t >= shards and history[t].keys() == history[t - shards].keys() and all(np.array_equal(history[t][k], history[t - shards][k]) for k in history[t]):
             break
         sizes = range(1 if t < shards else 2, min(longest, max(history[t], default=0) + 1) + 1)
-        counts = _written(scan(lines.where(F.col("shard") == t % shards), t < shards, sent[t], sent[t - shards] if t >= shards else {}, longest), "size")
-        scans.append((sizes, counts))
+        counts = scan(lines.where(F.col("shard") == t % shards), t < shards, sent[t], sent[t - shards] if t >= shards else {}, longest)
+        scans.append((sizes, _written(counts.withColumn("heavy", F.col("n") >= least_heavy(threshold, shards)), "size", "heavy")))
         after, held = dict(history[t]), dict(sent[t])
         for size in sizes:
             if size < longest:
-                bits = _bitmap(frequent([s for counted, s in scans if size in counted], size, threshold, shards), size)
+                bits = _bitmap(frequent([s for counted, s in scans if size in counted], size, threshold, exact=t % shards == shards - 1), size)
                 if size in after:
                     bits |= after[size]
                 if bits.any() and not (size in after and np.array_equal(bits, after[size])):
                     after[size], held[size] = bits, spark.sparkContext.broadcast(bits)
         history.append(after)
         sent.append(held)
-        if t >= shards:
-            history[t - shards] = {}
+        if t >= shards:  # nothing asks for these any more
+            for size, old in sent[t - shards].items():
+                if old is not sent[t - shards + 1].get(size):
+                    old.unpersist()
+            history[t - shards] = sent[t - shards] = {}
     found = {}
     for size in range(1, longest + 1):
         parts = [s for sizes, s in scans if size in sizes]
-        found[size] = stage(frequent(parts, size, threshold, shards)) if parts else spark.createDataFrame([], ", ".join([*(f"{c} long" for c in _columns(size)), "f long"]))
+        found[size] = stage(frequent(parts, size, threshold)) if parts else spark.createDataFrame([], ", ".join([*(f"{c} long" for c in _columns(size)), "f long"]))
     return found
 
 
