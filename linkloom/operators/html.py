@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..schemas import NODE
+from ..schemas import NODE, PAGE_TAG
 
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag in the first set ends an open element of the second, unless one of the third is open inside of it.
@@ -35,8 +35,13 @@ class _Shredder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []  # parent, depth, tag, attrs, own_text, last, post, hash parts
+        self.rows: list[list] = []  # parent, depth, tag, attrs, own_text, last, post, hash parts, then what _FACTS names
         self.open: list[int] = []
+        self.texts: list[str] = []
+        self.length = 0  # of all texts so far
+        self.holders: dict[str, list[int]] = {"table": [], "tr": []}  # the open ones
+        self.seen = {"a": 0, "img": 0, "table": 0}
+        self.refs: list[str | None] = []  # targets of anchors and images
         self.posts = 0
         self.silent = 0
 
@@ -45,6 +50,11 @@ class _Shredder(HTMLParser):
         row = self.rows[at]
         row[5], row[6] = len(self.rows) - 1, self.posts
         self.posts += 1
+        row[9] = self.length
+        row[12:15] = [self.seen[t] - before for t, before in zip(self.seen, row[12:15], strict=True)]
+        row[15] = self.refs[row[15]] if row[15] < len(self.refs) else None
+        if row[2] in self.holders:
+            self.holders[row[2]].pop()
         row[7] = _digest(row[2], *[f"{k}={v}" for k, v in row[3].items()], *row[7])
         if row[0] >= 0:
             self.rows[row[0]][7].append(str(row[7]))
@@ -72,10 +82,20 @@ class _Shredder(HTMLParser):
 
     def _start(self, tag: str, attrs: list) -> None:
         parent = self.open[-1] if self.open else -1
-        self.rows.append([parent, len(self.open), tag, {k: v or "" for k, v in reversed(attrs)}, None, 0, 0, []])
+        held, first = {k: v or "" for k, v in reversed(attrs)}, len(self.refs)
+        if tag in self.seen:
+            self.seen[tag] += 1
+        if tag in ("a", "img"):
+            self.refs.append(held.get("href", held.get("src")))
+        self.rows.append([parent, len(self.open), tag, held, None, 0, 0, [], self.length, 0, self._holder("table"), self._holder("tr"), *self.seen.values(), first])
         self.open.append(len(self.rows) - 1)
+        if tag in self.holders:
+            self.holders[tag].append(len(self.rows) - 1)
         self.silent += tag in ("script", "style")
 
+    def _holder(self, tag: str) -> int | None:
+        return self.holders[tag][-1] if self.holders[tag] else None
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in EMPTY_TAGS:
@@ -94,8 +114,10 @@ class _Shredder(HTMLParser):
         if self.silent or not data:
             return
         parent = self.open[-1] if self.open else -1
-        self.rows.append([parent, len(self.open), "#text", {}, data, len(self.rows), self.posts, _digest("#text", data)])
+        self.rows.append([parent, len(self.open), "#text", {}, data, len(self.rows), self.posts, _digest("#text", data), self.length, self.length + len(data), self._holder("table"), self._holder("tr"), 0, 0, 0, None])
         self.posts += 1
+        self.length += len(data)
+        self.texts.append(data)
         if parent >= 0:
             up = self.rows[parent]
             up[7].append(data)
@@ -111,18 +133,21 @@ class _Shredder(HTMLParser):
 
 
 def shred_html(pages: DataFrame, pages_per_batch: int = 64, tags: Sequence[str] | None = None) -> DataFrame:
-    """(page_id, node_id, parent_id, pre, last, post, depth, tag, attrs, own_text, outer_hash) of every node of ``pages`` (page_id, html), or of those with
-    one of ``tags``.
+    """The nodes (see :data:`~linkloom.schemas.NODE`) of ``pages`` (page_id, html, and url where there is one), or those with one of ``tags``.
 
     ``pre`` numbers nodes in page order, texts included, and ``last`` is the last of a node's subtree: a node lies in another's when its pre is
     between. own_text is an element's first text, or a text node's own. Elements of one outer HTML have one outer_hash. Broken markup is
     taken as it comes; a null page has no nodes. Reading a page takes far longer than moving it, so that a table of fewer partitions than there are
     cores is dealt anew first; a larger one stays where it is.
 
+    The reader knows which elements are open, so it also notes what containment joins would have to find: the innermost open table and row (table_pre, row_pre), how many anchors, images and tables a node holds, the
+    first target at or in it (ref), and where its text begins and ends in the page's text, which is a row of its own (tag ``#page``, pre -1).
+
     The table is read by several branches of most plans: write it once, see :func:`~linkloom.sources.staged.staged`.
     """
-    pages, cores = pages.select("page_id", "html"), pages.sparkSession.sparkContext.defaultParallelism
-    if not pages.isStreaming and pages.rdd.getNumPartitions() < cores:
+    columns, cores = ["page_id", "html", *(["url"] if "url" in pages.columns else [])], pages.sparkSession.sparkContext.defaultParallelism
+    pages = pages.select(*columns)
+    if not pages.isStreaming and len(pages.inputFiles() or range(cores)) < cores:
         pages = pages.repartition(cores)
 
     wanted = frozenset(tags or ())
@@ -132,13 +157,15 @@ def shred_html(pages: DataFrame, pages_per_batch: int = 64, tags: Sequence[str]
             for at in range(0, len(pdf), pages_per_batch):
                 out: dict[str, list] = {c.split()[0]: [] for c in NODE.replace("map<string,string>", "map").split(", ")}
                 part = pdf.iloc[at : at + pages_per_batch]
-                for page_id, page in zip(part["page_id"], part["html"], strict=True):
-                    for i, (parent, depth, tag, attrs, own, last, post, outer) in enumerate(_Shredder().shred(page or "")):
-                        if wanted and tag not in wanted:
-                            continue
-                        for name, value in zip(out, (page_id, i, parent if parent >= 0 else None, i, last, post, depth, tag, attrs, own, outer), strict=True):
+                for page_id, page, url in zip(part["page_id"], part["html"], part["url"] if "url" in part else [None] * len(part), strict=True):
+                    reader = _Shredder()
+                    rows = [(i, row) for i, row in enumerate(reader.shred(page or "")) if not wanted or row[2] in wanted]
+                    if reader.rows and (not wanted or PAGE_TAG in wanted):
+                        rows.append((-1, [-1, -1, PAGE_TAG, {} if url is None else {"url": url}, "".join(reader.texts), len(reader.rows) - 1, -1, 0, 0, reader.length, None, None, *reader.seen.values(), None]))
+                    for i, (parent, depth, tag, attrs, own, last, post, outer, *facts) in rows:
+                        for name, value in zip(out, (page_id, i, parent if parent >= 0 else None, i, last, post, depth, tag, attrs, own, outer, *facts), strict=True):
                             out[name].append(value)
                 if out["page_id"]:
-                    yield pd.DataFrame(out).astype({"parent_id": "Int32"})
+                    yield pd.DataFrame(out).astype(dict.fromkeys(("parent_id", "table_pre", "row_pre"), "Int32"))
 
     return pages.mapInPandas(run, NODE)

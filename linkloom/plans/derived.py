@@ -97,3 +97,35 @@ MESSAGES = """plain_msg AS (SELECT CASE WHEN event_id % 6 <> 0 THEN CAST(event_i
 digest_msg AS (SELECT *, sha256(payload_type || chr(31) || payload || chr(31) || routing_key || chr(31) || coalesce(correlation_id, chr(0))) AS digest FROM plain_msg),
 place_msg AS (SELECT *, row_number() OVER (PARTITION BY given IS NULL, digest ORDER BY CAST(event_id AS VARCHAR)) AS place FROM digest_msg),
 msg AS (SELECT *, coalesce(given, digest || CASE WHEN place = 1 THEN '' ELSE '-row-' || place END) AS id FROM place_msg)"""
+
+
+def built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer with orders: a table of orders with headers, links, images with and without source, files, empty rows and tables in cells; every sixth page has no title."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    key = k.cast("string")
+    third = F.when(k % 4 == 0, F.concat(F.lit("<table><tr><td>in "), key, F.lit("</td></tr></table>"))).otherwise(F.concat(F.lit("plain "), key))
+    image = F.concat(F.lit('<img src="/i/'), key, F.lit('.png">'))
+    last = F.when(k % 3 == 0, F.concat(image, F.lit('<a href="/f/'), key, F.lit('.pdf">file '), key, F.lit("</a>"))).when(k % 3 == 1, F.lit("<img>")).otherwise(image)
+    cells = F.concat(F.lit("<td>"), key, F.lit('</td><td><a href="/s/'), "o_orderstatus", F.lit('">'), "o_orderstatus", F.lit("</a></td><td>"), third, F.lit("</td><td>"), last, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), F.when(k % 7 == 0, F.lit("")).otherwise(cells), F.lit("</tr>"))
+    rows = table(spark, sf_dir, "orders").groupBy(c.cast("long").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    title = F.when(F.col("page_id") % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("<title>Customer "), F.col("page_id").cast("string"), F.lit("</title>")))
+    head = "</head><body><table><tr><th>Key</th><th>Status</th><th>Note</th><th>Files</th></tr>"
+    return rows.select("page_id", F.concat(F.lit("https://c"), F.col("page_id").cast("string"), F.lit(".example.org/orders")).alias("url"), F.concat(F.lit("<html><head>"), title, F.lit(head), "rows", F.lit("</table></body></html>")).alias("html"))
+
+
+BUILT = """ord AS (SELECT CAST(o_custkey AS BIGINT) AS page_id, o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS st, 'https://c' || o_custkey || '.example.org' AS site, o_orderkey % 7 = 0 AS bare,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS row_no FROM orders),
+full_ord AS (SELECT * FROM ord WHERE NOT bare),
+inner_tables AS (SELECT page_id, key, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS table_no FROM full_ord WHERE k % 4 = 0),
+cells AS (
+  SELECT page_id, 0 AS table_no, -1 AS row_no, c.col_no, true AS is_header, 'Text' AS part_type, c.name || chr(10) AS text, CAST(NULL AS VARCHAR) AS uri FROM (SELECT DISTINCT page_id FROM ord) p, (VALUES (0, 'Key'), (1, 'Status'), (2, 'Note'), (3, 'Files')) c(col_no, name)
+  UNION ALL SELECT page_id, 0, row_no, 0, false, NULL, NULL, NULL FROM ord WHERE bare
+  UNION ALL SELECT page_id, 0, row_no, 0, false, 'Text', key || chr(10), NULL FROM full_ord
+  UNION ALL SELECT page_id, 0, row_no, 1, false, 'Link', st || chr(10), site || '/s/' || st FROM full_ord
+  UNION ALL SELECT page_id, 0, row_no, 2, false, 'Text', CASE WHEN k % 4 = 0 THEN 'in ' ELSE 'plain ' END || key || chr(10), NULL FROM full_ord
+  UNION ALL SELECT page_id, 0, row_no, 3, false, CASE WHEN k % 3 = 0 THEN 'Article' ELSE 'File' END, CASE WHEN k % 3 = 0 THEN 'file ' || key ELSE '' END || chr(10), CASE WHEN k % 3 <> 1 THEN site || '/i/' || key || '.png' END FROM full_ord
+  UNION ALL SELECT page_id, table_no, 0, 0, false, 'Text', 'in ' || key || chr(10), NULL FROM inner_tables),
+texts AS (SELECT page_id, table_no, string_agg(CASE WHEN is_header THEN rtrim(text, chr(10)) || '. ' || chr(10) ELSE coalesce(rtrim(text, chr(10)), '') || chr(10) END, '' ORDER BY row_no, col_no) AS text FROM cells GROUP BY ALL),
+anchors AS (SELECT page_id, min(k * 10 + 1) AS pos, st AS text, site || '/s/' || st AS uri FROM full_ord GROUP BY ALL UNION ALL SELECT page_id, k * 10 + 3, 'file ' || key, site || '/f/' || key || '.pdf' FROM full_ord WHERE k % 3 = 0),
+images AS (SELECT page_id, k AS pos, site || '/i/' || key || '.png' AS uri FROM full_ord WHERE k % 3 <> 1 UNION ALL SELECT page_id, min(k), NULL FROM full_ord WHERE k % 3 = 1 GROUP BY page_id)"""

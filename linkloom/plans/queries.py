@@ -19,10 +19,10 @@ from ..operators import frontier as fr
 from ..operators import links as lk
 from ..operators import metrics, parts, responses, schedule
 from ..operators.html import shred_html
-from ..sources.staged import staged
+from ..sources.staged import clustered
 from ..operators.selectors import Selector
 from ..sources import documents as dt
-from .derived import CONFIG, EVENTS, HOST, MESSAGES, SKIP, URIS, crawl_events, messages, page_uris, site_config, table
+from .derived import BUILT, CONFIG, EVENTS, HOST, MESSAGES, SKIP, URIS, built_pages, crawl_events, messages, page_uris, site_config, table
 
 AS_OF = datetime(2024, 1, 15, 12, 0, 0)
 
@@ -68,42 +68,115 @@ def new_links_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER) AS ord, uri, text, base_uri FROM (SELECT page_id, base_uri, uri, substr(href, 2) AS text, min(ord) AS o FROM found GROUP BY ALL) x")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.extract_links(staged(shred_html(pages)), pages)
+    return parts.extract_links(clustered(shred_html(pages), "page_id", "pre"), pages)
 
 
 @query(f"WITH {LINKS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER) AS ord, uri, text FROM (SELECT page_id, uri, substr(href, 2) AS text, min(ord) AS o FROM found GROUP BY ALL) x")
 def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.extract_files(staged(shred_html(pages)), pages).select("page_id", "ord", "uri", "text")
+    return parts.extract_files(clustered(shred_html(pages), "page_id", "pre"), pages).select("page_id", "ord", "uri", "text")
 
 
 @query(r"SELECT page_id, 'meta' AS slot, repeat(chr(10), len(regexp_extract_all(html, '<meta '))) AS text FROM pages WHERE regexp_matches(html, '<meta ')")
 def extract_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.extract_meta(staged(shred_html(table(spark, sf_dir, "pages"))))
+    return parts.extract_meta(clustered(shred_html(table(spark, sf_dir, "pages")), "page_id", "pre"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\s*\n\s*', ' ', 'g')) || chr(10) AS title FROM pages WHERE regexp_matches(html, '<title>')""")
 def article_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.extract_text(staged(shred_html(table(spark, sf_dir, "pages"))), parts.TITLE).select("page_id", F.col("text").alias("title"))
+    return parts.extract_text(clustered(shred_html(table(spark, sf_dir, "pages")), "page_id", "pre"), parts.TITLE).select("page_id", F.col("text").alias("title"))
 
 
 @query("SELECT 'MissingText' AS anomaly_type, count(*) AS n FROM pages WHERE NOT regexp_matches(html, '<table') OR html IS NULL HAVING count(*) > 0")
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return parts.anomaly_counts(parts.anomalies(staged(shred_html(pages)), pages, [Selector("t", "//table")]))
+    return parts.anomaly_counts(parts.anomalies(clustered(shred_html(pages), "page_id", "pre"), pages, [Selector("t", "//table")]))
 
 
-@query()
-def autodetect_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return parts.autodetect_parts(staged(shred_html(pages)), pages)
+@query(f"""WITH {BUILT}, found AS (SELECT 'MissingTitle' AS t FROM (SELECT DISTINCT page_id FROM ord) x WHERE page_id % 6 = 0 UNION ALL SELECT 'MissingText' FROM (SELECT DISTINCT page_id FROM ord) x
+UNION ALL SELECT 'MissingFileLink' FROM ord GROUP BY page_id HAVING bool_and(bare) UNION ALL SELECT 'MissingImg' FROM full_ord WHERE k % 3 = 1 UNION ALL SELECT 'MissingHeader' FROM inner_tables UNION ALL SELECT 'MissingRow' FROM ord WHERE bare
+UNION ALL SELECT 'MissingTable' FROM (SELECT DISTINCT page_id FROM ord) x, range(4)) SELECT t AS anomaly_type, count(*) AS n FROM found GROUP BY 1""")
+def built_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven kinds of anomaly on pages of orders; headers among what should be tables are missing tables."""
+    pages = built_pages(spark, sf_dir)
+    return parts.anomaly_counts(parts.anomalies(clustered(shred_html(pages), "page_id", "pre"), pages, [Selector("h", "//h1")], tables=Selector("t", "//*[self::table or self::th]")))
 
 
-@query()
-def crawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH {BUILT} SELECT page_id, table_no, row_no, col_no, is_header, part_type, text, uri FROM cells")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.extract_tables(clustered(shred_html(built_pages(spark, sf_dir)), "page_id", "pre"))
+
+
+@query(f"WITH {BUILT} SELECT page_id, table_no, text FROM texts")
+def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts.table_text(parts.extract_tables(clustered(shred_html(built_pages(spark, sf_dir)), "page_id", "pre")))
+
+
+@query(f"""WITH {BUILT} SELECT page_id, 0 AS kind_order, 0 AS ord, 'Article' AS part_type, 6 AS part_code, CASE WHEN page_id % 6 <> 0 THEN 'Customer ' || page_id || chr(10) END AS text, NULL AS uri FROM (SELECT DISTINCT page_id FROM ord) p
+UNION ALL SELECT page_id, 1, table_no, 'Table', 4, text, NULL FROM texts UNION ALL SELECT page_id, 2, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER), 'Link', 2, text, uri FROM anchors
+UNION ALL SELECT page_id, 3, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER), 'File', 3, '', uri FROM images""")
+def autodetect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles, tables, links and images of pages of orders."""
+    return parts.autodetect_parts(clustered(shred_html(built_pages(spark, sf_dir)), "page_id", "pre")).select("page_id", "kind_order", "ord", "part_type", "part_code", "text", "uri")
+
+
+@query(f"""WITH {BUILT}, h AS (SELECT page_id, html, {HOST.format("url")} AS host, url FROM pages), t AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\\s*\\n\\s*', ' ', 'g')) || chr(10) AS title FROM pages WHERE regexp_matches(html, '<title>')), {LINKS},
+l AS (SELECT page_id, uri, substr(href, 2) AS text, min(ord) AS o FROM found GROUP BY ALL)
+SELECT page_id, 0 AS kind_order, 0 AS ord, 'Article' AS part_type, title AS text, NULL AS uri FROM pages LEFT JOIN t USING (page_id) WHERE html <> '' UNION ALL SELECT page_id, 2, CAST(row_number() OVER (PARTITION BY page_id ORDER BY o) - 1 AS INTEGER), 'Link', text, uri FROM l""")
+def autodetect_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    wanted = pages.select("page_id", (F.col("page_id") % 2 == 0).alias("provide_raw"), (F.col("page_id") % 3 != 0).alias("should_index"))
-    return parts.crawl_responses(pages, staged(shred_html(pages)), wanted)
+    return parts.autodetect_parts(clustered(shred_html(pages), "page_id", "pre")).select("page_id", "kind_order", "ord", "part_type", "text", "uri")
+
+
+ORDER_SITE = [("o", "0", None, "sub", "Article", "page", None, None), ("o", "0.c", "0", "content", "Text", None, "//body", None), ("o", "0.c.0", "0.c", "sub", "File", "images", "//img", None), ("o", "0.0", "0", "sub", "Table", "orders", None, None)]
+
+
+@query(f"""WITH {BUILT}, u AS (SELECT page_id, '/s/' || st AS p, site FROM full_ord UNION SELECT page_id, '/i/' || key || '.png', site FROM full_ord WHERE k % 3 <> 1 UNION SELECT page_id, '/f/' || key || '.pdf', site FROM full_ord WHERE k % 3 = 0)
+SELECT page_id, site || p AS uri, substr(p, 4) AS file_name FROM u WHERE page_id % 2 = 0""")
+def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to download of every other page of orders: of its content and of its tables' cells."""
+    pages = built_pages(spark, sf_dir)
+    nodes = clustered(shred_html(pages), "page_id", "pre")
+    found, _ = parts.defined_parts(nodes, pages.select("page_id", F.lit("o").alias("config_id")), spark.createDataFrame(ORDER_SITE, parts.DEFINITION))
+    return parts.page_manifest(nodes, found, pages.select("page_id", (F.col("page_id") % 2 == 0).alias("download_content")))
+
+
+#: Three sites' definitions: an article with a menu for content, whose links it wants, and no time; a text with meta data and links; a file that isn't there, a text, and a path that can't be read.
+SITES = [
+    ("d0", "0", None, "sub", "Article", "page", None, None),
+    ("d0", "0.t", "0", "title", "Text", None, "//h1", None),
+    ("d0", "0.c", "0", "content", "Text", None, "//nav", None),
+    ("d0", "0.c.0", "0.c", "sub", "Link", "menu", None, None),
+    ("d0", "0.s", "0", "timestamp", "Text", None, "//time", None),
+    ("d1", "0", None, "sub", "Text", "head", "//*[self::title and not(@lang)]", None),
+    ("d1", "0.0", "0", "sub", "Meta", None, None, None),
+    ("d1", "0.1", "0", "sub", "Link", None, "//a[@href]", None),
+    ("d2", "0", None, "sub", "File", "pictures", "//img", None),
+    ("d2", "0.0", "0", "sub", "Text", "advert", "//div[@class='ad']", "e"),
+    ("d2", "0.1", "0", "sub", "Text", "broken", "//div/p[1]", None),
+]
+INNER = r"""trim(regexp_replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s*\n\s*', ' ', 'g'))"""
+
+
+@query(f"""WITH {LINKS}, p AS (SELECT page_id, url, html, 'd' || length({HOST.format("url")}) % 3 AS config_id, {INNER.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1, {INNER.format("regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')")} AS nav,
+  {INNER.format("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {INNER.format("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS ad FROM pages WHERE url IS NOT NULL),
+l AS (SELECT page_id, uri, text, row_number() OVER (PARTITION BY page_id ORDER BY m) - 1 AS o FROM (SELECT page_id, uri, substr(href, 2) AS text, min(ord) AS m FROM found GROUP BY ALL) x),
+part AS (
+  SELECT page_id, '0' AS part_id, 0 AS ord, false AS missing, h1 || chr(10) AS text FROM p WHERE config_id = 'd0'
+  UNION ALL SELECT page_id, '0.t', 0, false, h1 || chr(10) FROM p WHERE config_id = 'd0' UNION ALL SELECT page_id, '0.c', 0, false, nav || chr(10) FROM p WHERE config_id = 'd0'
+  UNION ALL SELECT page_id, '0.c.0', o, false, text FROM l JOIN p USING (page_id) WHERE config_id = 'd0' UNION ALL SELECT page_id, '0.s', 0, true, '' FROM p WHERE config_id = 'd0'
+  UNION ALL SELECT page_id, '0', 0, false, title || chr(10) FROM p WHERE config_id = 'd1' UNION ALL SELECT page_id, '0.0', 0, false, chr(10) FROM p WHERE config_id = 'd1' UNION ALL SELECT page_id, '0.1', o, false, text FROM l JOIN p USING (page_id) WHERE config_id = 'd1'
+  UNION ALL SELECT page_id, '0', 0, true, '' FROM p WHERE config_id = 'd2' UNION ALL SELECT page_id, '0.0', 0, NOT contains(ad, 'e'), CASE WHEN contains(ad, 'e') THEN ad || chr(10) ELSE '' END FROM p WHERE config_id = 'd2')
+SELECT page_id, p.config_id, string_agg(part_id || '/' || part.ord || '/' || missing || '/' || part.text, '|' ORDER BY part_id, part.ord) AS parts, any_value(CASE WHEN p.config_id = 'd0' THEN h1 || chr(10) END) AS title,
+count(*) FILTER (WHERE part_id IN ('0.c.0', '0.1')) AS n_links, count(*) FILTER (WHERE missing) AS n_anomalies, any_value(page_id % 3 <> 0) AS should_index, any_value(CASE WHEN page_id % 2 = 0 THEN length(html) END) AS raw_length FROM p JOIN part USING (page_id) GROUP BY page_id, p.config_id""")
+def crawl_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by its own site's definition, of which there are three."""
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    n = F.col("page_id")
+    sites = pages.select("page_id", F.concat(F.lit("d"), (F.length(host("url")) % 3).cast("string")).alias("config_id"), (n % 2 == 0).alias("provide_raw"), (n % 3 != 0).alias("should_index"))
+    out = parts.crawl_responses(pages, clustered(shred_html(pages), "page_id", "pre"), sites, spark.createDataFrame(SITES, parts.DEFINITION))
+    shown = F.transform("parts", lambda p: F.concat_ws("/", p["part_id"], p["ord"].cast("string"), p["missing"].cast("string"), F.coalesce(p["text"], F.lit(""))))
+    return out.select("page_id", "config_id", F.array_join(shown, "|").alias("parts"), "title", "n_links", "n_anomalies", "should_index", F.length("raw").cast("long").alias("raw_length"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '...' ELSE text END AS summary FROM documents")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 PAGE = "page_id long, url string, html string"
-NODE = "page_id long, node_id int, parent_id int, pre int, last int, post int, depth int, tag string, attrs map<string,string>, own_text string, outer_hash long"
+NODE = "page_id long, node_id int, parent_id int, pre int, last int, post int, depth int, tag string, attrs map<string,string>, own_text string, outer_hash long, text_from int, text_to int, table_pre int, row_pre int, n_a int, n_img int, n_table int, ref string"
+#: The row that stands for a whole page: all its text, its url as an attribute.
+PAGE_TAG = "#page"
 PART_CODES = {"Text": 1, "Link": 2, "File": 3, "Table": 4, "Row": 5, "Article": 6, "AutoDetect": 7, "Stream": 8, "Form": 9, "Meta": 10}
 URI_TYPES = {"Onetime": 1, "Periodic": 2, "Found": 3, "Custom": 4, "Collector": 5}
 CONTINUATION = {"None": 1, "All": 2, "DomainOnly": 3, "TrackLinksOnly": 4, "Custom": 5, "Onetime": 6}
