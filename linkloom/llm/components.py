@@ -41,7 +41,7 @@ SMALL = 32  # the ids of a key are paired in a join up to so many, tile by tile
 SALTS = 1024  # parts of a common key
 
 
-def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def figures_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (key, id, common) in order, once each, with the first id of their key and the key's number of ids; uncommon keys of one id are left out, and
     common keys pass without these figures. The last key of a batch waits for the next batch if it isn't a common one."""
     held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
@@ -75,7 +75,7 @@ def key_groups(keys: DataFrame) -> DataFrame:
     """
     part = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
     rows = keys.select("key", "id", "common").repartition("key", part).sortWithinPartitions("key", "id")
-    rows = stage(rows.mapInArrow(_figures, "key long, id long, common boolean, first long, size long"))
+    rows = stage(rows.mapInArrow(figures_of_keys, "key long, id long, common boolean, first long, size long"))
     whole = rows.where("common").groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("size")).where("first != last").drop("last")
     common = rows.where("common").select("key", "id").join(F.broadcast(whole), "key")
     out = stage(rows.where("not common").select("key", "id", "first", "size").unionByName(common))

@@ -5,8 +5,8 @@ A line's words are lower-cased (A-Z) and joined by one space; equal normal lines
 blocks is a key. Classes that share a key link when they differ in at most ``bits`` bits and their edit similarity
 in words, 1 - distance / longer length, is at least ``similarity``. Of every connected group the first line (by doc_id, then place) stays.
 
-Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils three of a line's
-three-word runs at most, so that two lines in reach share some of the first few in any order that holds for all lines; these are the keys,
+Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils two of a line's
+two-word runs at most, so that two lines in reach share some of the first few in any order that holds for all lines; these are the keys,
 rare ones first. Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them apart are not compared.
 """
 
@@ -20,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, may_contain, split_by, stage, text_or_empty
-from .components import best_pairs, connected_components, crowded_rows, key_groups, link_components, small_pairs, tile_pairs, with_facts
+from .common import count_words, discard, may_contain, split_by, stage, text_or_empty
+from .components import best_pairs, connected_components, crowded_rows, figures_of_keys, link_components, small_pairs, tile_pairs, with_facts
 from .ordering import RareFirst, rare_first
 from .textvec import Tokenizer, Words, mix
 
 MIN_WORDS = 5
 FUZZY_WORDS = 8
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-RUN = 3  # words of a run
+RUN = 2  # words of a run
+KEYS = 1 << 20  # of a block, about
+KEY_BYTES = 6
 END = np.uint64(0x2127599BF4325C37)
 
 
@@ -66,12 +68,12 @@ def _pairs(words: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def line_classes(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """doc_id, line_no, line_id, bits of every line of at least ``min_words`` words; bits is null under ``fuzzy_words`` words."""
+    """doc_id, _row, line_no, line_id, bits of every line of at least ``min_words`` words; bits is null under ``fuzzy_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokenizer(fold=True)
         for batch in batches:
-            for w in tokens.chunks(batch.column(1)):
+            for w in tokens.chunks(batch.column(2)):
                 doc, number, start, size = _lines_of(w)
                 if not len(doc):
                     continue
@@ -80,11 +82,12 @@ def line_classes(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int =
                 whole = mix(whole + size.astype(np.uint64))
                 bits = simhash(_pairs(w.hash, start), start)
                 keep = size >= min_words
-                rows = [batch.column(0).take(pa.array(w.lo + doc[keep])), pa.array(number[keep].astype(np.int32)), pa.array(whole.view(np.int64)[keep])]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(bits.view(np.int64)[keep], mask=(size < fuzzy_words)[keep])], names=["doc_id", "line_no", "line_id", "bits"])
+                at = pa.array(w.lo + doc[keep])
+                rows = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number[keep].astype(np.int32)), pa.array(whole.view(np.int64)[keep])]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(bits.view(np.int64)[keep], mask=(size < fuzzy_words)[keep])], names=["doc_id", "_row", "line_no", "line_id", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, line_id long, bits long")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, line_no int, line_id long, bits long")
 
 
 def _words_as_characters(line):
@@ -107,12 +110,12 @@ def _whole(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """doc_id, line_no, line_id, n (words), p0 and p1 (128 parities of words by hash) of every line of at least ``min_words`` words."""
+    """doc_id, _row, line_no, line_id, n (words), p0 and p1 (128 parities of words by hash) of every line of at least ``min_words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokenizer(fold=True)
         for batch in batches:
-            for w in tokens.chunks(batch.column(1)):
+            for w in tokens.chunks(batch.column(2)):
                 doc, number, start, size = _lines_of(w)
                 if not len(doc):
                     continue
@@ -121,10 +124,11 @@ def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
                 keep = size >= min_words
                 numbers = [x.view(np.int64)[keep] for x in (_whole(w, start, size), *parity)]
                 columns = [number[keep].astype(np.int32), numbers[0], size[keep].astype(np.int32), *numbers[1:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + doc[keep])), *[pa.array(c) for c in columns]], names=["doc_id", "line_no", "line_id", "n", "p0", "p1"])
+                at = pa.array(w.lo + doc[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c) for c in columns]], names=["doc_id", "_row", "line_no", "line_id", "n", "p0", "p1"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, line_id long, n int, p0 long, p1 long")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, line_no int, line_id long, n int, p0 long, p1 long")
 
 
 def _runs(w: Words, start: np.ndarray) -> np.ndarray:
@@ -170,15 +174,35 @@ def spoilt(longest: int, similarity: float) -> np.ndarray:
     return out
 
 
-def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
-    """(key, id, common): lines in reach of each other share a key at least. Repeats where a line is repeated.
+def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int) -> DataFrame:
+    """Keys of lines: lines in reach of each other share one at least. Repeats where a line is repeated.
 
-    Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil.
+    Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil. They come in blocks, so that no row is made of each: (part, keys, ids), ``KEY_BYTES`` and eight bytes
+    a key, all keys of one value in the same of ``parts`` parts. Keys that are known as common, of which there is a fixed number at most, are rows (key, id).
     """
     order = run_order(docs)
+    kind = "part int, keys binary, ids binary, key long, id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, most = Tokenizer(fold=True), spoilt(256, similarity)
+        tokens, most, held, waiting = Tokenizer(fold=True), spoilt(256, similarity), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, ids, common = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            rare = np.flatnonzero(~common)
+            part = (key[rare] % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            part, rare = part[by], rare[by]
+            start = np.flatnonzero(np.diff(part, prepend=-1))
+            raw, raw_ids = key[rare].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), ids[rare].astype("<i8").tobytes()
+            ends = np.append(start, len(rare))
+            blocks = [pa.array([data[lo * size : hi * size] for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary()) for data, size in ((raw, KEY_BYTES), (raw_ids, 8))]
+            none = len(start)
+            rows = [pa.array(key[common].view(np.int64)), pa.array(ids[common])]
+            columns = [pa.array(part[start]), *blocks, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())]
+            empty = [pa.nulls(len(rows[0]), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, [*empty, *rows], strict=True)], names=["part", "keys", "ids", "key", "id"])
+
         for batch in batches:
             for w in tokens.chunks(batch.column(0)):
                 _, _, start, size = _lines_of(w)
@@ -192,24 +216,57 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame
                 once &= size >= fuzzy_words
                 line = np.repeat(np.arange(len(start)), size)
                 mine = np.flatnonzero(once[line])
-                line, runs = line[mine], _runs(w, start)[mine]
-                rank = order.rank(runs)
-                by = np.lexsort((rank, line))
-                line, runs, rank = line[by], runs[by], rank[by]
+                line, rank = line[mine], order.rank(_runs(w, start)[mine])
+                few = len(start) < 1 << 20  # so that a line's number and most of the rank go into one number to sort by
+                by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | rank >> np.uint64(20)) if few else np.lexsort((rank, line))
+                line, rank = line[by], rank[by]
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
                 place = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
                 keep = place <= most[size[line]]
-                yield pa.RecordBatch.from_arrays([pa.array(runs[keep].view(np.int64)), pa.array(whole[line[keep]].view(np.int64)), pa.array(rank[keep] >> np.uint64(58) > 0)], names=["key", "id", "common"])
-
-    return docs.select("text").mapInArrow(run, "key long, id long, common boolean")
+                held.append((rank[keep] & np.uint64((1 << 8 * KEY_BYTES) - 1), whole[line[keep]].view(np.int64), rank[keep] >> np.uint64(58) > 0))
+                waiting += len(held[-1][0])
+                if waiting > 2 * KEYS:
+                    yield flush()
+                    waiting = 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, kind)
+
+
+def block_groups(keys: DataFrame) -> DataFrame:
+    """(key, id, first, size) of the keys of several ids, as :func:`~linkloom.llm.components.key_groups` has them, from blocks: a part's blocks meet in one task, about ``KEYS`` keys; common keys are grouped as rows."""
+    kind = "key long, id long, first long, size long"
+
+    def run(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, :KEY_BYTES] = raw
+        key, ids = key.view("<i8").ravel(), np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
+        by = np.argsort(key, kind="stable")
+        new = np.append(True, key[by][1:] != key[by][:-1])
+        several = np.repeat(np.diff(np.flatnonzero(np.append(new, True))) > 1, np.diff(np.flatnonzero(np.append(new, True))))
+        by = by[several]
+        by = by[np.lexsort((ids[by], key[by]))]
+        rows = pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(ids[by]), pa.array(np.zeros(len(by), bool))], names=["key", "id", "common"])
+        out = pa.Table.from_batches(list(figures_of_keys(iter([rows]))), pa.schema([(c, pa.int64() if c != "common" else pa.bool_()) for c in ("key", "id", "common", "first", "size")]))
+        return out.drop_columns(["common"])
+
+    keys = stage(keys)
+    rare = keys.where("part is not null").select("part", "keys", "ids").groupBy("part").applyInArrow(run, kind)
+    common = keys.where("part is null").select((F.col("key") + F.lit(1 << (8 * KEY_BYTES))).alias("key"), "id").distinct()
+    whole = common.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
+    out = stage(rare.unionByName(common.join(F.broadcast(whole), "key").select("key", "id", "first", "size")))
+    discard(keys)
+    return out
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, doc_id_a, line_no_a, doc_id_b, line_no_b) whose lines are near enough: a, b."""
-    needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("line_id"), F.col(f"doc_id_{c}").alias("doc_id"), F.col(f"line_no_{c}").alias("line_no")) for c in "ab"])).alias("x")).select("x.*")
+    """Those of ``pairs`` (a, b, _row_a, line_no_a, _row_b, line_no_b) whose lines are near enough: a, b."""
+    needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("line_id"), F.col(f"_row_{c}").alias("_row"), F.col(f"line_no_{c}").alias("line_no")) for c in "ab"])).alias("x")).select("x.*")
     needed = stage(needed.distinct())
-    said = may_contain(docs.select("doc_id", "text"), needed, "doc_id").select("doc_id", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
-    said = may_contain(said, needed, "doc_id", "line_no").join(needed, ["doc_id", "line_no"])
+    said = may_contain(docs.select("_row", "text"), needed, "_row").select("_row", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
+    said = may_contain(said, needed, "_row", "line_no").join(needed, ["_row", "line_no"])
     said = stage(said.select("line_id", _words_as_characters(F.col("line")).alias("line")).distinct())
     for c in "ab":
         pairs = pairs.join(said.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")), c)
@@ -226,8 +283,9 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
     all that share a key: in a join where a key has few classes, tile by tile where it has many.
     """
     facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), "p0", "p1")
-    places = classes.select(F.col("line_id").alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    groups = key_groups(line_keys(docs, similarity, fuzzy_words))
+    places = classes.select(F.col("line_id").alias("id"), F.col("first._row").alias("_row"), F.col("first.line_no").alias("line_no"))
+    total = classes.agg(F.sum("n_words")).first()[0] or 0
+    groups = block_groups(line_keys(docs, similarity, fuzzy_words, parts=max(1, total // (2 * KEYS))))
     longer = F.greatest("n_a", "n_b")
     edits = F.floor(longer * (1 - similarity) + 1e-9)
     likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr("bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b)") <= 2 * edits)
@@ -256,23 +314,23 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
 
 
 def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
-    """(doc_id, line_no) of the lines that repeat an earlier one, in the sense above; ``bits`` None leaves it to the edit similarity alone."""
+    """(_row, line_no) of the lines that repeat an earlier one, in the sense above, of ``docs`` with _row (see :func:`row_key`); ``bits`` None leaves it to the edit similarity alone."""
     if bits is None:
         if similarity < 0.8:
             raise ValueError("lines share runs for sure only from a similarity of 0.8 on")
         lines = stage(line_shapes(docs, min_words))
-        first = F.min(F.struct("doc_id", "line_no")).alias("first")
+        first = F.min(F.struct("doc_id", "_row", "line_no")).alias("first")
         classes = stage(lines.groupBy("line_id").agg(first, F.count("*").alias("n"), F.first("n").alias("n_words"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
         return _later(lines, classes, near_lines(docs, classes, similarity, max(min_words, fuzzy_words)))
     if bits > 3:
         raise ValueError("three of six blocks agree only up to 3 bits")
     lines = stage(line_classes(docs, min_words, fuzzy_words))
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    first = F.min(F.struct("doc_id", "_row", "line_no")).alias("first")
     classes = stage(lines.groupBy("line_id").agg(first, F.count("*").alias("n"), F.first("bits").alias("bits")))
     block = [f"(shiftrightunsigned(bits, {at}) & {(1 << width) - 1})" for at, width in BLOCKS]
     key = F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.expr(block[i]) for i in three]) for k, three in enumerate(combinations(range(6), 3))]))
     keys = classes.where("bits is not null").select(key.alias("key"), F.col("line_id").alias("id"))
-    facts = classes.select(F.col("line_id").alias("id"), "bits", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    facts = classes.select(F.col("line_id").alias("id"), "bits", F.col("first._row").alias("_row"), F.col("first.line_no").alias("line_no"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"bit_count(bits_a ^ bits_b) <= {bits}")
@@ -292,11 +350,10 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
             found = {}
             for c, at in (("a", left[x]), ("b", right[y])):
                 at = pa.array(at)
-                found |= {c: tile.column("id").take(at)} | {f"{f}_{c}": tile.column(f).take(at) for f in ("bits", "doc_id", "line_no")}
+                found |= {c: tile.column("id").take(at)} | {f"{f}_{c}": tile.column(f).take(at) for f in ("bits", "_row", "line_no")}
             return pa.table(found)
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        sides = ", ".join(f"{c} long, bits_{c} long, doc_id_{c} {kind}, line_no_{c} int" for c in "ab")
+        sides = ", ".join(f"{c} long, bits_{c} long, _row_{c} long, line_no_{c} int" for c in "ab")
         return verify(stage(rows.groupBy("cluster", "i", "j").applyInArrow(near, sides)))
 
     roots = link_components(keys.withColumn("common", F.lit(False)), facts, verify, cross, F.expr(f"bit_count(bits_a ^ bits_b) <= {bits}"), agree=1)
@@ -304,13 +361,29 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
 
 
 def _later(lines: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of all lines but the first of each root."""
+    """(_row, line_no) of all lines but the first of each root."""
     grouped = classes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
     many = grouped.where("n > 1 or root != line_id").select("root").distinct()
     kept = grouped.join(many, "root", "left_semi").groupBy("root").agg(F.min("first").alias("kept"))
     kept = stage(grouped.join(kept, "root").select("line_id", "kept"))
-    again = lines.join(kept, "line_id").where("not (doc_id <=> kept.doc_id and line_no = kept.line_no)")
-    return again.select("doc_id", "line_no")
+    again = lines.join(kept, "line_id").where("not (doc_id <=> kept.doc_id and _row = kept._row and line_no = kept.line_no)")
+    return again.select("_row", "line_no")
+
+
+def row_key():
+    """What a row is known by: doc_id and text. Rows that share both are told apart only when all else is done, see :func:`dedup_lines`."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _one_of_equal_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with _kept, in two: rows whose _row no other row has (surely), and the others, written once, of which one of each doc_id and text is kept."""
+    again = docs.groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select("_row")
+    maybe, single = split_by(docs, again, "_row")
+    numbered = stage(maybe.withColumn("_place", F.monotonically_increasing_id()))
+    first = numbered.groupBy(F.col("_row").alias("_key"), F.col("doc_id").alias("_id")).agg(F.min("_place").alias("_first"))
+    same = F.expr("_row = _key and doc_id <=> _id")
+    told = numbered.join(first, same).select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_place") == F.col("_first")).alias("_kept"))
+    return single.withColumn("_kept", F.lit(True)), told
 
 
 def dedup_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3, min_words: int = MIN_WORDS, fuzzy_words: int = FUZZY_WORDS) -> DataFrame:
@@ -318,18 +391,22 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None = 3,
 
     Lines are split at ``\\n``; lines of fewer than ``min_words`` words stay always, lines of fewer than ``fuzzy_words`` go only for an equal one.
     emptied is true where lines were removed and no word is left. Null and empty texts stay as they are (n_lines 0 and 1). Lines repeated
-    within a document count too. Rows of one doc_id lose the same line numbers, except that of equal rows one is as good as the other and the
-    first line's row can't be told: rows of equal doc_id keep a line together. Other columns pass through; those named like the new ones are replaced.
+    within a document count too. A row is known by doc_id and text, so that rows that share a doc_id, or have none, lose their own lines only; of rows that share both, one keeps what it has first and
+    the others lose every line of at least ``min_words`` words. Null doc_id come first. Other columns pass through; those named like the new ones are replaced.
     """
     added = ["n_lines", "n_removed", "emptied"]
     names = [c for c in docs.columns if c not in added]
     other = [c for c in names if c not in ("doc_id", "text")]
-    docs = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in other]).alias("rest")] if other else []))
+    docs = docs.select("doc_id", "text", row_key().alias("_row"), *([F.struct(*[F.col(f"`{c}`") for c in other]).alias("rest")] if other else []))
     gone = stage(repeated_lines(docs, similarity, bits, min_words, fuzzy_words).distinct())
-    maybe, whole = split_by(docs, gone.select("doc_id"), "doc_id")
-    gone = gone.groupBy("doc_id").agg(F.collect_list("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    touched = maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["_id"]), "left").drop("_id")
+    single, equal = _one_of_equal_rows(docs)
+    docs = single.unionByName(equal)
+    maybe, whole = split_by(docs, gone.select("_row"), "_row")
+    gone = gone.groupBy("_row").agg(F.collect_list("line_no").alias("_gone"))
+    touched = maybe.join(gone, "_row", "left")
     out = touched.unionByName(whole.withColumn("_gone", F.lit(None).cast("array<int>"))).withColumn("_lines", F.split("text", "\n"))
+    every = F.filter(F.transform("_lines", lambda x, i: F.when(count_words(x) >= min_words, i)), lambda i: i.isNotNull())
+    out = out.withColumn("_gone", F.when(F.col("_kept"), F.col("_gone")).otherwise(F.when(F.size(every) > 0, every)))
     left = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     out = out.withColumn("text", F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
     removed = F.greatest(F.lit(0), F.coalesce(F.size("_gone"), F.lit(0))).cast("long")
