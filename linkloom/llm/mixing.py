@@ -5,8 +5,8 @@ size. The whole part of that is given to every document; the rest is an inclusio
 into 0 or 1 while it keeps, in every source, the number of documents and the number of words where they were: flight steps move
 the probabilities of three documents along the null space of the two constraints until one of them is 0 or 1. Documents are dealt
 into blocks, each block flies alone and leaves two undecided documents at most, blocks of those fly again, and so on until one
-block a source is left, which with some documents kept back for it makes the landing problem. Blocks and draws depend on doc_id
-and size alone, so that reruns agree.
+block a source is left, which with some documents kept back for it makes the landing problem. Blocks and draws depend on the row
+and, for equal rows, their number alone, so that reruns agree and no id, text or repeated row makes a block of its own.
 """
 
 from __future__ import annotations
@@ -35,15 +35,17 @@ def target_shares(totals: DataFrame, weights: tuple[float, ...] = (1, 2, 3), sha
     t = totals.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     # The level where min(cap * size, level * weight) sums to the whole: sources fill up in the order of cap * size / weight.
     t = t.withColumn("_fills", F.lit(cap) * F.col("source_size") / F.col("_w"))
-    fill = Window.orderBy("_fills", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filling = Window.orderBy("_fills", F.col("source").asc_nulls_last())
+    fill = filling.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = (
-        t.withColumn("_all", F.sum("source_size").over(everything) * F.lit(float(share)))
+        t.withColumn("_rank", F.row_number().over(filling))
+        .withColumn("_all", F.sum("source_size").over(everything) * F.lit(float(share)))
         .withColumn("_full", F.lit(cap) * F.sum("source_size").over(fill))
         .withColumn("_left", F.sum("_w").over(everything) - F.sum("_w").over(fill) + F.col("_w"))
         .withColumn("_level", (F.col("_all") - F.col("_full") + F.lit(cap) * F.col("source_size")) / F.col("_left"))
     )
     # At the first source (in filling order) that the level does not fill, the level is final.
-    t = t.withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_fills"), F.struct("_fills", "_level"))).over(everything)["_level"])
+    t = t.withColumn("_final", F.min(F.when(F.col("_level") <= F.col("_fills"), F.struct("_rank", "_level"))).over(everything)["_level"])
     target = F.when(F.col("_final").isNull() | (F.col("_final") * F.col("_w") >= F.lit(cap) * F.col("source_size")), F.lit(cap) * F.col("source_size")).otherwise(F.col("_final") * F.col("_w"))
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -161,18 +163,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
 
     size is the number of words (null or empty text: 0, such a row is kept with taken 0); rows with equal doc_id are drawn one by
     one; sources without any word get target 0 and copies 0. Only doc_id, source and text are read, other columns may have any name.
-    Two scans of the text count words; everything after moves rows of a few numbers. No task holds more than a block of rows.
+    Two scans of the text count words; everything after moves rows of a few numbers. No task holds more than about a block of rows, whatever ids are null or repeated.
     """
-    sized = docs.select("doc_id", "source", count_words(text_or_empty()).alias("size"))
+    sized = docs.select("doc_id", "source", count_words(text_or_empty()).alias("size"), F.xxhash64(text_or_empty()).alias("_text"))
     totals = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")))
     targets = target_shares(totals.select("source", "source_size"), weights, share, cap).withColumnRenamed("source", "_source")
     targets = stage(targets.join(totals.withColumnRenamed("source", "_source").select(F.col("_source").alias("_s"), "_docs"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + EPS)
-    unit = F.pmod(F.xxhash64(F.lit(78), "doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    equal = sized.groupBy("doc_id", "source", "size", "_text").agg(F.count("*").alias("_n"))
+    placed = equal.withColumn("_place", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))  # equal rows are counted first, then numbered
+    known = ("doc_id", "source", "size", "_text", "_place")
+    unit = F.pmod(F.xxhash64(F.lit(78), *known), F.lit(1 << 30)) / F.lit(1 << 30)
     rows = (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("_h", F.xxhash64(F.lit(77), "doc_id"))
+        placed.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+        .withColumn("_h", F.xxhash64(F.lit(77), *known))
         .withColumn("_whole", whole)
         .withColumn("_p", F.greatest(rate - whole, F.lit(0.0)))
         .withColumn("_blocks", F.when(unit * F.col("_docs") < block / 2, F.lit(0)).otherwise(F.ceil(F.col("_docs") / block)).cast("long"))
