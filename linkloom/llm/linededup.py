@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_words, discard, may_contain, split_by, stage, text_or_empty
+from .common import count_words, may_contain, split_by, stage, text_or_empty
 from .components import best_pairs, connected_components, crowded_rows, figures_of_keys, link_components, small_pairs, tile_pairs, with_facts
 from .ordering import RareFirst, rare_first
 from .textvec import Tokenizer, Words, mix
@@ -178,10 +178,9 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int)
     """Keys of lines: lines in reach of each other share one at least. Repeats where a line is repeated.
 
     Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil. They come in blocks, so that no row is made of each: (part, keys, ids), ``KEY_BYTES`` and eight bytes
-    a key, all keys of one value in the same of ``parts`` parts. Keys that are known as common, of which there is a fixed number at most, are rows (key, id).
+    a key, all keys of one value in the same of ``parts`` parts. Keys that are known as common are dealt out by their ids too, into as many parts more.
     """
     order = run_order(docs)
-    kind = "part int, keys binary, ids binary, key long, id long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, most, held, waiting = Tokenizer(fold=True), spoilt(256, similarity), [], 0
@@ -189,19 +188,13 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int)
         def flush() -> pa.RecordBatch:
             key, ids, common = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            rare = np.flatnonzero(~common)
-            part = (key[rare] % np.uint64(parts)).astype(np.int32)
+            part = np.where(common, parts + (mix(key + ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64), (key % np.uint64(parts)).astype(np.int64)).astype(np.int32)
             by = np.argsort(part, kind="stable")
-            part, rare = part[by], rare[by]
-            start = np.flatnonzero(np.diff(part, prepend=-1))
-            raw, raw_ids = key[rare].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), ids[rare].astype("<i8").tobytes()
-            ends = np.append(start, len(rare))
+            part = part[by]
+            ends = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            raw, raw_ids = key[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), ids[by].astype("<i8").tobytes()
             blocks = [pa.array([data[lo * size : hi * size] for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary()) for data, size in ((raw, KEY_BYTES), (raw_ids, 8))]
-            none = len(start)
-            rows = [pa.array(key[common].view(np.int64)), pa.array(ids[common])]
-            columns = [pa.array(part[start]), *blocks, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())]
-            empty = [pa.nulls(len(rows[0]), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, [*empty, *rows], strict=True)], names=["part", "keys", "ids", "key", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(part[ends[:-1]]), *blocks], names=["part", "keys", "ids"])
 
         for batch in batches:
             for w in tokens.chunks(batch.column(0)):
@@ -231,34 +224,32 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int)
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, kind)
+    return docs.select("text").mapInArrow(run, "part int, keys binary, ids binary")
 
 
-def block_groups(keys: DataFrame) -> DataFrame:
-    """(key, id, first, size) of the keys of several ids, as :func:`~linkloom.llm.components.key_groups` has them, from blocks: a part's blocks meet in one task, about ``KEYS`` keys; common keys are grouped as rows."""
-    kind = "key long, id long, first long, size long"
+def block_groups(keys: DataFrame, parts: int) -> DataFrame:
+    """(key, id, first, size) of the keys of several ids, as :func:`~linkloom.llm.components.key_groups` has them, from blocks in one shuffle: a part's blocks meet in one task, about ``KEYS`` keys. Of common keys a part has distinct ids;
+    their figures come from a grouping that combines in the map tasks."""
 
     def run(table: pa.Table) -> pa.Table:
+        common = table.column("part")[0].as_py() >= parts
         raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :KEY_BYTES] = raw
         key, ids = key.view("<i8").ravel(), np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
         by = np.argsort(key, kind="stable")
-        new = np.append(True, key[by][1:] != key[by][:-1])
-        several = np.repeat(np.diff(np.flatnonzero(np.append(new, True))) > 1, np.diff(np.flatnonzero(np.append(new, True))))
-        by = by[several]
+        if not common:
+            start = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+            size = np.diff(np.append(start, len(by)))
+            by = by[np.repeat(size > 1, size)]
         by = by[np.lexsort((ids[by], key[by]))]
-        rows = pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(ids[by]), pa.array(np.zeros(len(by), bool))], names=["key", "id", "common"])
-        out = pa.Table.from_batches(list(figures_of_keys(iter([rows]))), pa.schema([(c, pa.int64() if c != "common" else pa.bool_()) for c in ("key", "id", "common", "first", "size")]))
-        return out.drop_columns(["common"])
+        rows = pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(ids[by]), pa.array(np.full(len(by), common))], names=["key", "id", "common"])
+        return pa.Table.from_batches(list(figures_of_keys(iter([rows]))), pa.schema([(c, pa.int64() if c != "common" else pa.bool_()) for c in ("key", "id", "common", "first", "size")]))
 
-    keys = stage(keys)
-    rare = keys.where("part is not null").select("part", "keys", "ids").groupBy("part").applyInArrow(run, kind)
-    common = keys.where("part is null").select((F.col("key") + F.lit(1 << (8 * KEY_BYTES))).alias("key"), "id").distinct()
+    rows = stage(keys.groupBy("part").applyInArrow(run, "key long, id long, common boolean, first long, size long"))
+    common = rows.where("common").select("key", "id")
     whole = common.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    out = stage(rare.unionByName(common.join(F.broadcast(whole), "key").select("key", "id", "first", "size")))
-    discard(keys)
-    return out
+    return rows.where("not common").select("key", "id", "first", "size").unionByName(common.join(F.broadcast(whole), "key").select("key", "id", "first", "size"))
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -285,7 +276,8 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
     facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), "p0", "p1")
     places = classes.select(F.col("line_id").alias("id"), F.col("first._row").alias("_row"), F.col("first.line_no").alias("line_no"))
     total = classes.agg(F.sum("n_words")).first()[0] or 0
-    groups = block_groups(line_keys(docs, similarity, fuzzy_words, parts=max(1, total // (2 * KEYS))))
+    parts = max(1, total // (2 * KEYS))
+    groups = block_groups(line_keys(docs, similarity, fuzzy_words, parts), parts)
     longer = F.greatest("n_a", "n_b")
     edits = F.floor(longer * (1 - similarity) + 1e-9)
     likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr("bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b)") <= 2 * edits)
@@ -309,7 +301,6 @@ def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_wor
 
     pairs = pairs.unionByName(tile_pairs(stage(many)).groupBy("cluster", "i", "j").applyInArrow(near, "a long, b long"))
     more = stage(_verify(docs, stage(with_facts(stage(pairs.distinct()), places)), similarity))
-    discard(groups)
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
