@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import calendar
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,23 +134,39 @@ def is_cron(text: str | None) -> bool:
     return True
 
 
+def cron_days(expressions: DataFrame, column: str, start: datetime, end: datetime) -> DataFrame:
+    """(cron, days, hours, minutes, seconds, error) of each distinct expression: the days of the span on which it fires, counted from ``start``, and its fields; error where it can't be read.
+
+    Expressions are read in the tasks, each once."""
+    distinct = expressions.select(F.col(column).alias("cron")).where(F.col(column).isNotNull()).distinct()
+    span, first = (end.date() - start.date()).days + 1, start.toordinal()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text in pdf["cron"]:
+                try:
+                    cron = parse_cron(text)
+                    days = [d for d in range(span) if cron.on(*datetime.fromordinal(first + d).timetuple()[:3])]
+                    rows.append((text, days, cron.hours, cron.minutes, cron.seconds, None))
+                except CronError as error:
+                    rows.append((text, None, None, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=["cron", "days", "hours", "minutes", "seconds", "error"])
+
+    return distinct.mapInPandas(run, "cron string, days array<int>, hours array<int>, minutes array<int>, seconds array<int>, error string")
+
+
+def cron_rejects(expressions: DataFrame, column: str) -> DataFrame:
+    """(cron, error) of the distinct expressions that can't be read."""
+    day = datetime(2000, 1, 1)
+    return cron_days(expressions, column, day, day).where("error is not null").select("cron", "error")
+
+
 def firings(expressions: DataFrame, column: str, start: datetime, end: datetime) -> DataFrame:
-    """(cron, fires_at) for each distinct expression in ``column``: all its times in [start, end). Expressions that can't be read give none.
-
-    The distinct expressions are read on the driver; their times are made by Spark, from the days of the span and the fields.
-    """
-    spark = expressions.sparkSession
-    distinct = [r[0] for r in expressions.select(column).where(F.col(column).isNotNull()).distinct().collect()]
-    rows = []
-    for text in distinct:
-        if not is_cron(text):
-            continue
-        cron = parse_cron(text)
-        days = [d for d in range((end.date() - start.date()).days + 1) if cron.on(*(datetime.fromordinal(start.toordinal() + d).timetuple()[:3]))]
-        rows.append((text, days, cron.hours, cron.minutes, cron.seconds))
-    made = spark.createDataFrame(rows, "cron string, days array<int>, hours array<int>, minutes array<int>, seconds array<int>")
-    midnight = F.lit(datetime(start.year, start.month, start.day))
+    """(cron, fires_at) for each distinct expression in ``column``: all its times in [start, end). Expressions that can't be read give none, see :func:`cron_rejects`."""
+    made = cron_days(expressions, column, start, end).where("error is null")
     for part in ("days", "hours", "minutes", "seconds"):
         made = made.withColumn(part, F.explode(part))
+    midnight = F.lit(datetime(start.year, start.month, start.day))
     at = midnight + F.make_dt_interval(F.col("days"), F.col("hours"), F.col("minutes"), F.col("seconds").cast("decimal(18,6)"))
     return made.select("cron", at.alias("fires_at")).where((F.col("fires_at") >= F.lit(start)) & (F.col("fires_at") < F.lit(end)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host, is_absolute
 from ..schemas import URI_TYPES
+from ..sources.staged import staged
 from .config import create_requests, is_collectable, request_projection, resolve_config, should_skip, skip_rule
 
 FOUND, ONETIME, PERIODIC, COLLECTOR = (URI_TYPES[t] for t in ("Found", "Onetime", "Periodic", "Collector"))
@@ -181,37 +182,38 @@ def route_key(uri: Column, is_adhoc: Column) -> Column:
 
 #: Seconds between requests to one host, from and up to; the hosts with limits of their own are configuration.
 DEFAULT_LIMITS = (5, 15)
-BUCKETS = 64
+#: Parts of the queue for each shuffle partition.
+PARTS = 16
 
 
 def plan_fetch_times(requests: DataFrame, limits: DataFrame, last_request: DataFrame, now: datetime, seed: int = 0, default: tuple[int, int] = DEFAULT_LIMITS) -> DataFrame:
     """``requests`` (id, uri, enqueued_at) with host, delay and fetch_at: each waits its host's delay after the one before it.
 
     A delay is drawn from [min, max) seconds by a hash of seed and id (max <= min: min). The first request of a host waits from its last one
-    (``last_request``: host, at), never before ``now``. The running sum of a host is made in two steps, within parts of its queue by time and over the parts, so that
-    a hot host's queue is many keys.
+    (``last_request``: host, at), never before ``now``.
+
+    Queues are cut by rank, whatever their times: all requests are dealt out in the order of host, time and id into ``PARTS`` parts for each shuffle partition and written once. A running sum is made within the
+    parts, then over the parts of a host, and what is known of a host (limits, last request) comes by host and part, so that a hot host, or a burst at one instant, is many keys in every step.
     """
-    hosts = requests.withColumn("host", host("uri"))
-    lim = limits.select("host", F.col("min_s").alias("_min"), F.col("max_s").alias("_max"))
-    rows = hosts.join(lim, "host", "left").withColumn("_min", F.coalesce("_min", F.lit(default[0]))).withColumn("_max", F.coalesce("_max", F.lit(default[1])))
+    spark = requests.sparkSession
+    dealt = requests.withColumn("host", host("uri")).repartitionByRange(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), "host", "enqueued_at", "id")
+    rows = staged(dealt.withColumn("_part", F.spark_partition_id()))
+    known = rows.select("host", "_part").distinct()
+    known = known.join(limits.groupBy("host").agg(F.first("min_s").alias("_min"), F.first("max_s").alias("_max")), "host", "left").join(last_request.groupBy("host").agg(F.max("at").alias("_last")), "host", "left")
+    known = known.withColumns({"_min": F.coalesce("_min", F.lit(default[0])), "_max": F.coalesce("_max", F.lit(default[1]))})
     width = F.greatest(F.col("_max") - F.col("_min"), F.lit(1))
-    rows = rows.withColumn("delay", F.col("_min") + F.pmod(F.xxhash64(F.lit(seed), "id"), width.cast("long")).cast("int")).drop("_min", "_max")
-    span = rows.groupBy("host").agg(F.min("enqueued_at").alias("_lo"), F.max("enqueued_at").alias("_hi"))
-    rows = rows.join(span, "host")
-    unit = (F.col("enqueued_at").cast("double") - F.col("_lo").cast("double")) / F.greatest(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.lit(1e-6))
-    rows = rows.withColumn("_part", F.least(F.floor(F.coalesce(unit, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))).drop("_lo", "_hi")
-    sums = rows.groupBy("host", "_part").agg(F.sum("delay").alias("_sum"))
-    before = Window.partitionBy("host").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy("host", "_part").orderBy("enqueued_at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(sums, ["host", "_part"]).withColumn("_wait", F.col("_before") + F.sum("delay").over(inside))
-    last = last_request.groupBy("host").agg(F.max("at").alias("_last"))
-    first = Window.partitionBy("host", "_part").orderBy("enqueued_at", "id")
-    rows = rows.join(last, "host", "left").withColumn("_k", F.row_number().over(first))
-    head = rows.where("_k = 1 and _before = 0").select("host", F.greatest(F.lit(0), F.least(F.col("delay"), F.when(F.col("_last").isNull(), F.col("delay")).otherwise((F.lit(now).cast("timestamp").cast("double") - F.col("_last").cast("double")).cast("int")))).alias("_spent"))
-    rows = rows.join(head, "host").withColumn("_wait", F.col("_wait") - F.col("_spent"))
+    timed = rows.join(known, ["host", "_part"]).withColumn("delay", F.col("_min") + F.pmod(F.xxhash64(F.lit(seed), "id"), width.cast("long")).cast("int"))
+    inside = Window.partitionBy("host", "_part").orderBy("enqueued_at", "id")
+    timed = timed.withColumn("_inner", F.sum("delay").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_k", F.row_number().over(inside))
+    sums = timed.groupBy("host", "_part").agg(F.sum("delay").alias("_sum"), F.min_by("delay", "_k").alias("_first"), F.first("_last").alias("_last"))
+    over_parts = Window.partitionBy("host").orderBy("_part")
+    ago = (F.lit(now).cast("timestamp").cast("double") - F.col("_last").cast("double")).cast("int")
+    head = F.first("_first").over(over_parts.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(over_parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_head": head})
+    offsets = offsets.select("host", "_part", (F.col("_before") - F.greatest(F.lit(0), F.least("_head", F.coalesce(ago, F.col("_head"))))).alias("_offset"))
+    planned = timed.join(offsets, ["host", "_part"]).withColumn("_wait", F.col("_inner") + F.col("_offset"))
     at = F.lit(now).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_wait").cast("decimal(18,6)"))
-    return rows.select(*requests.columns, "host", "delay", at.alias("fetch_at"))
+    return planned.select(*requests.columns, "host", "delay", at.alias("fetch_at"))
 
 
 def last_requests(events: DataFrame, as_of: datetime, ttl_seconds: int = 15) -> DataFrame:

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cron import firings
+from ..functions.cron import cron_rejects, firings
 from ..functions.filters import compile_filters
 from ..functions.text import brief_summary
 from ..functions.urls import file_name, host
@@ -627,3 +627,27 @@ def decode_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {URIS} SELECT DISTINCT cron, strftime(TIMESTAMP '2024-01-15 06:30:00' + INTERVAL (s * 15) SECOND, '%Y-%m-%d %H:%M:%S') AS fires_at FROM uris, range(4) x(s) WHERE cron IS NOT NULL")
 def cron_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firings(page_uris(spark, sf_dir), "cron", datetime(2024, 1, 15), datetime(2024, 1, 16)).select("cron", stamp("fires_at").alias("fires_at"))
+
+
+def _crons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    kinds = ["L * ?", "LW * ?", "? * 6L", "15W * ?", "? * MON-WED", "1/10 2-3 ? 2024", "40 * ?", "? JAN X"]
+    day = F.element_at(F.array(*map(F.lit, kinds)), (n % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.concat_ws(" ", F.lit("0"), (n % 60).cast("string"), (F.col("user_id") % 24).cast("string"), day).alias("cron"))
+
+
+CRONS = """crons AS (SELECT DISTINCT event_id % 60 AS mi, user_id % 24 AS ho, event_id % 8 AS kind, '0 ' || event_id % 60 || ' ' || user_id % 24 || ' ' || ['L * ?', 'LW * ?', '? * 6L', '15W * ?', '? * MON-WED', '1/10 2-3 ? 2024', '40 * ?', '? JAN X'][event_id % 8 + 1] AS cron FROM events)"""
+
+
+@query(f"""WITH {CRONS}, days AS (SELECT d, last_day(d) AS last, isodow(d) AS dow FROM (SELECT CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS d FROM range(91) r(i)) x),
+fit AS (SELECT d, k FROM days, range(6) r(k) WHERE (k = 0 AND d = last) OR (k = 1 AND d = last - CASE isodow(last) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END) OR (k = 2 AND dow = 5 AND month(d + 7) <> month(d))
+  OR (k = 3 AND day(d) = 15 + CASE isodow(date_trunc('month', d) + INTERVAL 14 DAY) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END) OR (k = 4 AND dow BETWEEN 1 AND 3) OR (k = 5 AND month(d) IN (2, 3) AND day(d) % 10 = 1))
+SELECT cron, strftime(CAST(d AS TIMESTAMP) + to_hours(ho) + to_minutes(mi), '%Y-%m-%d %H:%M:%S') AS fires_at FROM crons JOIN fit ON k = kind""")
+def cron_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very many expressions, with last days, nearest weekdays, last Fridays, spans and a year, over a quarter."""
+    return firings(_crons(spark, sf_dir), "cron", datetime(2024, 1, 1), datetime(2024, 4, 1)).select("cron", stamp("fires_at").alias("fires_at"))
+
+
+@query(f"WITH {CRONS} SELECT cron, CASE kind WHEN 6 THEN '40 isn''t in 1..31' ELSE 'not a number: ' || chr(39) || 'X' || chr(39) END AS error FROM crons WHERE kind >= 6")
+def cron_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cron_rejects(_crons(spark, sf_dir), "cron")
