@@ -19,7 +19,11 @@ from ..operators import frontier as fr
 from ..operators import links as lk
 from ..operators import metrics, parts, responses, schedule
 from ..operators.html import shred_html
-from ..sources.staged import clustered
+from ..sources.batches import BatchTable, StateTable
+from ..sources.csvmaps import read_csv_maps, write_csv_maps
+from ..sources.files import publish_batch
+from ..sources.snapshots import BucketedTable
+from ..sources.staged import clustered, scratch
 from ..operators.selectors import Selector
 from ..sources import documents as dt
 from .derived import BUILT, CONFIG, EVENTS, HOST, MESSAGES, SKIP, URIS, built_pages, crawl_events, messages, page_uris, site_config, table
@@ -584,6 +588,19 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.upsert(*_versions(spark, sf_dir), AS_OF).select("id", "lang", stamp("created").alias("created"), stamp("updated").alias("updated"))
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'third' WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS lang, CASE WHEN doc_id % 3 <> 0 THEN '2023-01-01 00:00:00' WHEN doc_id % 2 = 0 THEN '2024-01-15 12:00:00' ELSE '2024-02-01 00:00:00' END AS created,
+CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 3 <> 0 OR doc_id % 2 = 0 THEN '2024-02-01 00:00:00' END WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN '2024-01-15 12:00:00' END AS updated FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 OR doc_id % 7 = 0""")
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table made of documents, then updated twice, each time in the buckets that the updates touch."""
+    d = table(spark, sf_dir, "documents")
+    stored = BucketedTable(scratch(spark), "id long, lang string", buckets=64)
+    row = lambda where, lang: d.where(where).select(F.col("doc_id").alias("id"), lang.alias("lang"))
+    stored.upsert(row("doc_id % 3 != 0", F.col("lang")), datetime(2023, 1, 1))
+    stored.upsert(row("doc_id % 2 = 0", F.upper("lang")), AS_OF)
+    stored.upsert(row("doc_id % 7 = 0", F.lit("third")), datetime(2024, 2, 1))
+    return stored.read(spark).select("id", "lang", stamp("created").alias("created"), stamp("updated").alias("updated"))
+
+
 @query("SELECT doc_id FROM documents WHERE NOT (doc_id % 5 = 0) AND NOT coalesce(lang = 'fr', false)")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -651,3 +668,46 @@ def cron_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CRONS} SELECT cron, CASE kind WHEN 6 THEN '40 isn''t in 1..31' ELSE 'not a number: ' || chr(39) || 'X' || chr(39) END AS error FROM crons WHERE kind >= 6")
 def cron_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cron_rejects(_crons(spark, sf_dir), "cron")
+
+
+@query("SELECT 'good' AS row, CAST(c_custkey AS BIGINT) AS custkey, c_name AS name FROM customer")
+def csv_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as CSV in the shared folder, read back as maps; no line is bad."""
+    folder = scratch(spark)
+    write_csv_maps(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), folder)
+    good, bad = read_csv_maps(spark, folder)
+    rows = good.select(F.lit("good").alias("row"), F.col("data")["c_custkey"].cast("long").alias("custkey"), F.col("data")["c_name"].alias("name"))
+    return rows.unionByName(bad.select(F.lit("bad").alias("row"), F.lit(None).cast("long").alias("custkey"), F.col("line").alias("name")))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a stream in several batches into a batch table, each batch written twice as if it had come back."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    folder = scratch(spark)
+    e.repartition(3).write.parquet(f"{folder}/in")
+    out = BatchTable(f"{folder}/out", "event_id long, event_type string, user_id long")
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        for _ in range(2):
+            out.put(df.select("event_id", "event_type", F.col("user_id").cast("long").alias("user_id")), batch_id)
+
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return out.read(spark).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MESSAGES} SELECT id, payload, 'p' AS target FROM msg WHERE payload_type = 'T.view' AND NOT starts_with(payload, '[') UNION ALL SELECT id, payload, 'q' FROM msg WHERE payload_type = 'T.view' AND NOT starts_with(payload, '[')")
+def stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages through the exchange as a stream, with state, into folders by batch."""
+    from ..streaming import jobs
+
+    kind = "id string, payload_type string, payload string, routing_key string, correlation_id string, properties map<string,string>"
+    folder = scratch(spark)
+    ex.envelope(messages(spark, sf_dir).drop("ts")).where("payload_type = 'T.view' and not startswith(payload, '[')").repartition(2).write.parquet(f"{folder}/in")
+    write = lambda name: lambda df, batch_id: publish_batch(df, f"{folder}/{name}", batch_id)
+    exchange = ex.Exchange("s", [], [ex.Publisher(n, write(n), by_batch=True) for n in ("p", "q")])
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_exchange(stream, exchange, lambda df, batch_id: None, f"{folder}/checkpoint", state=StateTable(f"{folder}/state", kind), by_batch=True).awaitTermination()
+    read = lambda n: spark.read.schema(kind).parquet(f"{folder}/{n}").select("id", "payload", F.lit(n).alias("target"))
+    return read("p").unionByName(read("q"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _place(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -21,7 +22,7 @@ def _place(spark: SparkSession) -> str:
 def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` from a new folder under ``spark.checkpoint.dir``: it is worked out once, and a lost executor costs nothing. The folder goes with the
     application's other checkpoints. With ``by`` every value of that column has a folder, so that a reader of one value reads that one. Only a local master without that setting takes a temporary folder."""
-    spark, path = df.sparkSession, _place(df.sparkSession)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
@@ -32,7 +33,7 @@ def clustered(df: DataFrame, key: str, *order: str, parts: int | None = None) ->
 
     What is read back is known to be partitioned by ``key``: windows, groupings and joins by it, or by it and more columns, need no further exchange. The catalogue holds the name only while the table is written.
     """
-    spark, path = df.sparkSession, _place(df.sparkSession)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     name, n = f"linkloom_{uuid.uuid4().hex}", parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).format("parquet").option("path", path).saveAsTable(name)
     out = spark.table(name).select(*[F.col(f"`{c}`") for c in df.columns])
