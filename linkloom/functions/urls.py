@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,7 +90,16 @@ def canonical(uri: Column) -> Column:
 def resolve_uri(base: Column | str, target: Column | str) -> Column:
     """``target`` as an absolute, canonical URL: backslashes and double quotes are dropped, an absolute URL is kept, all else (also ``/x``) is taken
     relative to ``base``. Null when either is null or the base has no host."""
-    base, target = _col(base), F.trim(F.translate(_col(target), '\\"', ""))
+    given = F.struct(_col(base).alias("base"), F.trim(F.translate(_col(target), '\\"', "")).alias("target"))
+    return _once(given, lambda g: _resolved(g["base"], g["target"]))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _resolved(base: Column, target: Column) -> Column:
     origin = F.concat(scheme(base), F.lit("://"), authority(base))
     directory = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), r"[^/]*$", "")
     resolved = (
@@ -100,4 +111,4 @@ def resolve_uri(base: Column | str, target: Column | str) -> Column:
         .when(target.startswith("#"), F.concat(origin, path(base), query(base), target))
         .otherwise(F.concat(origin, directory, target))
     )
-    return F.when(target.rlike(HIERARCHICAL) | (is_absolute(base) & target.isNotNull()), canonical(resolved))
+    return F.when(target.rlike(HIERARCHICAL) | (is_absolute(base) & target.isNotNull()), _once(resolved, canonical))

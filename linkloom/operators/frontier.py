@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sieve import may_match
 from ..functions.urls import host, is_absolute
 from ..schemas import URI_TYPES
 from ..sources.staged import staged
@@ -26,11 +27,12 @@ def ingest_uris(events: DataFrame, uri: DataFrame, responses: DataFrame, config:
 
     A response with the very same uri makes it ``response_exists``; else, unless it is Onetime, a frontier row or an earlier stored event with the
     same uri in lower case makes it ``duplicate_uri``; else it is ``new_uri``, or ``skipped`` by its base's skip list (not for Onetime), stored in
-    lower case with the base defaulting to it. event_id is the order of arrival. Outcomes: count them with :func:`ingest_counts`.
+    lower case with the base defaulting to it. event_id is the order of arrival. Of the frontier and the responses,
+    however large, only rows that a bitmap of the events' uris lets pass are shuffled. Outcomes: count them with :func:`ingest_counts`.
     """
     e = events.select("event_id", "base_uri", "uri", "uri_type", F.lower("uri").alias("key"))
-    answered = responses.select("uri").distinct()
-    known = uri.select(F.lower("uri").alias("key")).distinct()
+    answered = may_match(responses.select("uri"), F.col("uri"), e, F.col("uri")).distinct()
+    known = may_match(uri.select(F.lower("uri").alias("key")), F.col("key"), e, F.col("key")).distinct()
     e = e.join(answered.withColumn("_answered", F.lit(True)), "uri", "left").join(known.withColumn("_known", F.lit(True)), "key", "left")
     open_ = F.col("_answered").isNull()
     earlier = Window.partitionBy("key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
