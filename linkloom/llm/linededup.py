@@ -29,7 +29,7 @@ MIN_WORDS = 5
 FUZZY_WORDS = 8
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RUN = 2  # words of a run
-KEYS = 1 << 20  # of a block, about
+KEYS = 1 << 18  # of a block, about
 KEY_BYTES = 6
 END = np.uint64(0x2127599BF4325C37)
 
