@@ -711,3 +711,97 @@ def stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.stream_exchange(stream, exchange, lambda df, batch_id: None, f"{folder}/checkpoint", state=StateTable(f"{folder}/state", kind), by_batch=True).awaitTermination()
     read = lambda n: spark.read.schema(kind).parquet(f"{folder}/{n}").select("id", "payload", F.lit(n).alias("target"))
     return read("p").unionByName(read("q"))
+
+
+@query("SELECT page_id, url AS uri, page_id % 3 <> 0 AS is_indexed FROM pages")
+def response_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("uri"), F.when(F.col("page_id") % 3 != 0, F.lit(True)).alias("should_index"))
+    return responses.response_documents(given)
+
+
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN sha256('{\"event_type\":\"' || event_type || '\",\"n\":' || event_id || '}') ELSE CAST(event_id AS VARCHAR) END AS id, event_type, '2024.01.15' AS index_date, '2024-01-15 12:00:00' AS updated FROM events WHERE event_type = 'error'")
+def daily_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures written under their day, some without id, and read back."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    folder = scratch(spark)
+    dt.write_daily_index(e.select(F.when(F.col("event_id") % 4 != 0, F.col("event_id").cast("string")).alias("id"), "event_type", F.col("event_id").alias("n")), folder, AS_OF)
+    read = spark.read.schema("id string, event_type string, n long, updated timestamp, index_date string").parquet(folder)
+    return read.select("id", "event_type", "index_date", stamp("updated").alias("updated"))
+
+
+@query(f"""WITH {URIS}, {CONFIG} SELECT sha256(u.uri) AS request_id, u.uri, c.id AS config_id, c.document, c.continuation, c.download_content, c.provide_raw, c.should_index FROM uris u LEFT JOIN config c ON c.host = {HOST.format('u.uri')} AND NOT c.is_collector""")
+def request_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = cfg.resolve_config(page_uris(spark, sf_dir).select("uri"), site_config(spark, sf_dir))
+    return cfg.request_projection(resolved)
+
+
+@query(f"""WITH {CONFIG} SELECT id, CASE WHEN length(host) % 3 = 0 THEN 'Table' ELSE document END AS document, CASE WHEN length(host) % 2 = 0 OR length(host) % 3 = 0 THEN CASE WHEN length(host) % 2 = 0 THEN '2023-01-01 00:00:00' ELSE '2024-01-15 12:00:00' END END AS created,
+CASE WHEN length(host) % 2 = 0 AND length(host) % 3 = 0 THEN '2024-01-15 12:00:00' END AS updated FROM config WHERE NOT is_collector AND (length(host) % 2 = 0 OR length(host) % 3 = 0)""")
+def config_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site configurations from a JSON file in the shared folder, into a table that has some of them."""
+    sites = site_config(spark, sf_dir).where("not is_collector").withColumn("_n", F.length("host"))
+    folder, then = scratch(spark), F.lit(None).cast("timestamp")
+    lines = sites.where("_n % 3 = 0").drop("_n").withColumn("document", F.lit("Table"))
+    lines.select(F.to_json(F.struct(*lines.columns)).alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).coalesce(1).write.text(folder)
+    stored = sites.where("_n % 2 = 0").drop("_n").withColumns({"created": F.lit(datetime(2023, 1, 1)).cast("timestamp"), "updated": then})
+    return cfg.store_config(spark, folder, stored, AS_OF).select("id", "document", stamp("created").alias("created"), stamp("updated").alias("updated"))
+
+
+@query(f"WITH {LINKS} SELECT base_uri, uri, 3 AS uri_type FROM found")
+def link_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return lk.crawl_uri_events(parts.page_links(shred_html(pages, tags=["a"]), pages))
+
+
+@query(f"WITH {MESSAGES} SELECT id, event_id % 2 = 1 AS is_new FROM msg WHERE given IS NOT NULL AND (event_id % 2 = 1 OR event_id % 4 <> 0)")
+def outstanding_and_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a start works on: stored messages that aren't done, and new ones that aren't stored."""
+    m = messages(spark, sf_dir).where("id is not null").select("id")
+    n = F.col("id").cast("long")
+    return ex.with_outstanding(m.where(n % 2 == 0), m.where(n % 4 == 0), m).select("id", "is_new")
+
+
+@query(f"WITH {MESSAGES} SELECT id, payload || '!' AS payload, t AS target FROM msg, (VALUES ('p'), ('q')) v(t) WHERE payload_type = 'T.view' AND (t = 'p' OR contains(payload, 'h1.example')) AND NOT starts_with(payload, '[') UNION ALL SELECT id, payload || '!', 'p' FROM msg WHERE payload_type = 'T.view' AND starts_with(payload, '[') AND false")
+def exchange_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exchange from its description: one transformer by type, one publisher for all and one by url."""
+    described = {
+        "Name": "c",
+        "DataIn": [{"Name": "events"}],
+        "Transformers": [{"Name": "mark"}],
+        "DataOut": [{"Name": "p"}, {"Name": "q"}],
+        "Filters": [{"Kind": "type", "Match": "T.view", "Target": "mark"}, {"Kind": "all", "Target": "p"}, {"Kind": "url", "Match": "H1.example", "Target": "q"}],
+        "MaxHops": 1,
+    }
+    mark = lambda m: m.withColumn("payload", F.concat("payload", F.lit("!")))
+    exchange = ex.exchange_from_config(spark, described, {"mark": mark}, {"p": lambda df: None, "q": lambda df: None})
+    m = messages(spark, sf_dir).where("not startswith(payload, '[')").drop("ts")
+    return exchange.run(m).published.select("id", "payload", "target")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT lower(uri) AS uri FROM ev")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl events through the ingest stream, several batches: every uri is stored, whatever batch brings it."""
+    from ..streaming import jobs
+
+    folder = scratch(spark)
+    events = crawl_events(spark, sf_dir)
+    events.repartition(2).write.parquet(f"{folder}/in")
+    frontier = BatchTable(f"{folder}/frontier", "id string, event_id long, uri string, base_uri string, uri_type int")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    none = spark.createDataFrame([], "uri string")
+    jobs.ingest_into(stream, frontier, lambda: none, site_config(spark, sf_dir).limit(0), f"{folder}/checkpoint").awaitTermination()
+    return frontier.read(spark).select("uri").distinct()
+
+
+@query("SELECT 'h' || (user_id % 20) || '.example.com' AS host, count(*) AS n FROM events GROUP BY 1")
+def stream_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts seen by a stream that keeps their state, in one batch."""
+    from ..streaming import jobs
+
+    folder = scratch(spark)
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("https://h"), (F.col("user_id") % 20).cast("string"), F.lit(".example.com/x")).alias("uri"), F.col("ts").cast("timestamp").alias("at"))
+    e.coalesce(1).write.parquet(f"{folder}/in")
+    seen = BatchTable(f"{folder}/seen", "host string, n long, state string")
+    rows = jobs.active_hosts(spark.readStream.schema(e.schema).parquet(f"{folder}/in"))
+    rows.writeStream.outputMode("append").foreachBatch(lambda df, batch_id: seen.put(df, batch_id)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return seen.read(spark).where("state = 'active'").select("host", "n")
