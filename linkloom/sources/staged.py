@@ -34,7 +34,7 @@ def clustered(df: DataFrame, key: str, *order: str, parts: int | None = None) ->
     What is read back is known to be partitioned by ``key``: windows, groupings and joins by it, or by it and more columns, need no further exchange. The catalogue holds the name only while the table is written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
-    name, n = f"linkloom_{uuid.uuid4().hex}", parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, n = f"linkloom_{uuid.uuid4().hex}", min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).format("parquet").option("path", path).saveAsTable(name)
     out = spark.table(name).select(*[F.col(f"`{c}`") for c in df.columns])
     spark.sql(f"DROP TABLE {name}")  # the files stay
