@@ -137,5 +137,21 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lines AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+grams AS (SELECT lang, size, array_to_string(ws[i + 1:i + size], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(len(ws) - size + 1)) AS i FROM lines, (VALUES (1), (2), (3)) s(size) WHERE len(ws) >= size) x),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+cand AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE size > 1 AND n >= 10),
+cuts AS (SELECT c.lang, c.size, c.phrase, c.ws, c.a, k, l.n AS l, r.n AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.n AS HUGEINT) * r.n) AS score FROM cand c JOIN (VALUES (1), (2)) t(k) ON k < c.size
+  JOIN f l ON l.lang = c.lang AND l.size = k AND l.phrase = array_to_string(c.ws[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.size = c.size - k AND r.phrase = array_to_string(c.ws[k + 1:c.size], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase, size ORDER BY score, k) AS place FROM cuts) x WHERE place = 1),
+inside AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS a FROM cand, (VALUES (1), (2)) v(i) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.size = 2 AND i.lang = b.lang AND i.phrase = b.phrase WHERE i.a IS NULL OR 100 * i.a < 50 * b.a),
+totals AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM kept JOIN totals t USING (lang)) x WHERE rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_url_filter, op4_jaccard_join, op5_chat_format, op6_html_extraction, op7_quality_classifier, op8_iblt_fingerprint, op9_line_dedup, op10_packing, op11_whitening, op12_mixture_packing, op13_phrases)}
-ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL}
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_chat_format": OP5_SQL, "op13_phrases": OP13_SQL}
