@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import compile_filters
 from ..functions.text import match_score, matches
-from .staged import staged
+from .staged import buckets, staged
 
 DEFAULT_LIMIT = 100
 
@@ -112,30 +112,32 @@ PART_NAMES = {"1": "Text", "2": "Link", "3": "File", "4": "Table", "5": "Row", "
 def decode_parts(docs: DataFrame, column: str, depth: int | None = None) -> DataFrame:
     """(id, part_id, parent_id, depth, part_type, name, base_uri, text, uri, selector) of nested part definitions in JSON, level by level.
 
-    Every level is written to the shared folder, and the next one is read from it, until no part is nested any deeper; with ``depth``, only so many levels
+    Every level is written to the shared folder, read field by field once, and the next one is read from it, until no part is nested any deeper; with ``depth``, only so many levels
     are decoded. Values may be plain or lists of one; the type is DocPartType or docPartType, a number or a name. part_id is the path of positions.
     """
-    kind = lambda c: F.coalesce(option_value(c, "DocPartType"), option_value(c, "docPartType"))
     names = F.create_map(*[F.lit(x) for pair in PART_NAMES.items() for x in pair])
+    fields = {"DocPartType": "_kind", "docPartType": "_kind2", "Name": "name", "BaseUri": "base_uri", "Text": "text", "Uri": "uri", "Selector": "_selector"}
+
+    def read(parts: DataFrame) -> DataFrame:
+        """id, part_id, parent_id, the fields and subs of parts in ``j``."""
+        told = parts.select("id", "part_id", "parent_id", "j", F.json_tuple("j", *fields, "SubParts").alias(*fields.values(), "subs"))
+        single = [F.when(F.ltrim(a).startswith("["), F.get_json_object("j", f"$.{n}[0]")).otherwise(F.col(a)).alias(a) for n, a in fields.items()]
+        return told.select("id", "part_id", "parent_id", "subs", *single).withColumn("selector", option_value(F.col("_selector"), "Xpath")).drop("_selector")
+
     level = docs.select("id", F.lit("0").alias("part_id"), F.lit(None).cast("string").alias("parent_id"), F.col(column).alias("j")).where("j is not null")
-    out, d, j = None, 0, F.col("j")
+    many = buckets(docs.sparkSession)
+    if len(docs.inputFiles() or range(many)) < many:  # small files hold many rows, and reading them takes far longer than moving them
+        level = level.repartition(many)
+    out, d = None, 0
     while depth is None or d < depth:
-        level = staged(level)
+        level = staged(read(level))
         if out is not None and level.isEmpty():
             break
-        selector = option_value(j, "Selector")
-        rows = level.select(
-            "id",
-            "part_id",
-            "parent_id",
-            F.lit(d).alias("depth"),
-            F.coalesce(F.try_element_at(names, kind(j)), kind(j)).alias("part_type"),
-            *[option_value(j, n).alias(a) for n, a in (("Name", "name"), ("BaseUri", "base_uri"), ("Text", "text"), ("Uri", "uri"))],
-            option_value(selector, "Xpath").alias("selector"),
-        )
+        kind = F.coalesce("_kind", "_kind2")
+        rows = level.select("id", "part_id", "parent_id", F.lit(d).alias("depth"), F.coalesce(F.try_element_at(names, kind), kind).alias("part_type"), "name", "base_uri", "text", "uri", "selector")
         out = rows if out is None else out.unionByName(rows)
-        subs = F.coalesce(F.from_json(F.get_json_object(j, "$.SubParts"), "array<string>"), F.array().cast("array<string>"))
+        subs = F.coalesce(F.from_json("subs", "array<string>"), F.array().cast("array<string>"))
         nested = F.transform(subs, lambda s: F.when(F.ltrim(s).startswith("["), F.from_json(s, "array<string>")).otherwise(F.array(s)))
-        level = level.select("id", F.col("part_id").alias("parent_id"), F.posexplode(F.flatten(nested)).alias("_pos", "j")).select("id", F.concat_ws(".", "parent_id", F.col("_pos").cast("string")).alias("part_id"), "parent_id", "j")
+        level = level.where("subs is not null").select("id", F.col("part_id").alias("parent_id"), F.posexplode(F.flatten(nested)).alias("_pos", "j")).select("id", F.concat_ws(".", "parent_id", F.col("_pos").cast("string")).alias("part_id"), "parent_id", "j")
         d += 1
     return out
