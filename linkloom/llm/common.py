@@ -62,7 +62,7 @@ def membership(ids: DataFrame, *key: str) -> DataFrame:
     )
 
 
-def _flagged(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+def flagged(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
     """``df`` with _maybe: whether the bitmap of ``ids`` has the bit of the row's ``key``."""
     bit = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
     probe = df.withColumn("_b", bit).withColumn("_word", F.shiftright("_b", 6))
@@ -76,13 +76,13 @@ def may_contain(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
     The bitmap is broadcast: its size is fixed at 2**17 rows, so it doesn't grow with the data. When the ids are so many that
     most bits are set, nearly all rows pass and the exact join that follows does all the work.
     """
-    return _flagged(df, ids, *key).where("_maybe").drop("_maybe")
+    return flagged(df, ids, *key).where("_maybe").drop("_maybe")
 
 
 def split_by(df: DataFrame, ids: DataFrame, *key: str) -> tuple[DataFrame, DataFrame]:
     """``df`` in two: rows whose ``key`` may be among ``ids``, and rows whose key surely isn't."""
-    flagged = _flagged(df, ids, *key)
-    return flagged.where("_maybe").drop("_maybe"), flagged.where("not _maybe").drop("_maybe")
+    told = flagged(df, ids, *key)
+    return told.where("_maybe").drop("_maybe"), told.where("not _maybe").drop("_maybe")
 
 
 SIEVE_BITS = 26  # 8 MB, whatever the number of ids

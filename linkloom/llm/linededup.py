@@ -7,7 +7,7 @@ in words, 1 - distance / longer length, is at least ``similarity``. Of every con
 
 Without SimHash (``bits`` None) the edit similarity alone decides, and candidates leave no such pair out. An edit spoils two of a line's
 two-word runs at most, so that two lines in reach share some of the first few in any order that holds for all lines; these are the keys,
-rare ones first. Candidates whose lengths or word parities (each edit turns two of 128 bits at most) tell them apart are not compared.
+rare ones first. Candidates whose lengths or word parities (each edit turns two of 256 bits at most) tell them apart are not compared.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import count_words, may_contain, split_by, stage, text_or_empty
+from . import components
+from .common import count_words, discard, flagged, may_contain, split_by, stage, text_or_empty
 from .components import best_pairs, connected_components, crowded_rows, figures_of_keys, link_components, small_pairs, tile_pairs, with_facts
-from .ordering import RareFirst, rare_first
+from .ordering import GramCounts, RareFirst, order_of
 from .textvec import Tokenizer, Words, mix
 
 MIN_WORDS = 5
@@ -31,6 +33,10 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 RUN = 2  # words of a run
 KEYS = 1 << 18  # of a block, about
 KEY_BYTES = 6
+ANY = 255  # a length or place that does not go into a byte, or a place that is several
+COMMON = 1 << 16  # runs that a task counts as common, at most
+PAIRS = 1 << 20  # made at once
+PARITIES = ("p0", "p1", "p2", "p3")  # 64 bits each
 END = np.uint64(0x2127599BF4325C37)
 
 
@@ -90,16 +96,20 @@ def line_classes(docs: DataFrame, min_words: int = MIN_WORDS, fuzzy_words: int =
     return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, line_no int, line_id long, bits long")
 
 
-def _words_as_characters(line):
-    """A line as a string with one code point for each word (lower-cased), so that an edit distance of strings is one of words."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " ")
+def _words_as_characters(lines: DataFrame) -> DataFrame:
+    """``lines`` (line_id, line) with one code point for each word (lower-cased), so that an edit distance of strings is one of words."""
     surrogates, code_points = 0xD800, 0x110000 - 0x800
 
-    def code(word):
-        at = F.pmod(F.xxhash64(word), F.lit(code_points - 32)) + 32
-        return F.lpad(F.hex(F.when(at < surrogates, at).otherwise(at + 0x800)), 8, "0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokenizer(fold=True)
+        for batch in batches:
+            for w in tokens.chunks(batch.column(1)):
+                code = w.hash % np.uint64(code_points - 32) + np.uint64(32)
+                text = np.where(code < surrogates, code, code + np.uint64(0x800)).astype("<u4").tobytes().decode("utf-32-le")
+                ends = w.ptr.tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.lo, w.hi - w.lo), pa.array([text[lo:hi] for lo, hi in zip(ends, ends[1:], strict=False)], pa.string())], names=["line_id", "line"])
 
-    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
+    return lines.select("line_id", "line").mapInArrow(run, "line_id long, line string")
 
 
 def _whole(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -109,26 +119,36 @@ def _whole(w: Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(whole + size.astype(np.uint64))
 
 
-def line_shapes(docs: DataFrame, min_words: int = 1) -> DataFrame:
-    """doc_id, _row, line_no, line_id, n (words), p0 and p1 (128 parities of words by hash) of every line of at least ``min_words`` words."""
+def line_shapes(docs: DataFrame, min_words: int = 1, counted: bool = False) -> DataFrame:
+    """doc_id, _row, line_no, line_id, n (words), p0 to p3 (256 parities of words by hash) of every line of at least ``min_words`` words.
+
+    If ``counted``, each task adds its most frequent runs of words as rows without n, with the run as line_id and its number as p0 (see :func:`run_order`), so that words are cut once for both.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("_row", pa.int64()), ("line_no", pa.int32()), ("line_id", pa.int64()), ("n", pa.int32()), *((p, pa.int64()) for p in PARITIES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokenizer(fold=True)
+        tokens, counts = Tokenizer(fold=True), GramCounts(COMMON)
         for batch in batches:
             for w in tokens.chunks(batch.column(2)):
                 doc, number, start, size = _lines_of(w)
                 if not len(doc):
                     continue
-                bit, low = np.uint64(1) << (w.hash & np.uint64(63)), (w.hash & np.uint64(64)) == 0
-                parity = [np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), start) for half in (low, ~low)]
+                if counted:
+                    counts.add(_runs(w, start))
+                bit, part = np.uint64(1) << (w.hash & np.uint64(63)), w.hash >> np.uint64(6) & np.uint64(3)
+                parity = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), start) for i in range(len(PARITIES))]
                 keep = size >= min_words
                 numbers = [x.view(np.int64)[keep] for x in (_whole(w, start, size), *parity)]
                 columns = [number[keep].astype(np.int32), numbers[0], size[keep].astype(np.int32), *numbers[1:]]
                 at = pa.array(w.lo + doc[keep])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c) for c in columns]], names=["doc_id", "_row", "line_no", "line_id", "n", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c) for c in columns]], names=schema.names)
+        value, count = counts.done()
+        if len(value):
+            given = {"line_id": value.view(np.int64), "p0": count}
+            yield pa.RecordBatch.from_arrays([pa.array(given[f.name]) if f.name in given else pa.nulls(len(value), f.type) for f in schema], schema=schema)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, line_no int, line_id long, n int, p0 long, p1 long")
+    return docs.select("doc_id", "_row", "text").mapInArrow(run, f"doc_id {kind}, _row long, line_no int, line_id long, n int, {', '.join(f'{p} long' for p in PARITIES)}")
 
 
 def _runs(w: Words, start: np.ndarray) -> np.ndarray:
@@ -143,16 +163,9 @@ def _runs(w: Words, start: np.ndarray) -> np.ndarray:
     return total
 
 
-def run_order(docs: DataFrame) -> RareFirst:
-    """The common runs of all documents."""
-
-    def grams(texts: pa.Array) -> Iterator[np.ndarray]:
-        for w in Tokenizer(fold=True).chunks(texts):
-            start = _lines_of(w)[2]
-            if len(start):
-                yield _runs(w, start)
-
-    return rare_first(docs, grams)
+def run_order(shapes: DataFrame) -> RareFirst:
+    """The common runs of all documents, from rows of :func:`line_shapes`."""
+    return order_of(shapes.where("n is null").select(F.col("line_id").alias("gram"), F.col("p0").alias("n")))
 
 
 def most_edits(n: int, similarity: float) -> int:
@@ -174,27 +187,27 @@ def spoilt(longest: int, similarity: float) -> np.ndarray:
     return out
 
 
-def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int) -> DataFrame:
+def line_keys(docs: DataFrame, order: RareFirst, similarity: float, fuzzy_words: int, parts: int) -> DataFrame:
     """Keys of lines: lines in reach of each other share one at least. Repeats where a line is repeated.
 
-    Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil. They come in blocks, so that no row is made of each: (part, keys, ids), ``KEY_BYTES`` and eight bytes
-    a key, all keys of one value in the same of ``parts`` parts. Keys that are known as common are dealt out by their ids too, into as many parts more.
+    Keys are a line's first runs in an order that holds for all lines, rare ones first: one more than the edits within reach can spoil. They come in blocks, so that no row is made of each: (part, keys, ids, spots), ``KEY_BYTES``, eight and two bytes
+    a key, all keys of one value in the same of ``parts`` parts. Keys that are known as common are dealt out by their ids too, into as many parts more. A spot is the line's number of words and the
+    run's place among them, ``ANY`` for a number that is too large, and for the place of a run that the line has more than once.
     """
-    order = run_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, most, held, waiting = Tokenizer(fold=True), spoilt(256, similarity), [], 0
 
         def flush() -> pa.RecordBatch:
-            key, ids, common = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, ids, spots, common = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             part = np.where(common, parts + (mix(key + ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64), (key % np.uint64(parts)).astype(np.int64)).astype(np.int32)
             by = np.argsort(part, kind="stable")
             part = part[by]
             ends = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
             raw, raw_ids = key[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), ids[by].astype("<i8").tobytes()
-            blocks = [pa.array([data[lo * size : hi * size] for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary()) for data, size in ((raw, KEY_BYTES), (raw_ids, 8))]
-            return pa.RecordBatch.from_arrays([pa.array(part[ends[:-1]]), *blocks], names=["part", "keys", "ids"])
+            blocks = [pa.array([data[lo * size : hi * size] for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary()) for data, size in ((raw, KEY_BYTES), (raw_ids, 8), (spots[by].tobytes(), 2))]
+            return pa.RecordBatch.from_arrays([pa.array(part[ends[:-1]]), *blocks], names=["part", "keys", "ids", "spots"])
 
         for batch in batches:
             for w in tokens.chunks(batch.column(0)):
@@ -212,11 +225,15 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int)
                 line, rank = line[mine], order.rank(_runs(w, start)[mine])
                 few = len(start) < 1 << 20  # so that a line's number and most of the rank go into one number to sort by
                 by = np.argsort((line.astype(np.uint64) << np.uint64(44)) | rank >> np.uint64(20)) if few else np.lexsort((rank, line))
+                spot = mine[by] - start[line[by]]
                 line, rank = line[by], rank[by]
+                same = (line[1:] == line[:-1]) & (rank[1:] >> np.uint64(20) == rank[:-1] >> np.uint64(20))
+                spot[:-1][same] = spot[1:][same] = ANY
+                spot = np.minimum(np.stack([size[line], spot], axis=1), ANY).astype(np.uint8)
                 first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.empty(0, np.int64)
                 place = np.arange(len(line)) - np.repeat(first, np.diff(np.append(first, len(line))))
                 keep = place <= most[size[line]]
-                held.append((rank[keep] & np.uint64((1 << 8 * KEY_BYTES) - 1), whole[line[keep]].view(np.int64), rank[keep] >> np.uint64(58) > 0))
+                held.append((rank[keep] & np.uint64((1 << 8 * KEY_BYTES) - 1), whole[line[keep]].view(np.int64), spot[keep], rank[keep] >> np.uint64(58) > 0))
                 waiting += len(held[-1][0])
                 if waiting > 2 * KEYS:
                     yield flush()
@@ -224,41 +241,124 @@ def line_keys(docs: DataFrame, similarity: float, fuzzy_words: int, parts: int)
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "part int, keys binary, ids binary")
+    return docs.select("text").mapInArrow(run, "part int, keys binary, ids binary, spots binary")
 
 
-def block_groups(keys: DataFrame, parts: int) -> DataFrame:
-    """(key, id, first, size) of the keys of several ids, as :func:`~linkloom.llm.components.key_groups` has them, from blocks in one shuffle: a part's blocks meet in one task, about ``KEYS`` keys. Of common keys a part has distinct ids;
-    their figures come from a grouping that combines in the map tasks."""
+def in_reach(spot_a: np.ndarray, spot_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which lines can be near, by the spots of a run that they share: what stands before it and what follows it must each grow or shrink by edits."""
+    n_a, n_b, at_a, at_b = (x.astype(np.int16) for x in (spot_a[:, 0], spot_b[:, 0], spot_a[:, 1], spot_b[:, 1]))
+    most = np.floor(np.maximum(n_a, n_b) * (1 - similarity) + 1e-9)
+    moved = np.abs(at_a - at_b)
+    moved = np.maximum(np.abs(n_a - n_b), np.where(np.maximum(at_a, at_b) == ANY, 0, moved + np.abs(n_a - at_a - n_b + at_b)))
+    return np.where(np.maximum(n_a, n_b) == ANY, np.minimum(n_a, n_b) >= ANY * similarity - 1, moved <= most)
+
+
+def _pairs_of_groups(ids: np.ndarray, spots: np.ndarray, start: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """All pairs (a, b), a < b, within groups of ascending ids that are in reach."""
+    found = [np.empty((0, 2), np.int64)]
+    for n in np.unique(size).tolist():
+        i, j = np.triu_indices(n, 1)
+        groups, step = start[size == n], max(1, PAIRS // len(i))
+        for lo in range(0, len(groups), step):
+            a, b = ((groups[lo : lo + step, None] + x[None, :]).ravel() for x in (i, j))
+            near = in_reach(spots[a], spots[b], similarity)
+            found.append(np.stack([ids[a[near]], ids[b[near]]], axis=1))
+    return np.concatenate(found)
+
 
-    def run(table: pa.Table) -> pa.Table:
+ROW = np.dtype([("key", "<i8"), ("id", "<i8"), ("first", "<i8"), ("size", "<i8"), ("common", "?")])
+
+
+def block_rows(keys: DataFrame, parts: int, small: int = 0, similarity: float = 0.8) -> DataFrame:
+    """What the blocks of :func:`line_keys` hold, staged: for keys of up to ``small`` ids the pairs of ids in reach, once each (a, b, n: by how many keys), else rows (key, id, first, size, common) as
+    :func:`~linkloom.llm.components.figures_of_keys` has them.
+
+    Two shuffles of blocks: a part's blocks meet in one task, about ``KEYS`` keys, and equal pairs of all parts meet in another.
+    """
+    targets = max(1, parts // 8)
+
+    def dealt(rows: np.ndarray, target: np.ndarray) -> list[bytes]:
+        by = np.argsort(target, kind="stable")
+        ends = np.searchsorted(target[by], np.arange(targets + 1))
+        return [rows[by[lo:hi]].tobytes() for lo, hi in zip(ends, ends[1:], strict=False)]
+
+    def group(table: pa.Table) -> pa.Table:
         common = table.column("part")[0].as_py() >= parts
         raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
         key = np.zeros((len(raw), 8), np.uint8)
         key[:, :KEY_BYTES] = raw
         key, ids = key.view("<i8").ravel(), np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         if not common:
             start = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
             size = np.diff(np.append(start, len(by)))
             by = by[np.repeat(size > 1, size)]
         by = by[np.lexsort((ids[by], key[by]))]
-        rows = pa.RecordBatch.from_arrays([pa.array(key[by]), pa.array(ids[by]), pa.array(np.full(len(by), common))], names=["key", "id", "common"])
-        return pa.Table.from_batches(list(figures_of_keys(iter([rows]))), pa.schema([(c, pa.int64() if c != "common" else pa.bool_()) for c in ("key", "id", "common", "first", "size")]))
-
-    rows = stage(keys.groupBy("part").applyInArrow(run, "key long, id long, common boolean, first long, size long"))
+        key, ids = key[by], ids[by]
+        pairs = np.empty((0, 2), np.int64)
+        if small and not common and len(by):
+            spots = np.frombuffer(b"".join(table.column("spots").to_pylist()), np.uint8).reshape(-1, 2)[by]
+            once = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+            low, high = np.minimum.reduceat(spots, once), np.maximum.reduceat(spots, once)
+            spots = np.where(low == high, low, ANY)
+            key, ids = key[once], ids[once]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(start, len(key)))
+            few = (size > 1) & (size <= small)
+            pairs = _pairs_of_groups(ids, spots, start[few], size[few], similarity)
+            many = np.repeat(size > small, size)
+            key, ids = key[many], ids[many]
+        batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(np.full(len(key), common))], names=["key", "id", "common"])
+        rows = [np.empty(0, ROW)]
+        for found in figures_of_keys(iter([batch])):
+            rows.append(np.empty(found.num_rows, ROW))
+            for c in ROW.names:
+                rows[-1][c] = found.column(c).to_numpy(zero_copy_only=False)
+        rows = np.concatenate(rows)
+        place = [(mix(x.view(np.uint64) * np.uint64(3) + y.view(np.uint64)) % np.uint64(targets)).astype(np.int64) for x, y in ((pairs[:, 0], pairs[:, 1]), (rows["key"].copy(), rows["id"].copy()))]
+        found = pa.table({"target": pa.array(range(targets), pa.int32()), "pairs": pa.array(dealt(pairs, place[0]), pa.binary()), "rows": pa.array(dealt(rows, place[1]), pa.binary())})
+        return found.filter(pa.array([len(x) + len(y) > 0 for x, y in zip(found.column("pairs").to_pylist(), found.column("rows").to_pylist(), strict=True)], pa.bool_()))
+
+    def once(table: pa.Table) -> pa.Table:
+        pairs = np.frombuffer(b"".join(table.column("pairs").to_pylist()), "<i8").reshape(-1, 2)
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), ROW)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        start = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))) if len(pairs) else np.empty(0, np.int64)
+        n, more = len(start), len(rows)
+        columns = {"a": pairs[start, 0], "b": pairs[start, 1], "n": np.diff(np.append(start, len(pairs))).astype(np.int64)}
+        out = {c: pa.concat_arrays([pa.array(x), pa.nulls(more, pa.int64())]) for c, x in columns.items()}
+        return pa.table(out | {c: pa.concat_arrays([pa.nulls(n, pa.bool_() if c == "common" else pa.int64()), pa.array(rows[c])]) for c in ROW.names})
+
+    blocks = keys.groupBy("part").applyInArrow(group, "target int, pairs binary, rows binary")
+    return stage(blocks.groupBy("target").applyInArrow(once, "a long, b long, n long, key long, id long, first long, size long, common boolean"))
+
+
+def groups_of_rows(found: DataFrame) -> DataFrame:
+    """(key, id, first, size) of the keys of several ids among the rows of :func:`block_rows`. Of common keys a part has distinct ids;
+    their figures come from a grouping that combines in the map tasks."""
+    rows = found.where("key is not null")
     common = rows.where("common").select("key", "id")
     whole = common.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
     return rows.where("not common").select("key", "id", "first", "size").unionByName(common.join(F.broadcast(whole), "key").select("key", "id", "first", "size"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b, _row_a, line_no_a, _row_b, line_no_b) whose lines are near enough: a, b."""
+def block_groups(keys: DataFrame, parts: int) -> DataFrame:
+    """(key, id, first, size) of all keys of several ids, as :func:`~linkloom.llm.components.key_groups` has them, from blocks."""
+    return groups_of_rows(block_rows(keys, parts))
+
+
+def _said(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line_id, line) of the lines of ``pairs`` (a, b, _row_a, line_no_a, _row_b, line_no_b), a character for each word."""
     needed = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("line_id"), F.col(f"_row_{c}").alias("_row"), F.col(f"line_no_{c}").alias("line_no")) for c in "ab"])).alias("x")).select("x.*")
     needed = stage(needed.distinct())
     said = may_contain(docs.select("_row", "text"), needed, "_row").select("_row", F.posexplode(F.split(text_or_empty(), "\n")).alias("line_no", "line"))
     said = may_contain(said, needed, "_row", "line_no").join(needed, ["_row", "line_no"])
-    said = stage(said.select("line_id", _words_as_characters(F.col("line")).alias("line")).distinct())
+    return stage(_words_as_characters(said))
+
+
+def _verify(pairs: DataFrame, said: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose lines are near enough."""
+    pairs = pairs.select("a", "b")
     for c in "ab":
         pairs = pairs.join(said.select(F.col("line_id").alias(c), F.col("line").alias(f"line_{c}")), c)
     pairs = pairs.withColumn("longest", F.greatest(F.length("line_a"), F.length("line_b"))).withColumn("most", F.floor(F.col("longest") * (1 - similarity) + 1e-9).cast("int"))
@@ -267,40 +367,57 @@ def _verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(F.expr("levenshtein(line_a, line_b, most) >= 0")).select("a", "b")
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, similarity: float, fuzzy_words: int) -> DataFrame:
-    """(id, root) of the classes (line_id, first, n_words, p0, p1) that are linked by edit similarity alone.
+def near_lines(docs: DataFrame, classes: DataFrame, order: RareFirst, similarity: float, fuzzy_words: int) -> DataFrame:
+    """(id, root) of the classes (line_id, first, n_words, p0 to p3) that are linked by edit similarity alone.
 
-    Every class is first compared with the smallest one of the key that it shares most keys with; what isn't connected then is compared with
-    all that share a key: in a join where a key has few classes, tile by tile where it has many.
+    Every class is first compared with the smaller one that it shares most keys with (of a key of many classes, with its smallest one); what isn't connected then is compared with
+    all that share a key: pair by pair where a key has few classes, tile by tile where it has many.
     """
-    facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), "p0", "p1")
-    places = classes.select(F.col("line_id").alias("id"), F.col("first._row").alias("_row"), F.col("first.line_no").alias("line_no"))
+    facts = classes.select(F.col("line_id").alias("id"), F.col("n_words").alias("n"), *PARITIES, F.col("first._row").alias("_row"), F.col("first.line_no").alias("line_no"))
     total = classes.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, total // (2 * KEYS))
-    groups = block_groups(line_keys(docs, similarity, fuzzy_words, parts), parts)
+    found = block_rows(line_keys(docs, order, similarity, fuzzy_words, parts), parts, components.SMALL, similarity)
+    groups = groups_of_rows(found)
     longer = F.greatest("n_a", "n_b")
     edits = F.floor(longer * (1 - similarity) + 1e-9)
-    likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr("bit_count(p0_a ^ p0_b) + bit_count(p1_a ^ p1_b)") <= 2 * edits)
-    best = with_facts(best_pairs(groups, 1), facts).where(likely).select("a", "b")
-    links = stage(_verify(docs, stage(with_facts(best, places)), similarity))
+    likely = (F.abs(F.col("n_a") - F.col("n_b")) <= edits) & (F.expr(" + ".join(f"bit_count({p}_a ^ {p}_b)" for p in PARITIES)) <= 2 * edits)
+    firsts = best_pairs(groups, 1).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1).cast("long").alias("shared"))
+    pairs = found.where("key is null").select("a", "b", F.col("n").alias("shared")).unionByName(firsts)
+    pairs = stage(with_facts(pairs, facts).where(likely).select("a", "b", "shared", "_row_a", "line_no_a", "_row_b", "line_no_b"))
+    said = _said(docs, pairs)
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", F.bitwise_not("a"))).alias("a"))
+    links = stage(_verify(best, said, similarity))
     roots = stage(connected_components(links))
-    pairs = small_pairs(groups, facts, roots, likely, 1)
-    many = crowded_rows(groups, roots).select(F.col("key").alias("cluster"), "id", "root").join(facts, "id")
+    ends = [F.coalesce(f"root_{c}", c) for c in "ab"]
+    apart = pairs.select("a", "b").distinct()
+    for c in "ab":
+        apart = apart.join(roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    more = stage(_verify(apart.where(ends[0] != ends[1]), said, similarity))
+    if not more.isEmpty():
+        links = stage(links.unionByName(more))
+        roots = stage(connected_components(links))
+    discard(said)
+    few = small_pairs(groups, facts.select("id", "n", *PARITIES), roots, likely, 1)
+    many = crowded_rows(groups, roots).select(F.col("key").alias("cluster"), "id", "root").join(facts.select("id", "n", *PARITIES), "id")
 
     def near(tile: pa.Table) -> pa.Table:
         side, root, n = (tile.column(c).to_numpy() for c in ("side", "root", "n"))
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if side.any() else left
         most = np.floor(np.maximum(n[left][:, None], n[right][None, :]) * (1 - similarity) + 1e-9)
-        turned = sum(np.bitwise_count(p[left][:, None] ^ p[right][None, :]).astype(np.int32) for p in (tile.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("p0", "p1")))
+        turned = sum(np.bitwise_count(p[left][:, None] ^ p[right][None, :]).astype(np.int32) for p in (tile.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in PARITIES))
         x, y = np.nonzero((np.abs(n[left][:, None] - n[right][None, :]) <= most) & (turned <= 2 * most) & (root[left][:, None] != root[right][None, :]))
         if left is right:
             x, y = x[x < y], y[x < y]
         ids = tile.column("id").to_numpy()
         return pa.table({"a": np.minimum(ids[left[x]], ids[right[y]]), "b": np.maximum(ids[left[x]], ids[right[y]])})
 
-    pairs = pairs.unionByName(tile_pairs(stage(many)).groupBy("cluster", "i", "j").applyInArrow(near, "a long, b long"))
-    more = stage(_verify(docs, stage(with_facts(stage(pairs.distinct()), places)), similarity))
+    crowded = few.unionByName(tile_pairs(stage(many)).groupBy("cluster", "i", "j").applyInArrow(near, "a long, b long"))
+    crowded = stage(crowded.distinct())
+    if crowded.isEmpty():
+        return roots
+    crowded = stage(with_facts(crowded, facts.select("id", "_row", "line_no")))
+    more = stage(_verify(crowded, _said(docs, crowded), similarity))
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
@@ -309,10 +426,11 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
     if bits is None:
         if similarity < 0.8:
             raise ValueError("lines share runs for sure only from a similarity of 0.8 on")
-        lines = stage(line_shapes(docs, min_words))
+        shapes = stage(line_shapes(docs, min_words, counted=True))
+        lines = shapes.where("n is not null")
         first = F.min(F.struct("doc_id", "_row", "line_no")).alias("first")
-        classes = stage(lines.groupBy("line_id").agg(first, F.count("*").alias("n"), F.first("n").alias("n_words"), F.first("p0").alias("p0"), F.first("p1").alias("p1")))
-        return _later(lines, classes, near_lines(docs, classes, similarity, max(min_words, fuzzy_words)))
+        classes = stage(lines.groupBy("line_id").agg(first, F.count("*").alias("n"), F.first("n").alias("n_words"), *[F.first(p).alias(p) for p in PARITIES]))
+        return _later(lines, classes, near_lines(docs, classes, run_order(shapes), similarity, max(min_words, fuzzy_words)))
     if bits > 3:
         raise ValueError("three of six blocks agree only up to 3 bits")
     lines = stage(line_classes(docs, min_words, fuzzy_words))
@@ -325,7 +443,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"bit_count(bits_a ^ bits_b) <= {bits}")
-        return _verify(docs, pairs, similarity)
+        return _verify(pairs, _said(docs, pairs), similarity)
 
     def cross(members: DataFrame) -> DataFrame:
         rows = tile_pairs(members)
@@ -353,12 +471,12 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
 
 def _later(lines: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """(_row, line_no) of all lines but the first of each root."""
-    grouped = classes.join(roots.withColumnRenamed("id", "line_id"), "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
-    many = grouped.where("n > 1 or root != line_id").select("root").distinct()
-    kept = grouped.join(many, "root", "left_semi").groupBy("root").agg(F.min("first").alias("kept"))
-    kept = stage(grouped.join(kept, "root").select("line_id", "kept"))
-    again = lines.join(kept, "line_id").where("not (doc_id <=> kept.doc_id and _row = kept._row and line_no = kept.line_no)")
-    return again.select("_row", "line_no")
+    roots = roots.withColumnRenamed("id", "line_id")
+    several = flagged(classes.select("line_id", "first", "n"), roots, "line_id").where("n > 1 or _maybe").join(roots, "line_id", "left").where("n > 1 or root is not null")
+    several = stage(several.select("line_id", "first", F.coalesce("root", "line_id").alias("root")))
+    kept = stage(several.join(several.groupBy("root").agg(F.min("first").alias("kept")), "root").select("line_id", "kept"))
+    again = may_contain(lines.select("doc_id", "_row", "line_no", "line_id"), kept, "line_id").join(kept, "line_id")
+    return again.where("not (doc_id <=> kept.doc_id and _row = kept._row and line_no = kept.line_no)").select("_row", "line_no")
 
 
 def row_key():

@@ -35,38 +35,56 @@ class RareFirst:
         return self.levels(grams) << np.uint64(58) | grams >> np.uint64(6)
 
 
-def _merged(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal values added up; of many values, the ``MOST`` most frequent."""
+def _merged(value: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal values added up; of many values, the ``most`` most frequent."""
     value, at = np.unique(value, return_inverse=True)
     count = np.bincount(at, count, len(value)).astype(np.int64)
-    if len(value) > MOST:
-        keep = np.sort(np.argpartition(-count, MOST)[:MOST])
+    if len(value) > most:
+        keep = np.sort(np.argpartition(-count, most)[:most])
         value, count = value[keep], count[keep]
     return value, count
 
 
+class GramCounts:
+    """The ``most`` most frequent n-grams of a task, about, and how often each comes."""
+
+    def __init__(self, most: int = MOST):
+        self.most, self.value, self.count, self.waiting, self.n = most, np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.waiting.append(grams)
+        self.n += len(grams)
+        if self.n > FLUSH:
+            self._flush()
+
+    def _flush(self) -> None:
+        v, c = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.value, self.count = _merged(np.concatenate([self.value, v[c > 1]]), np.concatenate([self.count, c[c > 1]]), self.most)
+        self.waiting, self.n = [], 0
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self._flush()
+        return self.value, self.count
+
+
 def rare_first(docs: DataFrame, grams: Callable[[pa.Array], Iterator[np.ndarray]]) -> RareFirst:
     """The order by the counts of ``grams`` over all texts of ``docs``. Tasks add up their own counts and send their most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, count, waiting, n = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-
-        def flush():
-            v, c = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            return _merged(np.concatenate([value, v[c > 1]]), np.concatenate([count, c[c > 1]]))
-
+        counts = GramCounts()
         for batch in batches:
             for found in grams(batch.column(0)):
-                waiting.append(found)
-                n += len(found)
-                if n > FLUSH:
-                    (value, count), n = flush(), 0
-        if waiting:
-            value, count = flush()
+                counts.add(found)
+        value, count = counts.done()
         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count)], names=["gram", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").persist()
+    return order_of(docs.select("text").mapInArrow(run, "gram long, n long"))
+
+
+def order_of(counts: DataFrame) -> RareFirst:
+    """The order by the sums of ``counts`` (gram, n)."""
+    sums = counts.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").persist()
     try:
         sizes = {r["k"]: r["c"] for r in sums.groupBy(F.floor(F.log2("n") * 2).alias("k")).agg(F.count("*").alias("c")).collect()}
         least, total = max(sizes, default=0) + 1, 0
