@@ -28,9 +28,9 @@ THRESHOLD = 10
 LONGEST = 3
 CONTAINED = 50  # per cent of a phrase's count that a longer one's must reach to drop it
 TOP = 2000
-CHUNK = 1 << 20  # bytes of text that become one row of a shard
+CHUNK = 1 << 19  # bytes of text that become one row of a shard
 BITS = 24  # of a bitmap, 2 MB
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -248,6 +248,7 @@ def count_phrases(spark: SparkSession, lines: DataFrame, longest: int, threshold
     scans: list[tuple[range, DataFrame]] = []  # sizes that a scan may have counted, its counts
     history: list[dict[int, np.ndarray]] = [{}]
     sent: list[dict] = [{}]
+    sums: dict[int, tuple[int, DataFrame]] = {}  # by size, how many scans had counted it when its exact sums were made, and these
     while True:
         t = len(scans)
         if t >= shards and history[t].keys() == history[t - shards].keys() and all(np.array_equal(history[t][k], history[t - shards][k]) for k in history[t]):
@@ -258,7 +259,12 @@ def count_phrases(spark: SparkSession, lines: DataFrame, longest: int, threshold
         after, held = dict(history[t]), dict(sent[t])
         for size in sizes:
             if size < longest:
-                bits = _bitmap(frequent([s for counted, s in scans if size in counted], size, threshold, exact=t % shards == shards - 1), size)
+                parts, exact = [s for counted, s in scans if size in counted], t % shards == shards - 1
+                phrases = frequent(parts, size, threshold, exact)
+                if exact:
+                    phrases = stage(phrases)
+                    sums[size] = len(parts), phrases
+                bits = _bitmap(phrases, size)
                 if size in after:
                     bits |= after[size]
                 if bits.any() and not (size in after and np.array_equal(bits, after[size])):
@@ -273,6 +279,9 @@ def count_phrases(spark: SparkSession, lines: DataFrame, longest: int, threshold
     found = {}
     for size in range(1, longest + 1):
         parts = [s for sizes, s in scans if size in sizes]
+        if parts and sums.get(size, (0, None))[0] == len(parts):
+            found[size] = sums[size][1]
+            continue
         found[size] = stage(frequent(parts, size, threshold)) if parts else spark.createDataFrame([], ", ".join([*(f"{c} long" for c in _columns(size)), "f long"]))
     return found
 
