@@ -115,17 +115,16 @@ def crowded_rows(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several, "key", "left_semi")
 
 
-def link_components(keys: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], likely: Column, agree: int) -> DataFrame:
+def link_components(groups: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], cross: Callable[[DataFrame], DataFrame], likely: Column, agree: int) -> DataFrame:
     """(id, root) of every id that has a link, where all links join ids that share at least ``agree`` keys and are ``likely``.
 
-    ``keys`` has (key, id, common), ``facts`` a row for each id with what verifying needs. First every id of a key with many ids is held against the
+    ``groups`` is of :func:`key_groups`, ``facts`` a row for each id with what verifying needs. First every id of a key with many ids is held against the
     one smallest id of a key that it shares most such keys with: ``verify`` takes these pairs (a, b, and each fact with _a and _b) and returns those
     that are links. Then pairs from keys of few ids are counted, and those below ``agree`` or not likely are discarded. The ids of the other pairs, and those of keys of
     many ids that aren't one component by now, are clusters; their members are dealt into tiles in the order of their components, and every
     two tiles that hold more than one component between them are given to ``cross`` (members with facts, see :func:`tile_pairs`), which returns links
     (a, b) among them. A pair that shares a key of many ids meets there, any other one shares ``agree`` keys of few: none is left out.
     """
-    groups = key_groups(keys)
     pairs = stage(with_facts(best_pairs(groups.where(f"size > {SMALL}"), agree), facts).where(likely))
     links = stage(verify(pairs).select("a", "b"))
     roots = stage(connected_components(links))

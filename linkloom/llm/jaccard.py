@@ -1,9 +1,9 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix with its transpose.
 
-Columns are in a common order, rare n-grams first. The first products run over the first columns of each row only, as many as two rows whose overlap
-reaches the bound of their sizes need to agree in some of them: rows that share such a column meet, their overlaps are counted for each pair, and
-pairs with too few, or whose sizes or parities rule the bound out, are discarded. For the rest the overlap is counted over all
-columns, block by block, and held against the bound of their sizes.
+Columns are dealt into blocks by their hash, into more blocks than the columns that two linked rows can differ in, so that such rows are equal in some block
+that isn't empty: rows that are equal in a block meet (see :func:`block_keys`), and pairs whose sizes or parities rule the bound out are discarded. What a
+block holds is far rarer than one n-gram, so that the rows that meet don't become more by chance as documents do. For the pairs that are left the overlap is
+counted over all columns, block by block, and held against the bound of their sizes.
 
 Documents with equal sets are one row of the matrix. Components need no more links than connect them, see
 :func:`~linkloom.llm.components.link_components`.
@@ -11,35 +11,106 @@ Documents with equal sets are one row of the matrix. Components need no more lin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_contain, stage
-from .components import link_components, star_tiles, tile_pairs
+from .common import discard, may_contain, stage
+from .components import key_groups, link_components, star_tiles, tile_pairs
 from .ordering import RareFirst, rare_first
 from .textvec import Tokenizer, mix, shingles
 
 
-def agreeing(share: tuple[int, int]) -> int:
-    """How many of their first columns two linked rows share: c common elements of different sets make at most c / (c + 1) of the union."""
-    num, den = share
-    if 2 * num <= den:
-        raise ValueError("the threshold must be over one half")
-    return min(4, max(2, num // (den - num) if den > num else 4))
+#: What share of a row's columns is taken to be rare ones when the blocks are counted out; rows with fewer have keys of their own.
+RARE = 0.75
+
+
+def _filled(n: float, k: int) -> float:
+    """How many of ``k`` blocks ``n`` columns fill at least, but for four standard deviations."""
+    empty = math.exp(-n / k)
+    return k * (1 - empty) - 4 * math.sqrt(k * empty * max(0.0, 1 - (1 + n / k) * empty))
+
+
+@dataclass(frozen=True)
+class Zones:
+    """Ranges of set sizes, for links whose smaller set is in the range: ``low`` is the least size of each and ``high`` the largest, ``apart`` how many
+    elements at most only one of two linked sets has, ``blocks`` how many blocks the elements are dealt into."""
 
+    low: np.ndarray
+    high: np.ndarray
+    apart: np.ndarray
+    blocks: np.ndarray
 
-def first_columns(n: int, share: tuple[int, int]) -> int:
-    """How many columns of a row with ``n`` the first products run over.
 
-    A linked row has num / den of the larger set at least in common with this one. So many columns beyond that bound, and :func:`agreeing` more, hold
-    that many common ones of both rows, in any order that holds for all.
+@cache
+def zones(share: tuple[int, int]) -> Zones:
+    """The ranges for links of ``share`` = (num, den). The larger of two linked sets has den / num times the smaller one's size n at most, so that n * (den - num) / num elements at most aren't common ones."""
+    num, den = share
+    if 2 * num <= den:
+        raise ValueError("the threshold must be over one half")
+    low, apart, blocks = [1], [], []
+    while low[-1] < 1 << 31:
+        low.append(max(low[-1] + 1, low[-1] * 7 // 5))
+        apart.append((low[-1] - 1) * (den - num) // num)
+        n, k = RARE * low[-2], apart[-1] + 1
+        while _filled(n, k) <= apart[-1] + 1 and k < 64 * low[-2]:
+            k += 1 + k // 50
+        blocks.append(k)
+    return Zones(np.array(low[:-1]), np.array(low[1:]) - 1, np.array(apart), np.array(blocks))
+
+
+def block_keys(items: np.ndarray, rare: np.ndarray, n: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the sets that stand one after another in ``items`` (``n`` elements each): the keys and their number for each set. Linked sets share one.
+
+    A set has keys for each range of :func:`zones` that its links' smaller sets may be in: what it holds of every block, as one hash. Each element that only
+    one of two sets has changes one block. So they are equal in a filled block if either fills more blocks than such elements there are. Only elements
+    that are ``rare`` (by one rule for all sets) count; sets that fill too few blocks with them, few ones, have keys over all elements too, and if these don't do either, keys of their empty blocks.
     """
     num, den = share
-    return n - -(-n * num // den) + agreeing(share)
+    z, owner, whole = zones(share), np.repeat(np.arange(len(n)), n), mix(items + np.uint64(0x2545F4914F6CDD1D))
+    inner, place = mix(whole), whole >> np.uint64(32)
+    halves = (inner & np.uint64(0xFFFFFFFF)).astype(float), (inner >> np.uint64(32)).astype(float)
+    sets, keys = [], []
+
+    def deal(some: np.ndarray, zone: np.ndarray, every: bool) -> None:
+        """Keys of the sets ``some``, each for its ``zone``."""
+        k = z.blocks[zone]
+        start, width = np.full(len(n), -1), np.zeros(len(n), np.uint64)
+        start[some], width[some] = np.cumsum(k) - k, k
+        mine = np.flatnonzero((start[owner] >= 0) & (every | rare))
+        block = (place[mine] * width[owner[mine]] >> np.uint64(32)).astype(np.int64)
+        slot, total = start[owner[mine]] + block, int(k.sum())
+        filled = np.bincount(slot, minlength=total) > 0
+        low, high = (np.bincount(slot, h[mine], total).astype(np.uint64) for h in halves)
+        of, number = np.repeat(np.arange(len(some)), k), np.arange(total) - np.repeat(start[some], k)
+        few = np.add.reduceat(filled.astype(np.int64), start[some]) <= z.apart[zone]
+        given = filled | few[of] if every else filled
+        tag = (zone[of] * 2 + every).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+        keys.append(mix(mix(low + high * np.uint64(0xD1342543DE82EF95)) + mix(tag))[given])
+        sets.append(some[of[given]])
+        if few.any() and not every:
+            deal(some[few], zone[few], True)
+
+    own = np.searchsorted(z.low, n, "right") - 1
+    while True:
+        some = np.flatnonzero((own >= 0) & (n > 0))
+        some = some[z.high[own[some]] * den >= n[some] * num]
+        if not len(some):
+            break
+        linked = some[z.apart[own[some]] > 0]
+        if len(linked):
+            deal(linked, own[linked], False)
+        own = np.where(np.isin(np.arange(len(n)), some), own - 1, -1)
+    if not keys:
+        return np.empty(0, np.uint64), np.zeros(len(n), np.int64)
+    sets = np.concatenate(sets)
+    return np.concatenate(keys)[np.argsort(sets, kind="stable")], np.bincount(sets, minlength=len(n))
 
 
 def set_ids(items: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -71,7 +142,7 @@ def _sets(tokens: Tokenizer, texts: pa.Array, size: int) -> Iterator[tuple[np.nd
 
 
 def shingle_order(docs: DataFrame, size: int) -> RareFirst:
-    """The common order of columns. Texts are counted as they follow each other: a few n-grams across their borders don't matter here."""
+    """The columns known as common. Texts are counted as they follow each other: a few n-grams across their borders don't matter here."""
 
     def grams(texts: pa.Array) -> Iterator[np.ndarray]:
         for w in Tokenizer(fold=True).chunks(texts):
@@ -81,30 +152,43 @@ def shingle_order(docs: DataFrame, size: int) -> RareFirst:
 
 
 def incidence(docs: DataFrame, size: int, share: tuple[int, int], order: RareFirst) -> DataFrame:
-    """doc_id, n_shingles, set_id, parity, keys, common: one narrow pass over whole texts. set_id is null for a document without words; a
+    """doc_id, n_shingles, set_id, parity, keys: one narrow pass over whole texts. set_id is null for a document without words; a
     set's keys are given once a task, with the first document that has it. parity has 256 bits, each of the number of elements that hash to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = Tokenizer(fold=True), set()
-        none = np.empty(0, np.int64)
         for batch in batches:
             at = 0
             for items, n, ids in _sets(tokens, batch.column(1), size):
-                rank, keep, lo = order.rank(items), [], 0
-                for k, x in zip(n.tolist(), ids, strict=True):
-                    new = x is not None and x not in seen
-                    keep.append(lo + np.argsort(rank[lo : lo + k])[: first_columns(k, share)] if new else none)
+                new = np.zeros(len(n), bool)
+                for i, x in enumerate(ids):
+                    new[i] = x is not None and x not in seen
                     seen.add(x)
-                    lo += k
-                ends, keep = pa.array(np.cumsum([0, *map(len, keep)]).astype(np.int32)), np.concatenate(keep)
+                own = items[np.repeat(new, n)]
+                keys, count = block_keys(own, order.levels(own) == 0, n[new], share)
+                of = np.zeros(len(n), np.int64)
+                of[new] = count
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of)]).astype(np.int32)), pa.array(keys.view(np.int64)))
                 odd = np.bincount(np.repeat(np.arange(len(n)) * 256, n) + (items & np.uint64(255)).astype(np.int64), minlength=256 * len(n)) & 1
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (items[keep].view(np.int64), rank[keep] >> np.uint64(58) > 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids, pa.int64()), parity, *lists], names=["doc_id", "n_shingles", "set_id", "parity", "keys", "common"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids, pa.int64()), parity, keys], names=["doc_id", "n_shingles", "set_id", "parity", "keys"])
                 at += len(n)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, parity array<long>, keys array<long>, common array<boolean>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, parity array<long>, keys array<long>")
+
+
+def in_reach(tile: pa.Table, share: tuple[int, int]) -> np.ndarray:
+    """The rows of a pair of tiles that have a row of another root on the other side whose size and parity don't rule a link out."""
+    num, den = share
+    side, n, root = (tile.column(c).to_numpy() for c in ("side", "n", "root"))
+    parity = np.stack([tile.column(f"p{i}").to_numpy().view(np.uint64) for i in range(4)], axis=1)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    x, y = n[left][:, None], n[right][None, :]
+    turned = sum(np.bitwise_count(parity[left, i][:, None] ^ parity[right, i][None, :]).astype(np.int64) for i in range(4))
+    likely = (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (turned * (den + num) <= (x + y) * (den - num)) & (root[left][:, None] != root[right][None, :])
+    return np.unique(np.concatenate([left[likely.any(axis=1)], right[likely.any(axis=0)]]))
 
 
 def _products(docs: DataFrame, size: int, share: tuple[int, int]):
@@ -150,7 +234,12 @@ def _products(docs: DataFrame, size: int, share: tuple[int, int]):
         return products(star_tiles(pairs).join(docs_of, "id"))
 
     def cross(members: DataFrame) -> DataFrame:
-        return products(tile_pairs(members.select("id", "cluster", "root", "doc_id")))
+        """Only rows that can have a link in a pair of tiles have their elements sent there."""
+        about = [f"p{i}" for i in range(4)]
+        rows = tile_pairs(members.select("id", "cluster", "root", "doc_id", "n", *about))
+        kept = ["cluster", "i", "j", "side", "id", "root", "doc_id"]
+        schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+        return products(rows.groupBy("cluster", "i", "j").applyInArrow(lambda tile: tile.take(pa.array(in_reach(tile, share))).select(kept), schema))
 
     return verify, cross
 
@@ -205,14 +294,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     count for that id's component. A row without doc_id has its set counted but links with nothing but equal sets, and a null component only if its equals have no doc_id either. Other columns are not read.
     """
     base = stage(incidence(docs, size, share, shingle_order(docs, size)))
-    keys = base.where(F.size("keys") > 0).select(F.explode(F.arrays_zip("keys", "common")).alias("k"), F.col("set_id").alias("id")).select(F.col("k.keys").alias("key"), "id", F.col("k.common").alias("common"))
+    told = stage(base.select("doc_id", "n_shingles", "set_id"))
+    keys = base.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.lit(False).alias("common"))
     about = [F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), *[F.first(F.col("parity")[i]).alias(f"p{i}") for i in range(4)]]
     facts = stage(base.where("doc_id is not null and set_id is not null").groupBy(F.col("set_id").alias("id")).agg(*about))
     num, den = share
     # Sets in reach differ in at most (den - num) / (den + num) of both sizes; every element that only one has turns one bit.
     likely = F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({' + '.join(f'bit_count(p{i}_a ^ p{i}_b)' for i in range(4))}) * {den + num} <= (n_a + n_b) * {den - num}")
-    roots = link_components(keys, facts, *_products(docs, size, share), likely, agreeing(share))
-    rows = base.select("doc_id", "n_shingles", "set_id").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    groups = key_groups(keys)
+    discard(base)
+    roots = link_components(groups, facts, *_products(docs, size, share), likely, agree=1)
+    rows = told.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
     least = stage(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

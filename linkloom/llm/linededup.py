@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import components
 from .common import count_words, discard, flagged, may_contain, split_by, stage, text_or_empty
-from .components import best_pairs, connected_components, crowded_rows, figures_of_keys, link_components, small_pairs, tile_pairs, with_facts
+from .components import best_pairs, connected_components, crowded_rows, figures_of_keys, key_groups, link_components, small_pairs, tile_pairs, with_facts
 from .ordering import GramCounts, RareFirst, order_of
 from .textvec import Tokenizer, Words, mix
 
@@ -465,7 +465,7 @@ def repeated_lines(docs: DataFrame, similarity: float = 0.8, bits: int | None =
         sides = ", ".join(f"{c} long, bits_{c} long, _row_{c} long, line_no_{c} int" for c in "ab")
         return verify(stage(rows.groupBy("cluster", "i", "j").applyInArrow(near, sides)))
 
-    roots = link_components(keys.withColumn("common", F.lit(False)), facts, verify, cross, F.expr(f"bit_count(bits_a ^ bits_b) <= {bits}"), agree=1)
+    roots = link_components(key_groups(keys.withColumn("common", F.lit(False))), facts, verify, cross, F.expr(f"bit_count(bits_a ^ bits_b) <= {bits}"), agree=1)
     return _later(lines, classes, roots)
 
 
