@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from .ordering import RareFirst, rare_first
 from .textvec import Tokenizer, mix, shingles
 
 
+ROUNDS = 4  # keys are grouped in so many turns, by their values, so that only a part of them is in a shuffle at a time
+
 #: What share of a row's columns is taken to be rare ones when the blocks are counted out; rows with fewer have keys of their own.
 RARE = 0.75
 
@@ -152,8 +154,8 @@ def shingle_order(docs: DataFrame, size: int) -> RareFirst:
 
 
 def incidence(docs: DataFrame, size: int, share: tuple[int, int], order: RareFirst) -> DataFrame:
-    """doc_id, n_shingles, set_id, parity, keys: one narrow pass over whole texts. set_id is null for a document without words; a
-    set's keys are given once a task, with the first document that has it. parity has 256 bits, each of the number of elements that hash to it."""
+    """doc_id, n_shingles, set_id, parity, keys_0 and so on: one narrow pass over whole texts. set_id is null for a document without words; a
+    set's keys are given once a task, by their rounds, with the first document that has it. parity has 256 bits, each of the number of elements that hash to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = Tokenizer(fold=True), set()
@@ -166,16 +168,16 @@ def incidence(docs: DataFrame, size: int, share: tuple[int, int], order: RareFir
                     seen.add(x)
                 own = items[np.repeat(new, n)]
                 keys, count = block_keys(own, order.levels(own) == 0, n[new], share)
-                of = np.zeros(len(n), np.int64)
-                of[new] = count
-                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+                of, turn = np.repeat(np.flatnonzero(new), count), keys % np.uint64(ROUNDS)
+                ends = [np.cumsum(np.bincount(of[turn == r] + 1, minlength=len(n) + 1)).astype(np.int32) for r in range(ROUNDS)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends[r]), pa.array(keys[turn == r].view(np.int64))) for r in range(ROUNDS)]
                 odd = np.bincount(np.repeat(np.arange(len(n)) * 256, n) + (items & np.uint64(255)).astype(np.int64), minlength=256 * len(n)) & 1
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 4), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids, pa.int64()), parity, keys], names=["doc_id", "n_shingles", "set_id", "parity", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids, pa.int64()), parity, *lists], names=["doc_id", "n_shingles", "set_id", "parity", *names])
                 at += len(n)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, parity array<long>, keys array<long>")
+    kind, names = docs.schema["doc_id"].dataType.simpleString(), [f"keys_{r}" for r in range(ROUNDS)]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long, parity array<long>, {', '.join(f'{x} array<long>' for x in names)}")
 
 
 def in_reach(tile: pa.Table, share: tuple[int, int]) -> np.ndarray:
@@ -295,15 +297,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: tuple[int, int] =
     """
     base = stage(incidence(docs, size, share, shingle_order(docs, size)))
     told = stage(base.select("doc_id", "n_shingles", "set_id"))
-    keys = base.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.lit(False).alias("common"))
     about = [F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), *[F.first(F.col("parity")[i]).alias(f"p{i}") for i in range(4)]]
     facts = stage(base.where("doc_id is not null and set_id is not null").groupBy(F.col("set_id").alias("id")).agg(*about))
     num, den = share
     # Sets in reach differ in at most (den - num) / (den + num) of both sizes; every element that only one has turns one bit.
     likely = F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num} and ({' + '.join(f'bit_count(p{i}_a ^ p{i}_b)' for i in range(4))}) * {den + num} <= (n_a + n_b) * {den - num}")
-    groups = key_groups(keys)
+    groups = [key_groups(base.select(F.explode(f"keys_{r}").alias("key"), F.col("set_id").alias("id"), F.lit(False).alias("common"))) for r in range(ROUNDS)]
     discard(base)
-    roots = link_components(groups, facts, *_products(docs, size, share), likely, agree=1)
+    roots = link_components(reduce(DataFrame.unionByName, groups), facts, *_products(docs, size, share), likely, agree=1)
+    discard(*groups)
     rows = told.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rows = stage(rows)
     least = stage(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
